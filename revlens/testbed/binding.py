@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import cached_property
+from threading import RLock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,6 +117,7 @@ class Workspace:
         self.spark = spark
         self.folder = folder
         self.store = StageStore(spark)
+        self.lock = RLock()
 
     @cached_property
     def settings(self) -> Settings:
