@@ -134,8 +134,8 @@ class Settings:
     pareto_curve_points: int = 240
     top_products: int = 20
     top_leakage: int = 12
-    # a lookup is broadcast only when its counted rows stay within this bound
-    broadcast_rows: int = 2_000_000
+    # a lookup is broadcast only when the bytes measured in it stay within this bound
+    broadcast_bytes: int = 128 << 20
 
     @property
     def code_groups(self) -> dict[str, tuple[str, ...]]:

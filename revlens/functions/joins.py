@@ -6,8 +6,23 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-NULL_KEY_SALTS = 4096
+FIXED_WIDTH = 8
+
+
+def measured_bytes(frame: DataFrame) -> int:
+    """Bytes of the values in a frame, summed over all of its rows."""
+    widths = [
+        F.coalesce(F.octet_length(f"`{item.name}`"), F.lit(0))
+        if isinstance(item.dataType, T.StringType)
+        else F.lit(FIXED_WIDTH)
+        for item in frame.schema.fields
+    ]
+    total = widths[0].cast("bigint")
+    for width in widths[1:]:
+        total = total + width
+    return frame.agg(F.sum(total).alias("bytes")).first()["bytes"] or 0
 
 
 def attach(
@@ -15,30 +30,25 @@ def attach(
     lookup: DataFrame,
     key: Column,
     lookup_key: str,
-    lookup_rows: int,
-    broadcast_rows: int,
+    broadcast_bytes: int,
     spread: Sequence[str],
 ) -> DataFrame:
-    """Left join `lookup`, unique on `lookup_key`, to `frame` where `key` matches.
+    """Left join `lookup`, unique on `lookup_key` and cheap to read, where `key` matches.
 
-    The lookup is broadcast only when its counted rows are within the bound. Past it both sides
-    shuffle: rows with a null key cannot match, so they are dealt out over many partitions by the
-    `spread` columns instead of meeting in one, and a hot key is left to adaptive skew splitting,
-    which may cut the frame's side because the lookup side holds one row per key.
+    The lookup is broadcast only when its measured size is within the bound. Past it both sides
+    shuffle. Rows with a null key match nothing, so they shuffle by a hash of the `spread` columns
+    instead of meeting in one partition. A hot key is left to adaptive skew splitting, which may
+    cut the frame's side because the lookup holds one row per key.
     """
-    if lookup_rows <= broadcast_rows:
-        right = F.broadcast(lookup.withColumnRenamed(lookup_key, "_lookup_key"))
-        return frame.join(right, key == F.col("_lookup_key"), "left").drop("_lookup_key")
-    salt = F.when(
-        key.isNull(), F.pmod(F.xxhash64(*spread), F.lit(NULL_KEY_SALTS))
-    ).otherwise(F.lit(0).cast("bigint"))
-    left = frame.withColumn("_key", key).withColumn("_salt", salt)
-    right = lookup.withColumnRenamed(lookup_key, "_lookup_key").withColumn(
-        "_lookup_salt", F.lit(0).cast("bigint")
-    )
-    matched = left.hint("merge").join(
-        right,
-        (F.col("_key") == F.col("_lookup_key")) & (F.col("_salt") == F.col("_lookup_salt")),
-        "left",
+    right = lookup.withColumnRenamed(lookup_key, "_lookup_key")
+    if measured_bytes(lookup) <= broadcast_bytes:
+        joined = frame.join(F.broadcast(right), key == F.col("_lookup_key"), "left")
+        return joined.drop("_lookup_key")
+    key_type = right.schema["_lookup_key"].dataType
+    left = frame.withColumn("_key", key).withColumn(
+        "_shuffle_key", F.coalesce(key, F.xxhash64(*spread).cast(key_type))
     )
-    return matched.drop("_key", "_salt", "_lookup_key", "_lookup_salt")
+    # a spread value may equal a real key, hence the second condition
+    matches = (F.col("_shuffle_key") == F.col("_lookup_key")) & F.col("_key").isNotNull()
+    joined = left.hint("merge").join(right, matches, "left")
+    return joined.drop("_key", "_shuffle_key", "_lookup_key")

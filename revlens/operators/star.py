@@ -10,15 +10,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens import schemas
-from revlens.config import FACT_ORDER, Settings
+from revlens.config import Settings
 from revlens.functions import columns as C
 from revlens.functions.joins import attach
 from revlens.functions.modal import modal_of
-from revlens.functions.ranking import SortedStage, sorted_stage
+from revlens.functions.ranking import sorted_stage
+from revlens.operators.cleaning import SALE_KEY, number_sales
 from revlens.sources.stages import StageStore
 
 SHOWN = 5
 LINE_COLUMNS = (
+    "sale_key",
     "invoice_no",
     "date_key",
     "year_month",
@@ -86,7 +88,7 @@ def customer_spans(lines: DataFrame) -> DataFrame:
     )
 
 
-def build_dim_customer(lines: DataFrame, settings: Settings, store: StageStore) -> tuple[DataFrame, int]:
+def build_dim_customer(lines: DataFrame, settings: Settings, store: StageStore) -> DataFrame:
     """Identified customers keyed 1..n by id, plus the unknown member guests point to."""
     ordered = sorted_stage(
         store, customer_spans(lines), [F.col("customer_id").asc()], "customers"
@@ -112,10 +114,10 @@ def build_dim_customer(lines: DataFrame, settings: Settings, store: StageStore)
             for item in schemas.DIM_CUSTOMER.fields
         ]
     )
-    return guest.unionByName(known), ordered.rows
+    return store.save(guest.unionByName(known), "dim_customer")
 
 
-def build_dim_product(lines: DataFrame, store: StageStore) -> tuple[DataFrame, int]:
+def build_dim_product(lines: DataFrame, store: StageStore) -> DataFrame:
     """One row per stock code; a code seen under two line types is an error."""
     counted = lines.groupBy("stock_code", "description", "line_type").agg(
         F.count(F.lit(1)).alias("lines")
@@ -130,12 +132,8 @@ def build_dim_product(lines: DataFrame, store: StageStore) -> tuple[DataFrame, i
     examples = [row["stock_code"] for row in torn.select("stock_code").limit(SHOWN).collect()]
     if examples:
         raise ValueError(f"stock codes with more than one line type, such as {examples}")
-    return (
-        ordered.numbered("product_key").select(
-            "product_key", "stock_code", "description", "line_type"
-        ),
-        ordered.rows,
-    )
+    keyed = ordered.numbered("product_key")
+    return keyed.select("product_key", "stock_code", "description", "line_type")
 
 
 def build_dim_country(lines: DataFrame, regions: Mapping[str, str], store: StageStore) -> DataFrame:
@@ -155,29 +153,24 @@ def build_dim_country(lines: DataFrame, regions: Mapping[str, str], store: Stage
 
 
 def build_lines(
-    kept: DataFrame,
+    numbered: DataFrame,
     dim_customer: DataFrame,
-    customers: int,
     dim_product: DataFrame,
-    products: int,
     dim_country: DataFrame,
     settings: Settings,
-    store: StageStore,
-) -> SortedStage:
-    """The fact at full width, in key order, staged once for every mart to read.
+) -> DataFrame:
+    """The fact at full width.
 
     Line type, month, market and customer id ride along, so no mart joins a dimension back on.
     """
-    spread = ["invoice_no", "stock_code", "invoice_ts", "quantity"]
-    bound = settings.broadcast_rows
+    bound = settings.broadcast_bytes
     keyed = attach(
-        kept,
+        numbered,
         dim_product.select(F.col("stock_code").alias("dim_code"), "product_key"),
         F.col("stock_code"),
         "dim_code",
-        products,
         bound,
-        spread,
+        [SALE_KEY],
     )
     keyed = attach(
         keyed,
@@ -186,34 +179,18 @@ def build_lines(
         ),
         F.col("customer_id"),
         "dim_id",
-        customers,
         bound,
-        spread,
+        [SALE_KEY],
     )
     keyed = keyed.join(F.broadcast(dim_country), "country", "left")
     guest_key = F.lit(settings.unknown_customer_key).cast("bigint")
-    lines = keyed.select(
-        "invoice_no",
-        date_key(F.col("invoice_ts")).alias("date_key"),
-        C.year_month(F.col("invoice_ts")).alias("year_month"),
-        "invoice_ts",
-        F.when(F.col("customer_id").isNull(), guest_key)
-        .otherwise(F.col("known_key"))
-        .alias("customer_key"),
-        "customer_id",
-        "product_key",
-        "stock_code",
-        "line_type",
-        "country_key",
-        "country",
-        "region",
-        "quantity",
-        "unit_price",
-        "line_revenue",
-        F.col("is_cancellation").cast("int").alias("is_cancellation"),
-    )
-    return sorted_stage(
-        store, lines, [F.col(name).asc_nulls_last() for name in FACT_ORDER], "fact_lines"
+    customer_key = F.when(F.col("customer_id").isNull(), guest_key).otherwise(F.col("known_key"))
+    return (
+        keyed.withColumn("customer_key", customer_key)
+        .withColumn("date_key", date_key(F.col("invoice_ts")))
+        .withColumn("year_month", C.year_month(F.col("invoice_ts")))
+        .withColumn("is_cancellation", F.col("is_cancellation").cast("int"))
+        .select(*LINE_COLUMNS)
     )
 
 
@@ -250,34 +227,38 @@ class Star:
         return result
 
 
-def build_star(kept: DataFrame, settings: Settings, store: StageStore) -> Star:
-    dim_date = store.save(build_dim_date(kept), "dim_date")
-    dim_customer, customers = build_dim_customer(kept, settings, store)
-    dim_product, products = build_dim_product(kept, store)
+def build_star(transactions: DataFrame, settings: Settings, store: StageStore) -> Star:
+    """All five tables; transactions that carry no sale key yet are numbered first."""
+    numbered = transactions
+    if SALE_KEY not in transactions.columns:
+        numbered = number_sales(transactions, store).numbered(SALE_KEY)
+    dim_date = store.save(build_dim_date(numbered), "dim_date")
+    dim_customer = build_dim_customer(numbered, settings, store)
+    dim_product = build_dim_product(numbered, store)
     dim_country = store.save(
-        build_dim_country(kept, settings.country_regions, store), "dim_country"
+        build_dim_country(numbered, settings.country_regions, store), "dim_country"
     )
-    lines = build_lines(
-        kept, dim_customer, customers, dim_product, products, dim_country, settings, store
+    lines = store.save(
+        build_lines(numbered, dim_customer, dim_product, dim_country, settings), "fact_lines"
     )
-    fact = lines.numbered("sale_key").select(*schemas.FACT_SALES.names)
-    return Star(dim_date, dim_customer, dim_product, dim_country, fact, lines.table)
+    fact = lines.select(*schemas.FACT_SALES.names)
+    return Star(dim_date, dim_customer, dim_product, dim_country, fact, lines)
 
 
 def star_from_tables(tables: Mapping[str, DataFrame], settings: Settings) -> Star:
     """A star over tables that already exist; the wide lines come from joining them."""
     fact, customer = tables["fact_sales"], tables["dim_customer"]
     product, market = tables["dim_product"], tables["dim_country"]
-    customers, products, markets = customer.count(), product.count(), market.count()
-    spread = ["sale_key"]
 
-    def widened(frame: DataFrame, dim: DataFrame, key: str, extra: list[str], rows: int) -> DataFrame:
+    def widened(frame: DataFrame, dim: DataFrame, key: str, extra: list[str]) -> DataFrame:
         lookup = dim.select(F.col(key).alias("dim_key"), *extra, F.lit(1).alias("found"))
-        joined = attach(frame, lookup, F.col(key), "dim_key", rows, settings.broadcast_rows, spread)
+        joined = attach(
+            frame, lookup, F.col(key), "dim_key", settings.broadcast_bytes, [SALE_KEY]
+        )
         return joined.where("found = 1").drop("found")
 
-    lines = widened(fact, product, "product_key", ["stock_code", "line_type"], products)
-    lines = widened(lines, customer, "customer_key", ["customer_id"], customers)
-    lines = widened(lines, market, "country_key", ["country", "region"], markets)
+    lines = widened(fact, product, "product_key", ["stock_code", "line_type"])
+    lines = widened(lines, customer, "customer_key", ["customer_id"])
+    lines = widened(lines, market, "country_key", ["country", "region"])
     lines = lines.withColumn("year_month", C.year_month(F.col("invoice_ts"))).select(*LINE_COLUMNS)
     return Star(tables["dim_date"], customer, product, market, fact, lines)

@@ -12,8 +12,6 @@ from revlens.functions import columns as C
 from revlens.operators.star import Star
 from revlens.plans.marts import is_cancelled, is_kept, sales_lines
 
-WHOLE_WINDOW = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-
 
 def _count() -> Column:
     return F.count(F.lit(1))
@@ -61,7 +59,8 @@ def _segment_sums(rfm: DataFrame) -> DataFrame:
 
 def _of_all(column: str) -> Column:
     """Share of the total over all rows; only for frames of a few rows."""
-    return C.rounded(C.percent(F.col(column), F.sum(column).over(WHOLE_WINDOW)), 2)
+    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return C.rounded(C.percent(F.col(column), F.sum(column).over(everything)), 2)
 
 
 def segments_valued(rfm: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ def run(raw: DataFrame, settings: Settings, folder: str, store: StageStore | Non
         "transactions": sinks.write_table(cleaned.transactions(), f"{folder}/transactions"),
         "quarantine": sinks.write_table(cleaned.quarantine(), f"{folder}/quarantine"),
     }
-    star = build_star(cleaned.kept, settings, store)
+    star = build_star(cleaned.numbered, settings, store)
     marts = Marts(star, settings, store)
     gates.assert_gates(gates.gate_report(cleaned, star, marts))
     written |= sinks.write_tables(star.tables(), folder)

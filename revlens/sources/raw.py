@@ -61,3 +61,14 @@ def read_raw_parts(
             )
         )
     return reduce(DataFrame.unionByName, frames)
+
+
+def spread_scan(frame: DataFrame, *keys: str) -> DataFrame:
+    """Hash a scan over the cores when its files split into fewer tasks than there are cores.
+
+    A few unsplittable files would leave the cluster idle; an input of many splits stays as it is.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    if frame.rdd.getNumPartitions() >= cores:
+        return frame
+    return frame.repartition(cores, *keys)

@@ -29,7 +29,11 @@ def shared_folder(spark: SparkSession) -> str:
 class StageStore:
     def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
         self.spark = spark
-        self.folder = f"{(folder or shared_folder(spark)).rstrip('/')}/run-{uuid.uuid4().hex}"
+        self.folder = folder or f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+
+    def within(self, name: str) -> StageStore:
+        """A folder of its own inside this one, for work that must not touch the same stages."""
+        return StageStore(self.spark, self.path(name))
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"

@@ -13,7 +13,7 @@ from revlens.functions.columns import MONEY
 from revlens.operators.cleaning import CleanResult, clean, normalise_columns
 from revlens.operators.star import Star, build_star
 from revlens.plans.marts import Marts
-from revlens.sources.raw import ORDINAL, read_raw_parts
+from revlens.sources.raw import ORDINAL, read_raw_parts, spread_scan
 from revlens.sources.stages import StageStore
 
 COUNTRY_OVERRIDES = {"NATION_0": "Home"}
@@ -47,7 +47,7 @@ def bound_lines(spark: SparkSession, folder: str) -> DataFrame:
     orders, part = table(spark, folder, "orders"), table(spark, folder, "part")
     customer, nation = table(spark, folder, "customer"), table(spark, folder, "nation")
     joined = (
-        table(spark, folder, "lineitem")
+        spread_scan(table(spark, folder, "lineitem"), "l_orderkey")
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .join(customer, F.col("o_custkey") == F.col("c_custkey"))
@@ -145,7 +145,7 @@ class Workspace:
 
     @cached_property
     def star(self) -> Star:
-        return build_star(self.cleaned.kept, self.settings, self.store)
+        return build_star(self.cleaned.numbered, self.settings, self.store)
 
     @cached_property
     def marts(self) -> Marts:

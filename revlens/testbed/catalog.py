@@ -53,7 +53,9 @@ QUERIES: dict[str, Query] = {
     # sources and cleaning
     "src_raw_union": lambda w: quality.raw_union(w.raw),
     "clean_normalise": lambda w: _plain(w.normalised),
-    "clean_backfill": lambda w: _plain(cleaning.backfill_description(w.normalised, w.settings)),
+    "clean_backfill": lambda w: _plain(
+        cleaning.backfill_description(w.normalised, w.settings, w.store.within("backfill"))
+    ),
     "clean_dedup": lambda w: cleaning.drop_exact_duplicates(
         w.normalised, w.settings.duplicate_key
     ).drop(cleaning.ORDINAL),
