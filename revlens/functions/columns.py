@@ -57,13 +57,16 @@ def whole_number(column: Column, data_type: T.DataType) -> Column:
     ).otherwise(exact.cast("bigint"))
 
 
-def required_quantity(column: Column, data_type: T.DataType) -> Column:
-    """Mandatory integer: a fraction is cut towards zero, a missing value is an error."""
+def quantity(column: Column, data_type: T.DataType) -> Column:
+    """Nullable integer; a fraction is cut towards zero."""
     if not isinstance(data_type, INTEGRAL):
         column = without_nan(column, data_type).cast("decimal(38,10)")
-    return F.when(column.isNull(), F.raise_error(F.lit("quantity is missing"))).otherwise(
-        column.cast("bigint")
-    )
+    return column.cast("bigint")
+
+
+def required_quantity(column: Column, data_type: T.DataType) -> Column:
+    missing = F.raise_error(F.lit("quantity is missing"))
+    return F.when(column.isNull(), missing).otherwise(quantity(column, data_type))
 
 
 def price(column: Column, data_type: T.DataType) -> Column:

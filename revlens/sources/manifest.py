@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from urllib.parse import unquote, urlparse
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +21,6 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for uri in batch["path"]:
             if uri.startswith("file:"):
                 # local URIs are percent-encoded and come with one or three slashes
-                from urllib.parse import unquote, urlparse
-
                 filesystem, inner = fs.LocalFileSystem(), unquote(urlparse(uri).path)
             else:
                 filesystem, inner = fs.FileSystem.from_uri(uri)
@@ -36,8 +35,8 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def source_manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """One row per file: name, SHA-256, bytes and when it was recorded.
 
-    Spark only lists the files here; each task streams its files in small chunks, so a file need
-    not fit in memory.
+    Spark only lists the files here, skipping empty ones; each task streams its files in small
+    chunks, so a file need not fit in memory.
     """
     listing = (
         spark.read.format("binaryFile")

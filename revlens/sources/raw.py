@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revlens import schemas
+from revlens.functions import columns as C
 
 ORDINAL = "source_ordinal"
 PART = "source_part"
@@ -30,35 +31,46 @@ def _file_order(part_number: int, source_format: str) -> Column:
     )
 
 
+def _typed(frame: DataFrame) -> list[Column]:
+    """The eight raw columns in their contract types; a malformed value is an error."""
+    types = {item.name: item.dataType for item in frame.schema.fields}
+    casts = {
+        "Quantity": C.quantity,
+        "Price": C.price,
+        "Customer ID": C.whole_number,
+    }
+    return [
+        casts[item.name](F.col(f"`{item.name}`"), types[item.name]).alias(item.name)
+        if item.name in casts
+        else F.col(f"`{item.name}`").cast(item.dataType).alias(item.name)
+        for item in schemas.RAW.fields
+    ]
+
+
 def read_raw_parts(
     spark: SparkSession,
     parts: Mapping[str, str],
     source_format: str = "parquet",
-    schema: T.StructType = schemas.RAW,
     ordinal_column: str | None = None,
     options: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Stack the named parts in order, tagging each row with its part and its source position.
 
+    Parquet files bring their own types, which may differ from the contract's; text columns of a
+    CSV are read as text, for a typed CSV read would turn what it cannot parse into nulls.
     `ordinal_column` names a column that already carries the position; otherwise it comes from
     the file layout.
     """
     frames = []
     for number, (name, path) in enumerate(parts.items()):
-        fields = list(schema.fields)
-        if ordinal_column:
-            fields.append(T.StructField(ordinal_column, T.LongType()))
-        reader = spark.read.format(source_format).schema(T.StructType(fields))
+        reader = spark.read.format(source_format)
         if source_format == "csv":
-            reader = reader.option("header", "true")
+            text = [T.StructField(item.name, T.StringType()) for item in schemas.RAW.fields]
+            reader = reader.schema(T.StructType(text)).option("header", "true")
         frame = reader.options(**dict(options or {})).load(path)
         ordinal = F.col(ordinal_column) if ordinal_column else _file_order(number, source_format)
         frames.append(
-            frame.select(
-                *[F.col(f"`{item.name}`") for item in schema.fields],
-                F.lit(name).alias(PART),
-                ordinal.alias(ORDINAL),
-            )
+            frame.select(*_typed(frame), F.lit(name).alias(PART), ordinal.alias(ORDINAL))
         )
     return reduce(DataFrame.unionByName, frames)
 
