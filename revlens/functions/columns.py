@@ -34,7 +34,7 @@ def replaced(column: Column, mapping: Mapping[str, str]) -> Column:
 
 
 def line_type_of(code: Column, groups: Mapping[str, Sequence[str]], default: str) -> Column:
-    """Exact-code lookup; a code listed nowhere is an ordinary product."""
+    """Label of the group that lists the whole code; prefixes do not count."""
     result = None
     for label, codes in groups.items():
         hit = code.isin([str(item).strip().upper() for item in codes])

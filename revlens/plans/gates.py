@@ -134,7 +134,7 @@ def cohort_gates(marts: Marts) -> DataFrame:
 
 
 def pareto_gates(marts: Marts) -> DataFrame:
-    """The curve must end at 100 and may only fall where a stock code nets negative."""
+    """Last point at 100, and no step down on a stock code with net revenue of 0 or more."""
     pareto = marts.mart_product_pareto
     share = F.col("cumulative_share_pct")
     ending = pareto.agg(F.max_by("cumulative_share_pct", "revenue_rank").alias("last")).select(
@@ -201,7 +201,7 @@ def gate_report(result: CleanResult, star: Star, marts: Marts) -> DataFrame:
 
 
 def assert_gates(report: DataFrame, advisory: tuple[str, ...] = ADVISORY) -> dict[str, int]:
-    """Raise rather than publish a plausible wrong number; returns the report when all is well."""
+    """Raise if any gate outside `advisory` found a violation; return the findings otherwise."""
     found = {row["gate"]: row["violations"] for row in report.collect()}
     broken = {gate: n for gate, n in sorted(found.items()) if n and gate not in advisory}
     if broken:

@@ -241,7 +241,7 @@ def product_pareto(totals: DataFrame, star: Star, store: StageStore) -> DataFram
         C.percent(F.col("net_revenue"), whole).alias("revenue_share_pct"),
         C.percent(F.col("running_revenue"), whole).alias("cumulative_share_pct"),
     )
-    # the SKU that crosses the line still belongs to the band
+    # judged by the share before it, so the row that reaches 80% is inside
     in_band = F.when(running - share < BAND_PCT, 1).otherwise(0)
     return shared.join(star.dim_product.select("product_key", "description"), "product_key").select(
         "product_key",
@@ -289,7 +289,7 @@ def return_leakage(heads: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def country_performance(heads: DataFrame, settings: Settings) -> DataFrame:
-    # a customer with nothing but cancellations still counts here, unlike in the trend
+    # any sales line makes a customer of the market, whereas the trend asks for a kept one
     known = F.col("customer_key") != settings.unknown_customer_key
     markets = heads.groupBy("country", "region").agg(
         C.sum_when(is_kept(), F.col("revenue")).alias("gross_revenue"),

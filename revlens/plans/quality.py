@@ -52,7 +52,7 @@ def row_accounting(result: CleanResult) -> DataFrame:
 
 
 def rule_counts(result: CleanResult) -> DataFrame:
-    """Lines each rule touched, all measured before quarantine."""
+    """Lines touched per rule, quarantined lines included."""
     filled = result.modal.agg(
         F.coalesce(
             F.sum(
@@ -314,7 +314,7 @@ def stock_code_evidence(audit: DataFrame, settings: Settings) -> DataFrame:
     """Codes that do not start with a digit: their class, size and usual description."""
     code = _clean_code()
     counted = (
-        audit.where(~code.rlike(r"^\d"))
+        audit.where(~code.rlike(r"(?U)^\d"))
         .groupBy(code.alias("stock_code"), "Description")
         .agg(_count().alias("lines"), F.sum(_line_value()).alias("revenue"))
     )

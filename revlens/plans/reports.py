@@ -26,7 +26,7 @@ def _mean(column: str) -> Column:
 
 
 def top_markets(countries: DataFrame, rows: int = 10) -> DataFrame:
-    """The largest markets and what each contributes to the net of all markets."""
+    """First markets by rank; the share is taken over all markets, not just the ones shown."""
     whole = countries.agg(F.sum("net_revenue")).scalar()
     return (
         countries.orderBy("revenue_rank", "country")
@@ -64,7 +64,7 @@ def _of_all(column: str) -> Column:
 
 
 def segments_valued(rfm: DataFrame) -> DataFrame:
-    """Every customer segment, sized and valued."""
+    """Customers, revenue and averages per segment, with shares of the whole book."""
     return (
         _segment_sums(rfm)
         .select(
@@ -82,7 +82,7 @@ def segments_valued(rfm: DataFrame) -> DataFrame:
 
 
 def band_against_tail(pareto: DataFrame) -> DataFrame:
-    """How concentrated the catalogue is either side of the 80% line."""
+    """Stock codes, units and revenue inside the 80% band against those outside it."""
     bands = pareto.groupBy("in_top_80_band").agg(
         _count().alias("skus"),
         F.sum("units").alias("units"),
@@ -103,7 +103,7 @@ def band_against_tail(pareto: DataFrame) -> DataFrame:
 
 
 def worst_leaks(leakage: DataFrame, rows: int = 5) -> DataFrame:
-    """The most negative returns at each grain; the name breaks ties."""
+    """Per grain, the rows that returned the most; the name breaks ties."""
     place = F.row_number().over(Window.partitionBy("grain").orderBy("returns", "grain_value"))
     return (
         leakage.where("gross_revenue > 0")
@@ -153,7 +153,7 @@ def kpi_customers(rfm: DataFrame) -> DataFrame:
 
 
 def kpi_year_on_year(trend: DataFrame, settings: Settings) -> DataFrame:
-    """Two whole 12-month windows, so a partial last month cannot distort the growth."""
+    """Net revenue of the two configured month windows and the growth between them."""
     month = F.col("year_month")
     sums = trend.agg(
         F.sum(F.when(month.between(*settings.recent_year), F.col("net_revenue"))).alias("recent"),
@@ -256,7 +256,7 @@ def retention_curve(cohorts: DataFrame) -> DataFrame:
 
 
 def pareto_curve(pareto: DataFrame, points: int) -> DataFrame:
-    """The concentration curve thinned for drawing; both ends stay."""
+    """About `points` evenly spaced ranks of the running share, plus the first and the last."""
     rank = F.col("revenue_rank")
     counted = pareto.select("revenue_rank", "cumulative_share_pct").withColumn(
         "total", pareto.agg(F.max("revenue_rank")).scalar()
@@ -354,9 +354,9 @@ def _leading_returns(leakage: DataFrame, rows: int) -> DataFrame:
 
 
 def same_day_reversals(star: Star, settings: Settings) -> DataFrame:
-    """Cancellations that undo an equal sale of the same day: entry corrections, not returns.
+    """Cancelled lines that take back a sale made on the same day.
 
-    A cancellation is undone when a kept line of the same customer, product and day carries the
+    A cancelled line counts when some kept line of the same customer, product and day carries the
     opposite quantity. Turning a cancelled line's sign round puts it under the same grouping key as
     the sale it undoes, so one aggregation finds the pairs and no line is ever matched with another.
     """

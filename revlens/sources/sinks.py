@@ -24,7 +24,7 @@ def write_tables(tables: Mapping[str, DataFrame], folder: str) -> dict[str, int]
 
 
 def export_marts(marts: Mapping[str, DataFrame], folder: str) -> dict[str, int]:
-    """Write every mart sorted on all of its columns, so a rebuild writes the same rows in order."""
+    """Write every mart sorted on all of its columns; returns the rows written per mart."""
     counts = {}
     for name in sorted(marts):
         frame = with_double_money(marts[name])
@@ -34,12 +34,17 @@ def export_marts(marts: Mapping[str, DataFrame], folder: str) -> dict[str, int]:
 
 
 def register_marts(spark: SparkSession, marts: Mapping[str, DataFrame], prefix: str = "mart_") -> list[str]:
-    """Expose the marts to SQL as temporary views and list the views now defined."""
+    """Create one temporary view per mart; returns the names of all views with the prefix."""
     for name, frame in marts.items():
         with_double_money(frame).createOrReplaceTempView(name)
     return sorted(table.name for table in spark.catalog.listTables(pattern=f"{prefix}*"))
 
 
+def write_manifest(manifest: DataFrame, path: str) -> None:
+    """One JSON line per input file."""
+    manifest.write.mode("overwrite").json(path)
+
+
 def json_text(document: Mapping[str, Any]) -> str:
     return json.dumps(document, indent=2, sort_keys=True, ensure_ascii=False) + "\n"
 

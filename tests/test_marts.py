@@ -3,7 +3,7 @@ from __future__ import annotations
 from decimal import Decimal
 
 import pytest
-from conftest import CUSTOMER_ORDERS, hand_tables, transactions_frame
+from conftest import HAND_KEYS, hand_tables, transactions_frame
 from pyspark.sql import functions as F
 
 from revlens.config import SEGMENTS
@@ -36,7 +36,7 @@ def test_trend_steps_ratios_and_guest_rules(hand_marts):
 
 def test_rfm_scores_every_customer_and_fills_every_segment(hand_marts):
     rows = {row["customer_key"]: row for row in hand_marts.mart_rfm.collect()}
-    assert set(rows) == set(CUSTOMER_ORDERS)
+    assert set(rows) == HAND_KEYS
     assert {row["segment"] for row in rows.values()} == set(SEGMENTS)
     assert (rows[1]["recency_days"], rows[1]["r_score"]) == (0, 5)
     assert rows[10]["r_score"] == 1

@@ -76,6 +76,9 @@ def test_manifest_streams_every_file(spark, tmp_path):
         name: (hashlib.sha256(content[name]).hexdigest(), len(content[name]))
         for name in ("one.bin", "two words.bin")
     }
+    manifest = source_manifest(spark, str(tmp_path), "*.bin")
+    sinks.write_manifest(manifest, f"file://{tmp_path}/manifest")
+    assert spark.read.json(f"file://{tmp_path}/manifest").count() == 2
     assert all(row["recorded_at"] is not None for row in rows.values())
 
 
