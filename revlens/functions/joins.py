@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FIXED_WIDTH = 8
+HOT_KEYS = 1000
 
 
 def measured_bytes(frame: DataFrame) -> int:
@@ -32,23 +33,44 @@ def attach(
     lookup_key: str,
     broadcast_bytes: int,
     spread: Sequence[str],
+    weight: str | None = None,
 ) -> DataFrame:
     """Left join `lookup`, unique on `lookup_key` and cheap to read, where `key` matches.
 
     The lookup is broadcast only when its measured size is within the bound. Past it both sides
-    shuffle. Rows with a null key match nothing, so they shuffle by a hash of the `spread` columns
-    instead of meeting in one partition. A hot key is left to adaptive skew splitting, which may
-    cut the frame's side because the lookup holds one row per key.
+    shuffle, and no key may fill a partition:
+
+    - `weight` names the lookup column that counts the rows per key. Keys with a thousandth of all
+      rows or more, so a thousand of them at most, are looked up in a broadcast of their own.
+      Without a weight, hot keys are left to adaptive skew splitting.
+    - Rows with no key, or served by the hot lookup, shuffle by a hash of the `spread` columns.
     """
-    right = lookup.withColumnRenamed(lookup_key, "_lookup_key")
-    if measured_bytes(lookup) <= broadcast_bytes:
+    values = [name for name in lookup.columns if name not in (lookup_key, weight)]
+    right = lookup.select(F.col(lookup_key).alias("_lookup_key"), *values)
+    if measured_bytes(right) <= broadcast_bytes:
         joined = frame.join(F.broadcast(right), key == F.col("_lookup_key"), "left")
         return joined.drop("_lookup_key")
+    names = frame.columns
+    left, cold_key = frame, key
+    if weight:
+        whole = lookup.agg(F.sum(weight)).scalar()
+        hot = lookup.where(F.col(weight) * HOT_KEYS >= whole).select(
+            F.col(lookup_key).alias("_hot_key"),
+            *[F.col(name).alias(f"_hot_{name}") for name in values],
+        )
+        left = frame.join(F.broadcast(hot), key == F.col("_hot_key"), "left")
+        cold_key = F.when(F.col("_hot_key").isNull(), key)
     key_type = right.schema["_lookup_key"].dataType
-    left = frame.withColumn("_key", key).withColumn(
-        "_shuffle_key", F.coalesce(key, F.xxhash64(*spread).cast(key_type))
+    left = left.withColumn("_key", cold_key).withColumn(
+        "_shuffle_key", F.coalesce(cold_key, F.xxhash64(*spread).cast(key_type))
     )
     # a spread value may equal a real key, hence the second condition
     matches = (F.col("_shuffle_key") == F.col("_lookup_key")) & F.col("_key").isNotNull()
     joined = left.hint("merge").join(right, matches, "left")
-    return joined.drop("_key", "_shuffle_key", "_lookup_key")
+    if not weight:
+        return joined.select(*names, *values)
+    is_hot = F.col("_hot_key").isNotNull()
+    return joined.select(
+        *names,
+        *[F.when(is_hot, F.col(f"_hot_{name}")).otherwise(F.col(name)).alias(name) for name in values],
+    )

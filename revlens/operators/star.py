@@ -85,17 +85,27 @@ def customer_spans(lines: DataFrame) -> DataFrame:
         F.min("first_ts").alias("first_purchase_ts"),
         F.max("last_ts").alias("last_purchase_ts"),
         modal_of("country", "lines").alias("home_country"),
+        F.sum("lines").alias("lines"),
     )
 
 
-def build_dim_customer(lines: DataFrame, settings: Settings, store: StageStore) -> DataFrame:
+@dataclass(frozen=True)
+class KeyedDimension:
+    """A dimension, and the lookup from natural to surrogate key with the lines behind each key."""
+
+    table: DataFrame
+    keys: DataFrame
+
+
+def build_dim_customer(lines: DataFrame, settings: Settings, store: StageStore) -> KeyedDimension:
     """Identified customers keyed 1..n by id, plus the unknown member guests point to."""
     ordered = sorted_stage(
         store, customer_spans(lines), [F.col("customer_id").asc()], "customers"
     )
+    numbered = ordered.numbered("customer_key")
     # elapsed whole days, unlike the calendar days recency is measured in
     tenure = F.extract(F.lit("DAY"), F.col("last_purchase_ts") - F.col("first_purchase_ts"))
-    known = ordered.numbered("customer_key").select(
+    known = numbered.select(
         "customer_key",
         "customer_id",
         "first_purchase_ts",
@@ -114,10 +124,12 @@ def build_dim_customer(lines: DataFrame, settings: Settings, store: StageStore)
             for item in schemas.DIM_CUSTOMER.fields
         ]
     )
-    return store.save(guest.unionByName(known), "dim_customer")
+    table = store.save(guest.unionByName(known), "dim_customer")
+    keys = numbered.select(F.col("customer_id").alias("dim_id"), F.col("customer_key").alias("known_key"), "lines")
+    return KeyedDimension(table, keys)
 
 
-def build_dim_product(lines: DataFrame, store: StageStore) -> DataFrame:
+def build_dim_product(lines: DataFrame, store: StageStore) -> KeyedDimension:
     """One row per stock code; a code seen under two line types is an error."""
     counted = lines.groupBy("stock_code", "description", "line_type").agg(
         F.count(F.lit(1)).alias("lines")
@@ -126,14 +138,17 @@ def build_dim_product(lines: DataFrame, store: StageStore) -> DataFrame:
         modal_of("description", "lines").alias("description"),
         F.min("line_type").alias("line_type"),
         F.max("line_type").alias("other_type"),
+        F.sum("lines").alias("lines"),
     )
     ordered = sorted_stage(store, codes, [F.col("stock_code").asc_nulls_last()], "products")
     torn = ordered.table.where(F.col("line_type") != F.col("other_type"))
     examples = [row["stock_code"] for row in torn.select("stock_code").limit(SHOWN).collect()]
     if examples:
         raise ValueError(f"stock codes with more than one line type, such as {examples}")
-    keyed = ordered.numbered("product_key")
-    return keyed.select("product_key", "stock_code", "description", "line_type")
+    numbered = ordered.numbered("product_key")
+    table = numbered.select("product_key", "stock_code", "description", "line_type")
+    keys = numbered.select(F.col("stock_code").alias("dim_code"), "product_key", "lines")
+    return KeyedDimension(table, keys)
 
 
 def build_dim_country(lines: DataFrame, regions: Mapping[str, str], store: StageStore) -> DataFrame:
@@ -154,8 +169,8 @@ def build_dim_country(lines: DataFrame, regions: Mapping[str, str], store: Stage
 
 def build_lines(
     numbered: DataFrame,
-    dim_customer: DataFrame,
-    dim_product: DataFrame,
+    customer_keys: DataFrame,
+    product_keys: DataFrame,
     dim_country: DataFrame,
     settings: Settings,
 ) -> DataFrame:
@@ -163,24 +178,12 @@ def build_lines(
 
     Line type, month, market and customer id ride along, so no mart joins a dimension back on.
     """
-    bound = settings.broadcast_bytes
+    bound, spread = settings.broadcast_bytes, [SALE_KEY]
     keyed = attach(
-        numbered,
-        dim_product.select(F.col("stock_code").alias("dim_code"), "product_key"),
-        F.col("stock_code"),
-        "dim_code",
-        bound,
-        [SALE_KEY],
+        numbered, product_keys, F.col("stock_code"), "dim_code", bound, spread, weight="lines"
     )
     keyed = attach(
-        keyed,
-        dim_customer.where("is_guest = 0").select(
-            F.col("customer_id").alias("dim_id"), F.col("customer_key").alias("known_key")
-        ),
-        F.col("customer_id"),
-        "dim_id",
-        bound,
-        [SALE_KEY],
+        keyed, customer_keys, F.col("customer_id"), "dim_id", bound, spread, weight="lines"
     )
     keyed = keyed.join(F.broadcast(dim_country), "country", "left")
     guest_key = F.lit(settings.unknown_customer_key).cast("bigint")
@@ -233,16 +236,16 @@ def build_star(transactions: DataFrame, settings: Settings, store: StageStore) -
     if SALE_KEY not in transactions.columns:
         numbered = number_sales(transactions, store).numbered(SALE_KEY)
     dim_date = store.save(build_dim_date(numbered), "dim_date")
-    dim_customer = build_dim_customer(numbered, settings, store)
-    dim_product = build_dim_product(numbered, store)
+    customers = build_dim_customer(numbered, settings, store)
+    products = build_dim_product(numbered, store)
     dim_country = store.save(
         build_dim_country(numbered, settings.country_regions, store), "dim_country"
     )
     lines = store.save(
-        build_lines(numbered, dim_customer, dim_product, dim_country, settings), "fact_lines"
+        build_lines(numbered, customers.keys, products.keys, dim_country, settings), "fact_lines"
     )
     fact = lines.select(*schemas.FACT_SALES.names)
-    return Star(dim_date, dim_customer, dim_product, dim_country, fact, lines)
+    return Star(dim_date, customers.table, products.table, dim_country, fact, lines)
 
 
 def star_from_tables(tables: Mapping[str, DataFrame], settings: Settings) -> Star:

@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 from revlens.config import DUPLICATE_KEY
 from revlens.functions.joins import attach
 from revlens.operators import cleaning
-from revlens.operators.star import build_lines, build_star
+from revlens.operators.star import (
+    build_dim_customer,
+    build_dim_product,
+    build_lines,
+    build_star,
+)
 from revlens.plans import marts as M
 from revlens.plans import quality, reports
 
@@ -89,18 +94,45 @@ def test_the_fact_needs_no_shuffle_to_read(built):
     assert "Exchange" not in plan_of(star.fact_sales)
 
 
-def test_dimensions_are_broadcast_only_within_the_bound(built, settings):
+def test_dimensions_are_broadcast_only_within_the_bound(built, settings, store):
     result, star, _ = built
-    parts = (result.numbered, star.dim_customer, star.dim_product, star.dim_country)
+    parts = (
+        result.numbered,
+        build_dim_customer(result.numbered, settings, store).keys,
+        build_dim_product(result.numbered, store).keys,
+        star.dim_country,
+    )
     assert "SortMergeJoin" not in plan_of(build_lines(*parts, settings))
     tight = build_lines(*parts, settings.with_values(broadcast_bytes=0))
     plan = plan_of(tight)
-    # only the market dimension, bounded by the region map, is still broadcast
-    assert plan.count("SortMergeJoin") == 2 and plan.count("BroadcastHashJoin") == 1
+    # still broadcast: the markets, bounded by the region map, and the few hot keys of each lookup
+    assert plan.count("SortMergeJoin") == 2 and plan.count("BroadcastHashJoin") == 3
     wide = build_lines(*parts, settings)
     assert tight.exceptAll(wide).count() == 0 and tight.count() == wide.count()
 
 
+def test_a_hot_key_fills_no_partition_of_a_merge_join(spark, store):
+    # key 1 holds half of the rows, a quarter has no key, adaptive splitting is off
+    n = F.col("id")
+    frame = spark.range(8000).select(
+        "id", F.when(n % 2 == 0, 1).when(n % 4 == 1, n % 5000 + 2).cast("bigint").alias("key")
+    )
+    counts = frame.where("key IS NOT NULL").groupBy("key").count()
+    lookup = store.save(
+        counts.select(F.col("key").alias("code"), (F.col("key") * 10).alias("value"), F.col("count").alias("rows")),
+        "lookup",
+    )
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = attach(frame, lookup, F.col("key"), "code", 0, ["id"], weight="rows")
+        assert "SortMergeJoin" in plan_of(joined) and joined.columns == ["id", "key", "value"]
+        assert joined.where("value <=> key * 10").count() == 8000
+        sizes = [row["count"] for row in joined.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == 4 and max(sizes) < 2500
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_empty_keys_are_dealt_out(spark):
     frame = spark.range(4000).select(
         "id", F.when(F.col("id") % 2 == 0, F.col("id") % 100).alias("key")
