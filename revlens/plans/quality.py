@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from revlens.config import LINE_TYPES, Settings
 from revlens.functions import columns as C
 from revlens.functions.modal import modal_of
-from revlens.operators.cleaning import COPIES, REASON, CleanResult
+from revlens.operators.cleaning import COPIES, REASON, CleanResult, normalise_columns
 from revlens.sources.raw import ORDINAL, PART
 
 SHARE_DIGITS = 6
@@ -77,15 +77,19 @@ def revenue_block(result: CleanResult) -> DataFrame:
     """Gross, returns and net of the sales lines, next to the totals they must tie back to."""
     sales = F.col("line_type").isin(list(result.settings.net_line_types)) & F.col(REASON).isNull()
     cancelled = F.col("is_cancellation")
-    # quantity and price belong to the duplicate key, so every copy carries the same revenue
+    # taken from the union itself, two columns of it, so that it can contradict the cleaned lines
+    raw_gross = (
+        normalise_columns(result.raw, result.settings)
+        .agg(F.coalesce(F.sum("line_revenue"), F.lit(0).cast(C.MONEY)))
+        .scalar()
+    )
     sums = result.lines.agg(
-        F.sum(F.col("line_revenue") * F.col(COPIES)).alias("raw_gross"),
         C.sum_when(F.col(REASON).isNull(), F.col("line_revenue")).alias("all_line_types"),
         C.sum_when(sales & ~cancelled, F.col("line_revenue")).alias("gross"),
         C.sum_when(sales & cancelled, F.col("line_revenue")).alias("returns"),
     )
     return sums.select(
-        C.money(F.col("raw_gross")).alias("raw_gross"),
+        C.money(raw_gross).alias("raw_gross"),
         C.money(F.col("all_line_types")).alias("all_line_types"),
         C.money(F.col("gross")).alias("gross"),
         C.money(F.col("returns")).alias("returns"),

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,23 +28,26 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class StageStore:
+    """One folder of stages. A name saved again gets a path of its own, so no stage that an earlier
+    frame still reads is ever overwritten."""
+
     def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
         self.spark = spark
         self.folder = folder or f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+        self._saves: Counter[str] = Counter()
 
     def within(self, name: str) -> StageStore:
-        """A folder of its own inside this one, for work that must not touch the same stages."""
-        return StageStore(self.spark, self.path(name))
+        """A fresh folder inside this one."""
+        return StageStore(self.spark, self.path(f"{name}-{uuid.uuid4().hex[:8]}"))
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
     def save(self, frame: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
-        writer = frame.write.mode("overwrite")
+        self._saves[name] += 1
+        path = self.path(name if self._saves[name] == 1 else f"{name}-{self._saves[name]}")
+        writer = frame.write.mode("error")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        writer.parquet(self.path(name))
-        return self.read(name, frame)
-
-    def read(self, name: str, like: DataFrame) -> DataFrame:
-        return self.spark.read.schema(like.schema).parquet(self.path(name))
+        writer.parquet(path)
+        return self.spark.read.schema(frame.schema).parquet(path)
