@@ -125,7 +125,9 @@ def build_dim_customer(lines: DataFrame, settings: Settings, store: StageStore)
         ]
     )
     table = store.save(guest.unionByName(known), "dim_customer")
-    keys = numbered.select(F.col("customer_id").alias("dim_id"), F.col("customer_key").alias("known_key"), "lines")
+    keys = numbered.select(
+        F.col("customer_id").alias("dim_id"), F.col("customer_key").alias("known_key"), "lines"
+    )
     return KeyedDimension(table, keys)
 
 
