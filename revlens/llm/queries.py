@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm import decontaminate, minhash, mixing, rules, sharding
+from revlens.llm import decontaminate, language, minhash, mixing, quality, rules, sharding
 from revlens.llm.common import table
 from revlens.llm.shipping import ship_package
 from revlens.sources.stages import StageStore
@@ -53,6 +53,16 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_windows", "n_matched", "n_changed_slots").distinct()
 
 
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """The quality score of every document."""
+    return quality.score_documents(_documents(spark, folder), table(spark, folder, "labels"))
+
+
+def op6_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document."""
+    return language.identify_languages(_documents(spark, folder)).drop("spans")
+
+
 def op9_rules(spark: SparkSession, folder: str) -> DataFrame:
     """The base counts, the likelihood ratio and the verdict of every document."""
     docs = _documents(spark, folder).select("doc_id", "text")
@@ -70,6 +80,8 @@ QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op2_minhash": op2_minhash,
     "op4_decontamination": op4_decontamination,
+    "op5_quality": op5_quality,
+    "op6_language": op6_language,
     "op9_rules": op9_rules,
     "op10_mixing": op10_mixing,
 }
