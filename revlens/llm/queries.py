@@ -65,9 +65,9 @@ def op6_language(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_rules(spark: SparkSession, folder: str) -> DataFrame:
     """The base counts, the likelihood ratio and the verdict of every document."""
+    # the text itself is not wanted back, so only its id goes along
     docs = _documents(spark, folder).select("doc_id", "text")
-    judged = rules.quality_rules(docs, table(spark, folder, "labels"), StageStore(spark))
-    return judged.drop("text")
+    return rules.quality_rules(docs, table(spark, folder, "labels"), StageStore(spark), carry=("doc_id",))
 
 
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:

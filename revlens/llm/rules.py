@@ -9,11 +9,12 @@ below a fixed mean are rejected: every document meets the same threshold, withou
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import ROW, WORD, array_literal, boxed, quoted, unboxed
+from revlens.llm.common import ROW, WORD, array_literal, quoted, unboxed
 from revlens.sources.stages import StageStore
 
 WINDOW = 8
@@ -30,49 +31,48 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "
 RESULTS = (*BASE, "n_grams", "log_ratio", "kept")
 
 
-def _words(text: str) -> Column:
-    return F.regexp_extract_all(F.coalesce(quoted(text), F.lit("")), F.lit(WORD), F.lit(0))
+def _spaced(text: Column) -> Column:
+    """The text with every blank a plain space."""
+    spaced = F.coalesce(text, F.lit(""))
+    for blank in "\t\n\x0b\x0c\r":
+        spaced = F.replace(spaced, F.lit(blank), F.lit(" "))
+    return spaced
 
 
 def _doubled(hashes: str, step: int) -> Column:
+    """Hashes of runs twice as long from hashes of runs of `step` words."""
     shifted = F.slice(hashes, step + 1, F.greatest(F.size(hashes), F.lit(1)))
     pairs = F.zip_with(hashes, shifted, lambda one, two: F.xxhash64(one, two))
+    # the last `step` runs have no partner
     return F.slice(pairs, 1, F.greatest(F.size(hashes) - F.lit(step), F.lit(0)))
 
 
-def _hashed(docs: DataFrame, text: str) -> DataFrame:
-    """`_hashes` of words and `_pairs` of neighbouring words beside the columns there are."""
-    hashed = docs.withColumn("_words", _words(text))
-    hashed = hashed.withColumn("_hashes", F.transform("_words", lambda word: F.xxhash64(word)))
-    return hashed.withColumn("_pairs", _doubled("_hashes", 1))
-
-
-def _bucket(value: Column) -> Column:
-    return F.pmod(value, F.lit(BUCKETS)).cast("int")
-
-
-def _grams() -> Column:
-    return F.concat("_hashes", "_pairs")
+def _gram_buckets() -> Column:
+    """Buckets of words and of pairs, small enough for two bytes each."""
+    low = F.lit(BUCKETS - 1)
+    return F.transform(
+        F.concat("_hashes", "_pairs"),
+        lambda gram: (gram.bitwiseAND(low) - F.lit(BUCKETS // 2)).cast("smallint"),
+    )
 
 
-def log_ratios(docs: DataFrame, trusted: Column, text: str = "text") -> list[int]:
+def log_ratios(grams: DataFrame, trusted: Column) -> list[int]:
     """The log ratio of each bucket in millionths, smoothed by one n-gram a bucket.
 
-    Counts cover all words of all documents; what comes back is one row a bucket. Without trusted
+    `grams` has the `_grams` of all documents; what comes back is one row a bucket. Without trusted
     documents every ratio is 0.
     """
-    marked = _hashed(docs.select(quoted(text).alias(text), trusted.cast("int").alias("_trusted")), text)
-    exploded = marked.select("_trusted", F.explode_outer(_grams()).alias("_gram"))
+    exploded = grams.select(trusted.cast("int").alias("_trusted"), F.explode_outer("_grams").alias("_gram"))
     counted = (
-        exploded.where("_gram is not null")
-        .groupBy(_bucket(F.col("_gram")).alias("bucket"))
+        exploded.groupBy("_gram")
         .agg(F.count(F.lit(1)).alias("raw"), F.sum("_trusted").alias("target"))
+        .where("_gram is not null")
         .collect()
     )
     raw, target = [1] * BUCKETS, [1] * BUCKETS
     for row in counted:
-        raw[row["bucket"]] += row["raw"]
-        target[row["bucket"]] += row["target"]
+        raw[row["_gram"] + BUCKETS // 2] += row["raw"]
+        target[row["_gram"] + BUCKETS // 2] += row["target"]
     if sum(target) == BUCKETS:
         return [0] * BUCKETS
     shift = math.log(sum(raw) / sum(target))
@@ -84,7 +84,10 @@ def log_ratios(docs: DataFrame, trusted: Column, text: str = "text") -> list[int
 
 def with_base_counts(docs: DataFrame, text: str) -> DataFrame:
     """`docs` with `_words`, `_hashes`, `_pairs` and the counts of the base rules."""
-    counted = _hashed(docs, text)
+    counted = docs.withColumn("_spaced", _spaced(quoted(text)))
+    counted = counted.withColumn("_words", F.array_remove(F.split("_spaced", " "), ""))
+    counted = counted.withColumn("_hashes", F.transform("_words", lambda word: F.xxhash64(word)))
+    counted = counted.withColumn("_pairs", _doubled("_hashes", 1))
     lines = F.filter(F.split(F.coalesce(quoted(text), F.lit("")), "\n"), lambda line: line.rlike(WORD))
     counted = counted.withColumn("_lines", lines)
     counted = counted.withColumn("_quads", _doubled("_pairs", 2))
@@ -117,7 +120,7 @@ def with_base_counts(docs: DataFrame, text: str) -> DataFrame:
     counted = counted.withColumns(
         {
             "n_words": F.size("_words").cast("bigint"),
-            "word_chars": F.length(F.array_join("_words", "")).cast("bigint"),
+            "word_chars": F.length(F.replace("_spaced", F.lit(" "), F.lit(""))).cast("bigint"),
             "n_symbols": F.coalesce(F.regexp_count(quoted(text), F.lit(SYMBOLS)), F.lit(0)).cast("bigint"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
             "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("bigint"),
@@ -129,47 +132,52 @@ def with_base_counts(docs: DataFrame, text: str) -> DataFrame:
     return counted.withColumn("base_failed", failed)
 
 
-def judge(docs: DataFrame, ratios: list[int], text: str = "text") -> DataFrame:
-    """`docs` with the base counts, base_failed, n_grams, log_ratio (mean, in nats) and kept.
+def trusted_sample(docs: DataFrame, labels: DataFrame) -> Column:
+    """Whether a document is one of the trusted ones: labelled good, at most about
+    `TRUSTED_DOCUMENTS` of them, picked by a hash of doc_id. Their ids come to the driver."""
+    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"))
+    good = good.distinct()
+    rate = min(1.0, TRUSTED_DOCUMENTS / max(good.count(), 1))
+    picked = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(rate * 1_000_000))
+    ids = [row["doc_id"] for row in good.where(picked).collect()]
+    return F.coalesce(quoted("doc_id").cast("bigint").isin(ids), F.lit(False)) if ids else F.lit(False)
+
 
-    A null or empty text has no words: its counts are 0, base_failed holds and it is not kept. Repeated
-    rows get equal answers. An input column with the name of a result gives way to it. An empty table
-    gives an empty result.
+def quality_rules(
+    docs: DataFrame,
+    labels: DataFrame,
+    store: StageStore,
+    text: str = "text",
+    carry: Sequence[str] | None = None,
+) -> DataFrame:
+    """`docs`, or its columns named in `carry`, with the base counts, base_failed, n_grams, log_ratio (mean, in nats) and kept.
+
+    Texts are read once: the counts and the buckets of their n-grams are staged, ratios are estimated
+    from all of them, and the scores are sums over the staged buckets. A null or empty text has no
+    words: its counts are 0, base_failed holds and it is not kept. Repeated rows get equal answers. An
+    input column with the name of a result gives way to it. An empty table gives an empty result.
     """
-    table = array_literal(ratios, "int")
-    inner = boxed(docs.withColumn("_text_", quoted(text))).select(
-        F.col(ROW).dropFields("_text_").alias(ROW), F.col(f"{ROW}._text_").alias("_text")
+    names = docs.columns if carry is None else list(carry)
+    inner = docs.select(
+        F.struct(*[quoted(name) for name in names]).alias(ROW),
+        quoted(text).alias("_text"),
+        trusted_sample(docs, labels).alias("_trusted"),
     )
-    counted = with_base_counts(inner, "_text")
+    counted = with_base_counts(inner, "_text").select(ROW, "_trusted", *BASE, _gram_buckets().alias("_grams"))
+    counted = store.save(counted, "counted")
+    table = array_literal(log_ratios(counted, F.col("_trusted")), "int")
     total = F.aggregate(
-        _grams(), F.lit(0).cast("bigint"), lambda sum_, gram: sum_ + F.get(table, _bucket(gram))
+        "_grams",
+        F.lit(0).cast("bigint"),
+        lambda sum_, gram: sum_ + F.get(table, gram + F.lit(BUCKETS // 2)),
     )
-    grams = (F.size("_hashes") + F.size("_pairs")).cast("bigint")
-    scored = counted.withColumns({"_total": total, "n_grams": grams})
+    scored = counted.withColumns({"_total": total, "n_grams": F.size("_grams").cast("bigint")})
     passed = ~F.col("base_failed") & (F.col("_total") >= F.col("n_grams") * F.lit(MIN_MEAN))
+    mean = F.col("_total") / F.col("n_grams") / F.lit(float(SCALE))
     return scored.select(
-        *unboxed(docs.columns, RESULTS),
+        *unboxed(names, RESULTS),
         *BASE,
         "n_grams",
-        F.when(F.col("n_grams") > 0, F.col("_total") / F.col("n_grams") / F.lit(float(SCALE)))
-        .otherwise(F.lit(0.0))
-        .alias("log_ratio"),
+        F.when(F.col("n_grams") > 0, mean).otherwise(F.lit(0.0)).alias("log_ratio"),
         passed.alias("kept"),
     )
-
-
-def trusted_sample(docs: DataFrame, labels: DataFrame, store: StageStore) -> Column:
-    """Whether a document is one of the trusted ones: labelled good, at most about
-    `TRUSTED_DOCUMENTS` of them, picked by a hash of doc_id. Their ids come to the driver."""
-    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"))
-    good = good.distinct()
-    rate = min(1.0, TRUSTED_DOCUMENTS / max(good.count(), 1))
-    picked = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(rate * 1_000_000))
-    ids = [row["doc_id"] for row in good.where(picked).collect()]
-    return F.coalesce(quoted("doc_id").cast("bigint").isin(ids), F.lit(False)) if ids else F.lit(False)
-
-
-def quality_rules(docs: DataFrame, labels: DataFrame, store: StageStore, text: str = "text") -> DataFrame:
-    """Judge `docs` by ratios between its labelled good documents and all of it."""
-    ratios = log_ratios(docs, trusted_sample(docs, labels, store), text)
-    return judge(docs, ratios, text)
