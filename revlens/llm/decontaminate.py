@@ -20,7 +20,9 @@ MIN_WIDTH = 3
 # words of a window that must not be placeholders, out of eight
 MIN_LITERALS = 4
 COVER_PERCENT = 50
+# rows of two or three numbers that a broadcast may have; beyond it the join shuffles
 BROADCAST_WINDOWS = 1_000_000
+BROADCAST_KEYS = 1_000_000
 # a word or number with the end of a sentence or line before it, if there is one
 TOKEN = r"(?:[.!?\n]\s*)?(?:[\p{L}\p{M}]+|[0-9]+(?:[.,:/][0-9]+)*|[%$])"
 OPENING = ".!?\n\r\t "
@@ -165,8 +167,12 @@ def contaminated(
     hits = store.save(found.drop("window"), "hits").withColumn("shift", F.col("pos") - F.col("bpos"))
 
     slotted = hits.where("has_slots")
+    wanted = store.save(
+        slotted.select(F.col("doc_id").alias("w"), F.col("content").alias("x")).distinct(), "slotted"
+    )
+    few = wanted.count() <= BROADCAST_KEYS
     texts = plain.withColumnsRenamed({"doc_id": "d", "content": "c"}).join(
-        slotted.select(F.col("doc_id").alias("w"), F.col("content").alias("x")).distinct(),
+        F.broadcast(wanted) if few else wanted.hint("merge"),
         F.col("d").eqNullSafe(F.col("w")) & (F.col("c") == F.col("x")),
         "left_semi",
     )
