@@ -23,6 +23,7 @@ EDITS = 2
 SHORT = 24
 # entries of the index with more lines than this are first compared with one of their lines only
 CROWD = 64
+LETTERS = "etaonirs"
 
 
 def within(one: str, two: str, limit: int = EDITS) -> bool:
@@ -93,7 +94,7 @@ def _index_entries(lines: DataFrame) -> DataFrame:
     entries = [
         _entry(number, F.col("size"), *_segment(F.col("size"), number)) for number in range(EDITS + 1)
     ]
-    return lines.select(F.explode(F.array(*entries)).alias("key"), "node")
+    return lines.select(F.explode(F.array(*entries)).alias("key"), "node", "letters")
 
 
 def _probe_entries(lines: DataFrame) -> DataFrame:
@@ -111,10 +112,32 @@ def _probe_entries(lines: DataFrame) -> DataFrame:
                 fits = (at >= 0) & (at + size <= F.col("size")) & (length >= SHORT)
                 entries.append(F.when(fits, _entry(number, length, at, size)))
     return lines.select(
-        F.explode(F.array_compact(F.array(*entries))).alias("key"), F.col("node").alias("probe")
+        F.explode(F.array_compact(F.array(*entries))).alias("key"),
+        F.col("node").alias("probe"),
+        F.col("letters").alias("probe_letters"),
     )
 
 
+def _letters() -> Column:
+    """How often each of `LETTERS` is in a line, eight bits each in one number."""
+    packed = F.lit(0).cast("bigint")
+    for place, letter in enumerate(LETTERS):
+        count = F.length("line") - F.length(F.replace("line", F.lit(letter), F.lit("")))
+        packed = packed.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(127)).cast("bigint"), 8 * place))
+    return packed
+
+
+def _close(one: str, two: str) -> Column:
+    """An edit moves the counts of letters by two at most, so more than four apart is too far."""
+    total = F.lit(0).cast("bigint")
+    for place in range(len(LETTERS)):
+        a, b = (F.shiftright(name, 8 * place).bitwiseAND(F.lit(127)) for name in (one, two))
+        apart = F.abs(a - b)
+        # counts are kept modulo 128
+        total = total + F.least(apart, F.lit(128) - apart)
+    return total <= F.lit(2 * EDITS)
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         one, two = batch.column("line_u").to_pylist(), batch.column("line_v").to_pylist()
@@ -125,9 +148,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs(met: DataFrame, store: StageStore, name: str) -> DataFrame:
-    apart = met.where(F.col("probe") != F.col("node"))
     return store.save(
-        apart.select(F.least("probe", "node").alias("u"), F.greatest("probe", "node").alias("v")).distinct(), name
+        met.select(F.least("probe", "node").alias("u"), F.greatest("probe", "node").alias("v")).distinct(), name
     )
 
 
@@ -135,36 +157,37 @@ def _verified(pairs: DataFrame, lines: DataFrame, store: StageStore, name: str)
     left = lines.select(F.col("node").alias("u"), F.col("line").alias("line_u"))
     right = lines.select(F.col("node").alias("v"), F.col("line").alias("line_v"))
     both = pairs.join(left, "u").join(right, "v").select("u", "v", "line_u", "line_v")
-    return store.save(both.mapInArrow(_verify, "u binary, v binary"), name)
+    return store.save(both.mapInArrow(_verify, "u bigint, v bigint"), name)
 
 
 def numbered_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, line_no, line, node): the lines with a word, trimmed of blanks around them."""
+    """(doc_id, line_no, line, digest): the lines with a word, trimmed of blanks around them."""
     lines = F.split(F.coalesce(quoted(text), F.lit("")), "\n")
     cut = docs.select(quoted(doc_id).alias("doc_id"), F.posexplode_outer(lines).alias("line_no", "line"))
     trimmed = cut.withColumn("line", F.btrim("line", F.lit(" \t\r\x0b\x0c"))).where("line <> ''")
-    return trimmed.withColumn("node", F.unhex(F.md5("line")))
+    return trimmed.withColumn("digest", F.unhex(F.md5("line")))
 
 
 def line_classes(docs: DataFrame, store: StageStore, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, line_no, node, class_node): each line with a word and the class of its near copies.
+    """(doc_id, line_no, class): each line with a word and the class of its near copies.
 
     Classes are components of links within two edits. Null and empty texts have no lines; repeated rows
     repeat their lines; a null doc_id is an id like any other.
     """
     lines = numbered_lines(docs, doc_id, text)
-    placed = store.save(lines.select("doc_id", "line_no", "node"), "placed")
-    distinct = store.save(
-        lines.select("node", "line", F.length("line").alias("size"))
-        .where(F.col("size") >= SHORT)
-        .dropDuplicates(["node"]),
-        "lines",
-    )
+    placed = store.save(lines.select("doc_id", "line_no", "digest"), "placed")
+    distinct = lines.select("digest", "line", F.length("line").alias("size"))
+    distinct = distinct.where(F.col("size") >= SHORT).dropDuplicates(["digest"])
+    # the stage fixes the numbers
+    distinct = store.save(distinct.withColumn("node", F.monotonically_increasing_id()), "lines")
+    distinct = distinct.withColumn("letters", _letters())
     index, probes = _index_entries(distinct), _probe_entries(distinct)
     sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader"))
     hot = store.save(sizes.where(F.col("n") > CROWD).select("key", "leader"), "hot_keys")
-    met = probes.join(index.join(sizes.where(F.col("n") <= CROWD), "key"), "key").select("probe", "node")
-    met = met.union(probes.join(hot, "key").select("probe", F.col("leader").alias("node")))
+    kept = (F.col("n") <= CROWD) | (F.col("node") == F.col("leader"))
+    asked_first = index.join(sizes, "key").where(kept).select("key", "node", "letters")
+    near = F.col("probe") != F.col("node")
+    met = probes.join(asked_first, "key").where(near & _close("letters", "probe_letters"))
     links = _verified(_pairs(met, store, "pairs"), distinct, store, "links")
     labels = components(links, store, "line_links").toDF("linked", "label")
     if not hot.isEmpty():
@@ -178,11 +201,16 @@ def line_classes(docs: DataFrame, store: StageStore, doc_id: str = "doc_id", tex
         theirs = index.join(hot.select("key"), "key").join(known, "node")
         mixed = theirs.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
         asked = probes.join(mixed.select("key"), "key").join(known.toDF("probe", "probe_label"), "probe")
-        apart = asked.join(theirs, "key").where(F.col("label") != F.col("probe_label"))
+        different = (F.col("label") != F.col("probe_label")) & _close("letters", "probe_letters")
+        apart = asked.join(theirs, "key").where(different)
         more = _verified(_pairs(apart.select("probe", "node"), store, "more_pairs"), distinct, store, "more_links")
         labels = components(links.union(more), store, "all_links").toDF("linked", "label")
-    joined = placed.join(labels, F.col("node") == F.col("linked"), "left")
-    return joined.select("doc_id", "line_no", "node", F.coalesce("label", "node").alias("class_node"))
+    # a class that has several lines goes by the digest of one of them
+    digests = distinct.select(F.col("node").alias("label"), F.col("digest").alias("class_digest"))
+    named = distinct.select("node", "digest").join(labels, F.col("node") == F.col("linked")).join(digests, "label")
+    named = named.select(F.col("digest").alias("linked_digest"), "class_digest")
+    joined = placed.join(named, F.col("digest") == F.col("linked_digest"), "left")
+    return joined.select("doc_id", "line_no", F.coalesce("class_digest", "digest").alias("class"))
 
 
 def line_verdicts(docs: DataFrame, store: StageStore, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -194,8 +222,8 @@ def line_verdicts(docs: DataFrame, store: StageStore, doc_id: str = "doc_id", te
     """
     classes = store.save(line_classes(docs, store, doc_id, text), "classes")
     here = F.struct("doc_id", "line_no")
-    first = classes.groupBy("class_node").agg(F.min(here).alias("first"))
-    return classes.join(first, "class_node").select(
+    first = classes.groupBy("class").agg(F.min(here).alias("first"))
+    return classes.join(first, "class").select(
         "doc_id",
         "line_no",
         F.col("first.doc_id").alias("class_doc_id"),

@@ -1,8 +1,8 @@
 """Near-duplicate documents by a MinHash LSH forest.
 
 A document is the set of its distinct five-word shingles. Documents of equal sets fold into one node
-first. Each node gets 256 minhashes; the forest has 16 trees, and a tree sorts the nodes by eight of
-those minhashes of its own.
+first. Each node gets 512 minhashes; the forest has 16 trees, and a tree sorts the nodes by eight of
+those minhashes of its own. The low bytes of all of them estimate similarities.
 
 1. In each order, next-door neighbours whose common prefix is three minhashes or longer are compared
    on their full sets. These are the longest common prefixes there are, and they join most of every
@@ -11,7 +11,8 @@ those minhashes of its own.
    run of an order with a common prefix. Its depth adapts: three minhashes where at most
    `REGION_NODES` nodes share them, else as many more as it takes. Nodes already joined are passed
    over, a pair is taken in the first tree that brings it together, and the minhash estimate must be
-   within four standard errors of the threshold. What remains is compared on full sets.
+   within four standard errors of the threshold. What remains is compared on full sets: first each
+   node's likeliest partner in a region, then, when those have been joined, all others.
 
 Two sets at the threshold of 0.85 share no region of depth three in 16 trees once in four million
 times. A region too crowded for its depth becomes several deeper ones; neighbours in step 1, other
@@ -33,7 +34,7 @@ from revlens.sources.stages import StageStore
 
 WIDTH = 5
 PERCENT = 85
-HASHES = 256
+HASHES = 512
 TREES = 16
 TREE_DEPTH = 8
 MIN_DEPTH = 3
@@ -41,6 +42,7 @@ REGION_NODES = 4096
 SPREAD = 4.0
 VALUE_BYTES = 4
 KEY_BYTES = TREE_DEPTH * VALUE_BYTES
+TREE_HASHES = TREES * TREE_DEPTH
 
 _random = np.random.default_rng(20240607)
 _FACTORS = _random.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -86,19 +88,20 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for first, last, data, offsets, _ in bytescan.slices(batch.column("text")):
             sets = shingle_sets(data, offsets)
             filled = [found for found in sets if len(found)]
-            signatures = iter(_signatures(filled)) if filled else iter(())
+            values = iter(_signatures(filled)) if filled else iter(())
             keys = [_set_key(found) if len(found) else None for found in sets]
+            signed = [next(values) if len(found) else None for found in sets]
+            in_trees = [None if row is None else row[:TREE_HASHES].tobytes() for row in signed]
+            low = [None if row is None else row.astype(np.uint8).tobytes() for row in signed]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").slice(first, last - first),
                     pa.array([len(found) for found in sets], pa.int64()),
                     pa.array(keys, pa.binary()),
-                    pa.array(
-                        [next(signatures).tobytes() if len(found) else None for found in sets],
-                        pa.binary(),
-                    ),
+                    pa.array(in_trees, pa.binary()),
+                    pa.array(low, pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "node", "signature"],
+                names=["doc_id", "n_shingles", "node", "signature", "sketch"],
             )
 
 
@@ -158,31 +161,36 @@ def _cut() -> int:
     return int(HASHES * share - SPREAD * np.sqrt(HASHES * share * (1 - share)))
 
 
-def _within_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _within_regions(best_only: bool):
     """Pairs of nodes of one region that are not joined yet and whose minhashes say they may be."""
-    held: pa.RecordBatch | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = batch if held is None else pa.concat_batches([held, batch])
-        region = rows.column("region").to_numpy()
-        whole = int(np.searchsorted(region, region[-1]))
-        # the last region may go on in the next batch
-        held = rows.slice(whole)
-        if whole:
-            yield _region_pairs(rows.slice(0, whole))
-    if held is not None:
-        yield _region_pairs(held)
-
-
-def _region_pairs(rows: pa.RecordBatch) -> pa.RecordBatch:
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch if held is None else pa.concat_batches([held, batch])
+            region = rows.column("region").to_numpy()
+            whole = int(np.searchsorted(region, region[-1]))
+            # the last region may go on in the next batch
+            held = rows.slice(whole)
+            if whole:
+                yield _region_pairs(rows.slice(0, whole), best_only)
+        if held is not None:
+            yield _region_pairs(held, best_only)
+
+    return within
+
+
+def _region_pairs(rows: pa.RecordBatch, best_only: bool) -> pa.RecordBatch:
     region = rows.column("region").to_numpy()
     tree = rows.column("tree").to_numpy()
     label = _matrix(rows.column("label"), 2, np.uint64)
-    sketch = _matrix(rows.column("signature"), HASHES, np.uint8)
+    sketch = _matrix(rows.column("sketch"), HASHES, np.uint8)
     regions = np.stack(rows.column("regions").to_numpy(zero_copy_only=False))
     node = rows.column("node")
-    first, second = [], []
+    none = np.zeros(0, dtype=np.int64)
+    first, second, equal = [none], [none], [none]
     step, at = 1, np.arange(len(region))
     while True:
         at = at[at + step < len(region)]
@@ -196,14 +204,20 @@ def _region_pairs(rows: pa.RecordBatch) -> pa.RecordBatch:
             shared = (regions[part] == regions[other]) & (regions[part] != 0)
             leading = shared.argmax(axis=1) == tree[part]
             part, other = part[leading], other[leading]
-            alike = (sketch[part] == sketch[other]).sum(axis=1) >= _cut()
+            same = (sketch[part] == sketch[other]).sum(axis=1)
+            alike = same >= _cut()
             first.append(part[alike])
             second.append(other[alike])
+            equal.append(same[alike])
         step += 1
-    none = np.zeros(0, dtype=np.int64)
-    u = node.take(pa.array(np.concatenate([none, *first])))
-    v = node.take(pa.array(np.concatenate([none, *second])))
-    return pa.RecordBatch.from_arrays([u, v], names=["u", "v"])
+    u, v, same = np.concatenate(first), np.concatenate(second), np.concatenate(equal)
+    if best_only:
+        order = np.argsort(-same, kind="stable")
+        chosen = np.union1d(
+            order[np.unique(u[order], return_index=True)[1]], order[np.unique(v[order], return_index=True)[1]]
+        )
+        u, v = u[chosen], v[chosen]
+    return pa.RecordBatch.from_arrays([node.take(pa.array(u)), node.take(pa.array(v))], names=["u", "v"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,29 +283,35 @@ def _regions(orders: DataFrame, store: StageStore) -> DataFrame:
     return chosen
 
 
-def _region_candidates(
-    orders: DataFrame, sketches: DataFrame, labels: DataFrame, store: StageStore
-) -> DataFrame:
+def _region_rows(orders: DataFrame, sketches: DataFrame, store: StageStore) -> DataFrame:
+    """(node, sketch, regions): what a node is compared by, and its region in each tree (0 for none)."""
     regions = _regions(orders, store)
     listed = F.map_from_entries(F.collect_list(F.struct("tree", "region")))
     in_trees = regions.groupBy("node").agg(listed.alias("by_tree"))
     trees = F.sequence(F.lit(0), F.lit(TREES - 1))
+    in_order = F.transform(trees, lambda tree: F.coalesce(F.try_element_at("by_tree", tree), F.lit(0)))
+    return in_trees.join(sketches, "node").select("node", "sketch", in_order.alias("regions"))
+
+
+def _region_candidates(placed: DataFrame, labels: DataFrame, best_only: bool) -> DataFrame:
     spread = (
-        in_trees.join(sketches, "node")
-        .join(labels, "node", "left")
-        .select(
-            "node",
-            F.coalesce("label", "node").alias("label"),
-            "signature",
-            F.transform(
-                trees, lambda tree: F.coalesce(F.try_element_at("by_tree", tree), F.lit(0))
-            ).alias("regions"),
-        )
+        placed.join(labels, "node")
         .select("*", F.posexplode("regions").alias("tree", "region"))
         .where(F.col("region") != 0)
+        .repartition("region")
+        .sortWithinPartitions("region")
     )
-    sorted_regions = spread.repartition("region").sortWithinPartitions("region")
-    return _ordered_pairs(sorted_regions.mapInArrow(_within_regions, "u binary, v binary"))
+    return _ordered_pairs(spread.mapInArrow(_within_regions(best_only), "u binary, v binary"))
+
+
+def _relabelled(labels: DataFrame, links: DataFrame, store: StageStore, name: str) -> DataFrame:
+    """(node, label) when the labels of linked nodes have become one."""
+    between = (
+        links.join(labels.toDF("u", "lu"), "u").join(labels.toDF("v", "lv"), "v").select("lu", "lv")
+    )
+    merged = components(between, store, f"{name}_links").toDF("label", "merged")
+    moved = labels.join(merged, "label", "left").select("node", F.coalesce("merged", "label").alias("label"))
+    return store.save(moved, f"{name}_labels")
 
 
 def near_duplicates(docs: DataFrame, store: StageStore, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -307,7 +327,7 @@ def near_duplicates(docs: DataFrame, store: StageStore, doc_id: str = "doc_id",
     plain = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     signed = store.save(
         plain.mapInArrow(
-            _sign, "doc_id bigint, n_shingles bigint, node binary, signature binary"
+            _sign, "doc_id bigint, n_shingles bigint, node binary, signature binary, sketch binary"
         ),
         "signed",
     )
@@ -341,26 +361,15 @@ def near_duplicates(docs: DataFrame, store: StageStore, doc_id: str = "doc_id",
         .dropDuplicates(["node"]),
         "sets",
     )
-    labels = components(_confirmed(pairs, sets), store, "first_links")
-
-    low_bytes = _low_bytes(linked.join(near.select("node"), "node", "left_semi"))
+    alone = store.save(near.select("node", F.col("node").alias("label")), "own_labels")
+    labels = _relabelled(alone, store.save(_confirmed(pairs, sets), "first"), store, "first")
+    sketches = linked.select("node", "sketch").join(near.select("node"), "node", "left_semi")
     near_orders = orders.join(near.select("node"), "node", "left_semi")
-    rest = store.save(
-        _region_candidates(near_orders, low_bytes, labels, store), "region_pairs"
-    )
-    more = store.save(_confirmed(rest, sets), "more_links")
-    named = near.select("node").join(labels, "node", "left")
-    named = store.save(named.select("node", F.coalesce("label", "node").alias("label")), "labels")
-    between = (
-        more.join(named.toDF("u", "lu"), "u").join(named.toDF("v", "lv"), "v").select("lu", "lv")
-    )
-    merged = components(between, store, "second_links").toDF("label", "merged")
-    groups = store.save(
-        named.join(merged, "label", "left")
-        .select("node", F.coalesce("merged", "label").alias("label"))
-        .join(nodes, "node"),
-        "groups",
-    )
+    placed = store.save(_region_rows(near_orders, sketches.dropDuplicates(["node"]), store), "placed")
+    for name, best_only in (("best", True), ("rest", False)):
+        found = store.save(_region_candidates(placed, labels, best_only), f"{name}_pairs")
+        labels = _relabelled(labels, store.save(_confirmed(found, sets), name), store, name)
+    groups = store.save(labels.join(nodes, "node"), "groups")
     least = groups.groupBy("label").agg(F.min("least_doc").alias("component_id"))
     chosen = nodes.join(groups.join(least, "label").select("node", "component_id"), "node", "left")
     chosen = chosen.select("node", F.coalesce("component_id", "least_doc").alias("component_id"))
@@ -376,22 +385,6 @@ def near_duplicates(docs: DataFrame, store: StageStore, doc_id: str = "doc_id",
     )
 
 
-def _shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            low = _matrix(batch.column("signature"), HASHES, np.uint32).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.array([row.tobytes() for row in low], pa.binary())],
-                names=["node", "signature"],
-            )
-
-
-def _low_bytes(signed: DataFrame) -> DataFrame:
-    """The low byte of each minhash is enough to estimate a similarity."""
-    rows = signed.select("node", "signature").dropDuplicates(["node"])
-    return rows.mapInArrow(_shorten, "node binary, signature binary")
-
-
 def deduplicated(docs: DataFrame, store: StageStore, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with one document of each group of near-duplicates: the one of the least doc_id.
 
