@@ -70,7 +70,15 @@ def required_quantity(column: Column, data_type: T.DataType) -> Column:
 
 
 def price(column: Column, data_type: T.DataType) -> Column:
-    return without_nan(column, data_type).cast(MONEY)
+    """Four decimals; a price with more is an error, never rounded in silence."""
+    given = without_nan(column, data_type)
+    money = given.cast(MONEY)
+    if isinstance(data_type, INTEGRAL):
+        return money
+    return F.when(
+        given.cast("decimal(38,10)") != money,
+        F.raise_error(F.concat(F.lit("more than four decimals: "), given.cast("string"))),
+    ).otherwise(money)
 
 
 def without_nan(column: Column, data_type: T.DataType) -> Column:

@@ -18,7 +18,6 @@ from revlens.functions.ranking import sorted_stage
 from revlens.operators.cleaning import SALE_KEY, number_sales
 from revlens.sources.stages import StageStore
 
-SHOWN = 5
 LINE_COLUMNS = (
     "sale_key",
     "invoice_no",
@@ -131,6 +130,16 @@ def build_dim_customer(lines: DataFrame, settings: Settings, store: StageStore)
     return KeyedDimension(table, keys)
 
 
+def refuse_any(offending: DataFrame, what: str, store: StageStore) -> None:
+    """Raise if there is any row; the message has their number, the first and where all of them are."""
+    count = offending.count()
+    if count:
+        listed = offending.orderBy(*offending.columns)
+        store.save(listed, "refused")
+        first = listed.first()[0]
+        raise ValueError(f"{count} {what}, the first {first!r}, all under {store.path('refused')}")
+
+
 def build_dim_product(lines: DataFrame, store: StageStore) -> KeyedDimension:
     """One row per stock code; a code seen under two line types is an error."""
     counted = lines.groupBy("stock_code", "description", "line_type").agg(
@@ -144,9 +153,7 @@ def build_dim_product(lines: DataFrame, store: StageStore) -> KeyedDimension:
     )
     ordered = sorted_stage(store, codes, [F.col("stock_code").asc_nulls_last()], "products")
     torn = ordered.table.where(F.col("line_type") != F.col("other_type"))
-    examples = [row["stock_code"] for row in torn.select("stock_code").limit(SHOWN).collect()]
-    if examples:
-        raise ValueError(f"stock codes with more than one line type, such as {examples}")
+    refuse_any(torn.select("stock_code"), "stock codes with more than one line type", store)
     numbered = ordered.numbered("product_key")
     table = numbered.select("product_key", "stock_code", "description", "line_type")
     keys = numbered.select(F.col("stock_code").alias("dim_code"), "product_key", "lines")
@@ -162,9 +169,7 @@ def build_dim_country(lines: DataFrame, regions: Mapping[str, str], store: Stage
     markets = lines.select("country").distinct()
     lookup = F.create_map(*[F.lit(item) for pair in regions.items() for item in pair])
     placed = store.save(markets.withColumn("region", lookup[F.col("country")]), "markets")
-    homeless = placed.where(F.col("region").isNull()).limit(SHOWN).collect()
-    if homeless:
-        raise ValueError(f"markets with no region, such as {[row['country'] for row in homeless]}")
+    refuse_any(placed.where(F.col("region").isNull()).select("country"), "markets with no region", store)
     key = F.row_number().over(Window.orderBy("country")).cast("bigint")
     return placed.select(key.alias("country_key"), "country", "region")
 
@@ -257,10 +262,10 @@ def star_from_tables(tables: Mapping[str, DataFrame], settings: Settings) -> Sta
 
     def widened(frame: DataFrame, dim: DataFrame, key: str, extra: list[str]) -> DataFrame:
         lookup = dim.select(F.col(key).alias("dim_key"), *extra, F.lit(1).alias("found"))
-        joined = attach(
-            frame, lookup, F.col(key), "dim_key", settings.broadcast_bytes, [SALE_KEY]
-        )
-        return joined.where("found = 1").drop("found")
+        # the unknown key has nothing to look up, and would bring all guests into one partition
+        known = F.when(F.col(key) != settings.unknown_customer_key, F.col(key))
+        joined = attach(frame, lookup, known, "dim_key", settings.broadcast_bytes, [SALE_KEY])
+        return joined.where((F.col("found") == 1) | (F.col(key) == settings.unknown_customer_key)).drop("found")
 
     lines = widened(fact, product, "product_key", ["stock_code", "line_type"])
     lines = widened(lines, customer, "customer_key", ["customer_id"])

@@ -11,56 +11,54 @@ from revlens.plans import reports
 from revlens.plans.marts import Marts
 
 
-def _rows(frame: DataFrame) -> list[dict[str, Any]]:
-    return [row.asDict() for row in frame.collect()]
+# what a section holds: all rows of its report, or the one row there is
+ROWS, ONE = "rows", "one"
 
 
-def _one(frame: DataFrame) -> dict[str, Any]:
-    return frame.first().asDict()
-
-
-def headline_kpis(marts: Marts) -> dict[str, Any]:
-    trend = marts.mart_revenue_trend
-    latest = _one(reports.kpi_latest(trend))
-    return {
-        **_one(reports.kpi_totals(trend)),
-        **_one(reports.kpi_customers(marts.mart_rfm)),
-        **_one(reports.kpi_year_on_year(trend, marts.settings)),
-        "latest_month": latest["year_month"],
-        "revenue_mom_pct": latest["revenue_mom_pct"],
-    }
+def sections(star: Star, marts: Marts) -> list[tuple[str, str, DataFrame]]:
+    """(section, shape, report) of the whole document; a dotted section is nested."""
+    settings = marts.settings
+    trend, countries = marts.mart_revenue_trend, marts.mart_country_performance
+    rfm, pareto, leakage = marts.mart_rfm, marts.mart_product_pareto, marts.mart_return_leakage
+    months = reports.period(trend).withColumnsRenamed({"start_month": "start", "end_month": "end"})
+    latest = reports.kpi_latest(trend).withColumnRenamed("year_month", "latest_month")
+    return [
+        ("meta.period", ONE, months),
+        ("kpis", ONE, reports.kpi_totals(trend)),
+        ("kpis", ONE, reports.kpi_customers(rfm)),
+        ("kpis", ONE, reports.kpi_year_on_year(trend, settings)),
+        ("kpis", ONE, latest.select("latest_month", "revenue_mom_pct")),
+        ("revenue_trend", ROWS, reports.trend_panel(trend)),
+        ("countries", ROWS, reports.country_panel(countries)),
+        ("regions", ROWS, reports.region_panel(countries)),
+        ("rfm_segments", ROWS, reports.rfm_segments(rfm)),
+        ("rfm_matrix", ROWS, reports.rfm_matrix(rfm)),
+        ("cohort", ROWS, reports.cohort_panel(marts.mart_cohort_retention)),
+        ("pareto.curve", ROWS, reports.pareto_curve(pareto, settings.pareto_curve_points)),
+        ("pareto", ONE, reports.pareto_band(pareto)),
+        ("same_day_reversals", ONE, reports.same_day_reversals(star, settings)),
+        ("segment_rollup", ONE, reports.segment_rollup(rfm, settings.slipping_segments)),
+        ("return_driver_rollup", ONE, reports.return_driver_rollup(leakage, settings.top_leakage)),
+        ("top_products", ROWS, reports.top_products(pareto, settings.top_products).drop("revenue_rank")),
+        ("return_drivers", ROWS, reports.return_drivers(leakage, settings.top_leakage)),
+    ]
 
 
 def payload(star: Star, marts: Marts) -> dict[str, Any]:
     """Rows that reach the driver are bounded by months, markets, segments, cohorts, the curve's
     points and the fixed top lists."""
     settings = marts.settings
-    trend, countries = marts.mart_revenue_trend, marts.mart_country_performance
-    rfm, pareto, leakage = marts.mart_rfm, marts.mart_product_pareto, marts.mart_return_leakage
-    months = _one(reports.period(trend))
-    products = _rows(reports.top_products(pareto, settings.top_products))
-    for product in products:
-        product.pop("revenue_rank")
-    return {
-        "meta": {
-            "currency": settings.currency,
-            "currency_symbol": settings.currency_symbol,
-            "period": {"start": months["start_month"], "end": months["end_month"]},
-        },
-        "kpis": headline_kpis(marts),
-        "revenue_trend": _rows(reports.trend_panel(trend)),
-        "countries": _rows(reports.country_panel(countries)),
-        "regions": _rows(reports.region_panel(countries)),
-        "rfm_segments": _rows(reports.rfm_segments(rfm)),
-        "rfm_matrix": _rows(reports.rfm_matrix(rfm)),
-        "cohort": _rows(reports.cohort_panel(marts.mart_cohort_retention)),
-        "pareto": {
-            "curve": _rows(reports.pareto_curve(pareto, settings.pareto_curve_points)),
-            **_one(reports.pareto_band(pareto)),
-        },
-        "same_day_reversals": _one(reports.same_day_reversals(star, settings)),
-        "segment_rollup": _one(reports.segment_rollup(rfm, settings.slipping_segments)),
-        "return_driver_rollup": _one(reports.return_driver_rollup(leakage, settings.top_leakage)),
-        "top_products": products,
-        "return_drivers": _rows(reports.return_drivers(leakage, settings.top_leakage)),
+    document: dict[str, Any] = {
+        "meta": {"currency": settings.currency, "currency_symbol": settings.currency_symbol}
     }
+    for section, shape, report in sections(star, marts):
+        found = [row.asDict() for row in report.collect()]
+        *outer, name = section.split(".")
+        place = document
+        for step in outer:
+            place = place.setdefault(step, {})
+        if shape == ROWS:
+            place[name] = found
+        else:
+            place.setdefault(name, {}).update(found[0])
+    return document

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
 from revlens.config import Settings
-from revlens.operators.cleaning import CleanResult, clean, reconcile
+from revlens.operators.cleaning import CleanResult, clean
 from revlens.operators.star import Star, build_star
 from revlens.plans import dashboard, gates, quality
 from revlens.plans.marts import Marts
 from revlens.sources import sinks
+from revlens.sources.raw import PART
 from revlens.sources.stages import StageStore
 
 
@@ -23,24 +25,46 @@ class Published:
     counts: dict[str, int]
 
 
-def run(raw: DataFrame, settings: Settings, folder: str, store: StageStore | None = None) -> Published:
-    """Build everything from `raw` and publish tables under `folder`, gates first."""
+def run(
+    raw: DataFrame,
+    settings: Settings,
+    folder: str,
+    store: StageStore | None = None,
+    advisory: Collection[str] = gates.ADVISORY,
+) -> Published:
+    """Build everything from `raw`; nothing is written under `folder` before every gate has passed.
+
+    Gates named in `advisory` warn only.
+    """
     store = store or StageStore(raw.sparkSession)
     cleaned = clean(raw, settings, store)
-    counts = quality.row_accounting(cleaned).first()
-    reconcile(
-        counts["raw_rows"], counts["kept_rows"], counts["deduped_rows"], counts["quarantined_rows"]
-    )
+    star = build_star(cleaned.numbered, settings, store)
+    marts = Marts(star, settings, store)
+    gates.assert_gates(gates.gate_report(cleaned, star, marts), advisory)
     written = {
         "transactions": sinks.write_table(cleaned.transactions(), f"{folder}/transactions"),
         "quarantine": sinks.write_table(cleaned.quarantine(), f"{folder}/quarantine"),
     }
-    star = build_star(cleaned.numbered, settings, store)
-    marts = Marts(star, settings, store)
-    gates.assert_gates(gates.gate_report(cleaned, star, marts))
     written |= sinks.write_tables(star.tables(), folder)
     written |= sinks.export_marts(marts.tables(), folder)
-    return Published(cleaned, star, marts, written)
+    if PART in raw.columns:
+        written |= sinks.write_tables(audit_tables(quality.audit_view(raw, settings), settings), folder)
+    published = Published(cleaned, star, marts, written)
+    for name, text in documents(published).items():
+        sinks.write_text(raw.sparkSession, text, f"{folder}/{name}.json")
+    return published
+
+
+def audit_tables(audit: DataFrame, settings: Settings) -> dict[str, DataFrame]:
+    """The profile of the raw union, a table each."""
+    return {
+        "audit_readiness": quality.readiness_figures(audit),
+        "audit_column_profile": quality.column_profile(audit),
+        "audit_quality_flags": quality.quality_flags(audit, settings),
+        "audit_revenue_month": quality.revenue_by_month(audit),
+        "audit_revenue_country": quality.revenue_by_country(audit),
+        "audit_stock_codes": quality.stock_code_evidence(audit, settings),
+    }
 
 
 def documents(published: Published) -> dict[str, str]:

@@ -1,50 +1,38 @@
-"""Checksums of the input files."""
+"""Checksums of input files."""
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-from urllib.parse import unquote, urlparse
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 1 << 20
-
-
-def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyarrow import fs
 
-    for batch in batches:
-        digests = []
-        for uri in batch["path"]:
-            if uri.startswith("file:"):
-                # local URIs are percent-encoded and come with one or three slashes
-                filesystem, inner = fs.LocalFileSystem(), unquote(urlparse(uri).path)
-            else:
-                filesystem, inner = fs.FileSystem.from_uri(uri)
-            digest = hashlib.sha256()
-            with filesystem.open_input_stream(inner) as stream:
-                while chunk := stream.read(CHUNK_BYTES):
-                    digest.update(chunk)
-            digests.append(digest.hexdigest())
-        yield batch.assign(sha256=digests)
+def listed_files(spark: SparkSession, path: str, glob: str = "*") -> list[tuple[str, int]]:
+    """(path, bytes) of every matching file in a folder, empty ones included, on any file system."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, glob)) or []
+    return [(status.getPath().toString(), status.getLen()) for status in found if status.isFile()]
 
 
 def source_manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """One row per file: name, SHA-256, bytes and when it was recorded.
 
-    Spark only lists the files here, skipping empty ones; each task streams its files in small
-    chunks, so a file need not fit in memory.
+    Contents are read by Spark, a file a row, so a file has to stay below two gigabytes. Spark's own
+    listing leaves out empty files; they come from the file system's and have the hash of nothing.
     """
-    listing = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", glob)
-        .load(path)
-        .select("path", F.col("length").alias("bytes"))
+    files = listed_files(spark, path, glob)
+    empty = [(name, 0) for name, size in files if not size]
+    rows = spark.createDataFrame(empty, "path string, bytes bigint").withColumn(
+        "sha256", F.sha2(F.lit("").cast("binary"), 256)
     )
-    return listing.mapInPandas(_digests, "path string, bytes bigint, sha256 string").select(
+    if len(empty) < len(files):
+        filled = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+        rows = rows.unionByName(
+            filled.where("length > 0").select(
+                "path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")
+            )
+        )
+    return rows.select(
         F.element_at(F.split("path", "/"), -1).alias("file"),
         "sha256",
         "bytes",

@@ -49,7 +49,17 @@ def json_text(document: Mapping[str, Any]) -> str:
     return json.dumps(document, indent=2, sort_keys=True, ensure_ascii=False) + "\n"
 
 
-def write_json(document: Mapping[str, Any], path: str) -> str:
-    with open(path, "w", encoding="utf-8") as handle:
-        handle.write(json_text(document))
+def write_text(spark: SparkSession, text: str, path: str) -> str:
+    """Write one small document, through whatever file system the path belongs to."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        stream.write(bytearray(text, "utf-8"))
+    finally:
+        stream.close()
     return path
+
+
+def write_json(spark: SparkSession, document: Mapping[str, Any], path: str) -> str:
+    return write_text(spark, json_text(document), path)

@@ -13,25 +13,27 @@ from revlens.plans.marts import Marts
 
 def test_trend_reconciles_and_covers_the_months(hand_marts):
     rows = hand_marts.mart_revenue_trend.orderBy("year_month").collect()
-    assert [row["year_month"] for row in rows] == [f"2011-0{month}" for month in range(1, 7)]
-    assert sum(row["gross_revenue"] for row in rows) == 2750
-    assert sum(row["returns"] for row in rows) == -90
-    assert sum(row["net_revenue"] for row in rows) == 2660
+    assert [row["year_month"] for row in rows] == [f"2012-0{month}" for month in range(3, 9)]
+    assert sum(row["gross_revenue"] for row in rows) == 2233
+    assert sum(row["returns"] for row in rows) == -60
+    assert sum(row["net_revenue"] for row in rows) == 2173
 
 
 def test_trend_steps_ratios_and_guest_rules(hand_marts):
     rows = {row["year_month"]: row for row in hand_marts.mart_revenue_trend.collect()}
-    january, march, may = rows["2011-01"], rows["2011-03"], rows["2011-05"]
-    assert january["net_revenue_mom_delta"] is None and january["net_revenue_mom_pct"] is None
-    delta = rows["2011-02"]["net_revenue"] - january["net_revenue"]
-    assert rows["2011-02"]["net_revenue_mom_delta"] == delta
-    assert rows["2011-02"]["net_revenue_mom_pct"] == pytest.approx(
-        100 * float(delta) / float(january["net_revenue"])
+    march, june, july = rows["2012-03"], rows["2012-06"], rows["2012-07"]
+    assert march["net_revenue_mom_delta"] is None and march["net_revenue_mom_pct"] is None
+    # April 337 after March 432
+    delta = rows["2012-04"]["net_revenue"] - march["net_revenue"]
+    assert delta == -95
+    assert rows["2012-04"]["net_revenue_mom_delta"] == delta
+    assert rows["2012-04"]["net_revenue_mom_pct"] == pytest.approx(
+        100 * -95 / 432
     )
     # the guest order counts as an order, not as a customer
-    assert (march["orders"], march["active_customers"]) == (6, 5)
-    assert march["aov"] == pytest.approx(float(march["gross_revenue"]) / 6)
-    assert may["return_rate_pct"] == pytest.approx(100 * 90 / float(may["gross_revenue"]))
+    assert (june["orders"], june["active_customers"]) == (7, 6)
+    assert june["aov"] == pytest.approx(605 / 7)
+    assert july["return_rate_pct"] == pytest.approx(100 * 60 / 195)
 
 
 def test_rfm_scores_every_customer_and_fills_every_segment(hand_marts):
@@ -39,11 +41,11 @@ def test_rfm_scores_every_customer_and_fills_every_segment(hand_marts):
     assert set(rows) == HAND_KEYS
     assert {row["segment"] for row in rows.values()} == set(SEGMENTS)
     assert (rows[1]["recency_days"], rows[1]["r_score"]) == (0, 5)
-    assert rows[10]["r_score"] == 1
+    assert rows[12]["r_score"] == 1
     assert rows[1]["rfm_cell"] == f"{rows[1]['r_score']}{rows[1]['f_score']}{rows[1]['m_score']}"
     # shipping counts towards money, the adjustment does not; a refund pulls a customer down
-    assert rows[1]["monetary"] == Decimal(515)
-    assert (rows[2]["monetary"], rows[2]["frequency"]) == (Decimal(360), 5)
+    assert rows[1]["monetary"] == Decimal(472)
+    assert (rows[4]["monetary"], rows[4]["frequency"]) == (Decimal(200), 4)
 
 
 def test_recency_counts_calendar_days(spark, settings, store):
@@ -84,12 +86,12 @@ def test_cohorts(hand_marts):
         (row["cohort_month"], row["month_offset"]): row
         for row in hand_marts.mart_cohort_retention.collect()
     }
-    cell = cells["2011-01", 2]
-    assert (cell["cohort_size"], cell["active_customers"], cell["retention_pct"]) == (4, 2, 50.0)
+    cell = cells["2012-03", 2]
+    assert (cell["cohort_size"], cell["active_customers"], cell["retention_pct"]) == (5, 4, 80.0)
     assert all(cells[key]["retention_pct"] == 100.0 for key in cells if key[1] == 0)
     # a cohort has a cell for every month to the end of the calendar, empty ones included
-    assert {offset for month, offset in cells if month == "2011-02"} == set(range(5))
-    assert cells["2011-04", 2]["active_customers"] == 0
+    assert {offset for month, offset in cells if month == "2012-04"} == set(range(5))
+    assert cells["2012-06", 1]["active_customers"] == 0
 
 
 def test_cohort_spine_reaches_months_without_sales(spark, settings, store):
@@ -111,10 +113,10 @@ def test_cohort_spine_reaches_months_without_sales(spark, settings, store):
 
 def test_pareto_ranks_goods_only_and_ends_at_100(hand_marts):
     rows = hand_marts.mart_product_pareto.orderBy("revenue_rank").collect()
-    assert [row["stock_code"] for row in rows] == ["SKU-A", "SKU-B"]
-    assert [row["net_revenue"] for row in rows] == [2045, 600]
+    assert [row["stock_code"] for row in rows] == ["LAMP", "RUG"]
+    assert [row["net_revenue"] for row in rows] == [1533, 618]
     assert rows[-1]["cumulative_share_pct"] == pytest.approx(100.0)
-    assert rows[0]["orders"] == 27 and rows[0]["units"] == 26
+    assert rows[0]["orders"] == 21 and rows[0]["units"] == 20
     # the stock code that crosses 80% is in the band
     assert [row["in_top_80_band"] for row in rows] == [1, 1]
 
@@ -137,20 +139,20 @@ def test_leakage_grains_reconcile(hand_marts):
         F.sum("return_lines").alias("lines"),
     )
     assert {row["grain"]: (row["gross"], row["returns"], row["lines"]) for row in sums.collect()} == {
-        "month": (2750, -90, 1),
-        "country": (2750, -90, 1),
-        "product": (2750, -90, 1),
+        "month": (2233, -60, 1),
+        "country": (2233, -60, 1),
+        "product": (2233, -60, 1),
     }
     products = {row["grain_value"] for row in
                 hand_marts.mart_return_leakage.where("grain = 'product'").collect()}
-    assert products == {"SKU-A", "SKU-B", "POST"}
+    assert products == {"LAMP", "RUG", "FRT"}
 
 
 def test_markets_rank_by_gross(hand_marts):
     rows = hand_marts.mart_country_performance.orderBy("revenue_rank").collect()
     assert [(row["country"], row["revenue_rank"], row["customers"]) for row in rows] == [
-        ("United Kingdom", 1, 7),
-        ("France", 2, 3),
+        ("Canada", 1, 7),
+        ("Japan", 2, 5),
     ]
     assert rows[1]["returns"] == 0 and rows[1]["return_rate_pct"] == 0.0
 

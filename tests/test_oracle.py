@@ -9,6 +9,7 @@ import pytest
 from conftest import TESTDATA
 
 import __spark_entry__ as contract
+from revlens.testbed import catalog, oracle
 
 FOLDER = f"{TESTDATA}/{os.environ.get('ORACLE_SF', 'sf0.001')}"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
@@ -21,8 +22,9 @@ KINDS = {
     "date": "DATE",
     "timestamp_ntz": "TIMESTAMP",
 }
-QUERIES = contract.queries()
-SQL = contract.oracle_sql()
+# the corpus queries have tests of their own
+QUERIES = catalog.queries()
+SQL = oracle.oracle_sql()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
 

@@ -156,3 +156,28 @@ def test_leap_day_and_year_end(spark):
     days = [row["date"] for row in calendar(bounds, "a", "b").orderBy("date").collect()]
     assert days == [dt.date(2012, 2, 28), dt.date(2012, 2, 29), dt.date(2012, 3, 1)]
     assert TRANSACTION_DEFAULT["quantity"] == 1
+
+
+def test_all_offending_codes_are_named(spark, settings, store):
+    rows = [
+        {"invoice_no": f"{code}{kind}", "stock_code": f"T{code:02}", "line_type": kind}
+        for code in range(50)
+        for kind in ("product", "shipping")
+    ]
+    with pytest.raises(ValueError, match="50 stock codes.*'T00'") as refused:
+        build_star(transactions_frame(spark, *rows), settings, store)
+    path = str(refused.value).rsplit(" ", 1)[1]
+    assert spark.read.parquet(path).count() == 50
+
+
+def test_tied_lines_keep_their_keys_in_any_layout(spark, settings, store):
+    rows = [{"country": "France" if at % 2 else "Ireland", "customer_id": at} for at in range(40)]
+    frame = transactions_frame(spark, *rows)
+    keys = [
+        {
+            row["customer_id"]: row["sale_key"]
+            for row in build_star(given, settings, store).lines.select("customer_id", "sale_key").collect()
+        }
+        for given in (frame, frame.repartition(7).orderBy(F.rand(3)))
+    ]
+    assert keys[0] == keys[1] and len(set(keys[0].values())) == 40
