@@ -119,7 +119,9 @@ def _reaches(gain: np.ndarray, first: np.ndarray, text: np.ndarray, limit: float
     # texts are parted by a fall that no run can make up for
     fall = (np.abs(gain).sum(axis=0) + 1.0) * 2
     level = total - text[:, None] * fall
-    lowest = np.minimum.accumulate(np.where(_opening(first, len(text))[:, None], level - gain, level), axis=0)
+    lowest = level.copy()
+    lowest[first] = np.minimum(level[first], level[first] - gain[first])
+    lowest = np.minimum.accumulate(lowest, axis=0)
     before = np.empty_like(lowest)
     before[1:] = lowest[:-1]
     before[0] = level[0] - gain[0]
@@ -128,12 +130,6 @@ def _reaches(gain: np.ndarray, first: np.ndarray, text: np.ndarray, limit: float
     return np.maximum.reduceat(best, first) > limit
 
 
-def _opening(first: np.ndarray, count: int) -> np.ndarray:
-    opens = np.zeros(count, dtype=bool)
-    opens[first] = True
-    return opens
-
-
 def viterbi(scores: np.ndarray, text: np.ndarray) -> np.ndarray:
     """The best language of each word; `text` is ascending."""
     labels = np.zeros(len(text), dtype=np.int64)

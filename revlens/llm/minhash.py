@@ -397,5 +397,6 @@ def deduplicated(docs: DataFrame, store: StageStore, doc_id: str = "doc_id", tex
     gone = gone.select(F.col("doc_id").alias("_gone"))
     key = F.col(doc_id).cast("bigint")
     left = docs.join(gone, key == F.col("_gone"), "left_anti")
+    own = "_" * (1 + max(len(name) for name in docs.columns))
     identity = F.when(key.isNull(), F.monotonically_increasing_id())
-    return left.withColumn("_row", identity).dropDuplicates([doc_id, "_row"]).drop("_row")
+    return left.withColumn(own, identity).dropDuplicates([doc_id, own]).drop(own)
