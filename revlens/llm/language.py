@@ -138,9 +138,10 @@ def viterbi(scores: np.ndarray, text: np.ndarray) -> np.ndarray:
     _, first, rank, sizes = np.unique(text, return_index=True, return_inverse=True, return_counts=True)
     best = np.add.reduceat(scores, first, axis=0).argmax(axis=1)
     labels = best[rank]
-    # one language throughout is best unless another gains more than a change costs in some run
+    # One language throughout is best unless another gains more in some run than half a change costs:
+    # k runs that fill a text change k - 1 times, and k halves are no more than k - 1 for two runs on.
     gain = scores - scores[np.arange(len(text)), labels][:, None]
-    mixed = np.flatnonzero(_reaches(gain, first, rank, SWITCH))
+    mixed = np.flatnonzero(_reaches(gain, first, rank, SWITCH / 2))
     if not len(mixed):
         return labels
     mixed = mixed[np.argsort(-sizes[mixed], kind="stable")]
