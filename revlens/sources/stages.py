@@ -51,3 +51,8 @@ class StageStore:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Delete the folder with all of its stages; frames that still read them fail from then on."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
