@@ -11,32 +11,44 @@ from revlens.llm.shipping import ship_package
 from revlens.sources.stages import StageStore
 
 ORACLE_SQL = None
+_last: dict[str, StageStore] = {}
+
+
+def _own_store(spark: SparkSession, docs: DataFrame) -> StageStore:
+    """A store for a stage. What the stage before has left goes, unless `docs` still reads it."""
+    application = spark.sparkContext.applicationId
+    before = _last.get(application)
+    if before and not any(f"/{before.folder.rsplit('/', 1)[1]}/" in path for path in docs.inputFiles()):
+        before.drop()
+    _last[application] = StageStore(spark)
+    return _last[application]
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     ship_package(spark)
-    return quality.accepted(docs, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), StageStore(spark))
+    return quality.accepted(docs, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), _own_store(spark, docs))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
     ship_package(spark)
-    return minhash.deduplicated(docs, StageStore(spark))
+    return minhash.deduplicated(docs, _own_store(spark, docs))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"), StageStore(spark))
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"), _own_store(spark, docs))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it."""
-    return mixing.mixed(docs, StageStore(spark))
+    return mixing.mixed(docs, _own_store(spark, docs))
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in shards of near equal bytes, with their shard and slot."""
+    _own_store(spark, docs)
     size = sharding.text_bytes("text")
     return sharding.shard(docs, StageStore(spark), size, F.col("text"))
 
