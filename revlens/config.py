@@ -52,14 +52,6 @@ SEGMENTS = (
     "Hibernating",
     "Lost",
 )
-# totals audited on the original two-year extract, for Settings(expected_totals=AUDITED_TOTALS)
-AUDITED_TOTALS = MappingProxyType(
-    {
-        "gross_revenue": Decimal("20094028.49"),
-        "returns": Decimal("-732084.15"),
-        "net_revenue": Decimal("19361944.34"),
-    }
-)
 SLIPPING_SEGMENTS = ("At Risk", "Cannot Lose Them")
 COUNTRY_OVERRIDES = MappingProxyType(
     {
