@@ -11,10 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from revlens.llm.bytescan import mixed, range_hashes, slices
 from revlens.llm.common import quoted
 from revlens.llm.graph import components
 from revlens.sources.stages import StageStore
@@ -24,6 +26,8 @@ SHORT = 24
 # entries of the index with more lines than this are first compared with one of their lines only
 CROWD = 64
 LETTERS = "etaonirs"
+# ids of lines that a broadcast may have; beyond it all lines are shuffled to their pairs
+BROADCAST_NODES = 1_000_000
 
 
 def within(one: str, two: str, limit: int = EDITS) -> bool:
@@ -77,64 +81,82 @@ def within(one: str, two: str, limit: int = EDITS) -> bool:
     return any(row >> end & 1 for row in rows)
 
 
-def _segment(length: Column, number: int) -> tuple[Column, Column]:
-    """Start and size of a segment of a line of that length; the last segments take the rest."""
+def _segment(length: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size of a segment of lines of these lengths; the last segments take the rest."""
     count = EDITS + 1
-    base = F.floor(length / F.lit(count)).cast("int")
-    longer = length % F.lit(count)
-    start = base * F.lit(number) + F.greatest(longer - F.lit(count - number), F.lit(0))
-    return start, base + (longer > F.lit(EDITS - number)).cast("int")
+    base, longer = np.divmod(length, count)
+    return base * number + np.maximum(longer - (count - number), 0), base + (longer > EDITS - number)
 
 
-def _entry(number: int, length: Column, start: Column, size: Column) -> Column:
-    return F.xxhash64(F.lit(number), length, F.substring("line", start + F.lit(1), size))
+def _probe_places() -> list[tuple[int, int, int]]:
+    """(number, shorter, move): where a segment of a line up to two characters shorter may lie.
 
-
-def _index_entries(lines: DataFrame) -> DataFrame:
-    entries = [
-        _entry(number, F.col("size"), *_segment(F.col("size"), number)) for number in range(EDITS + 1)
+    Edits before a segment move it, and so do those after it, seen from the line's end.
+    """
+    return [
+        (number, shorter, move)
+        for shorter in range(EDITS + 1)
+        for number in range(EDITS + 1)
+        for move in range(-number, number + 1)
+        if abs(shorter - move) <= EDITS - number
     ]
-    return lines.select(F.explode(F.array(*entries)).alias("key"), "node", "letters")
-
-
-def _probe_entries(lines: DataFrame) -> DataFrame:
-    """A line's substrings where a segment of a line up to two characters shorter may lie."""
-    entries = []
-    for shorter in range(EDITS + 1):
-        length = F.col("size") - F.lit(shorter)
-        for number in range(EDITS + 1):
-            start, size = _segment(length, number)
-            # edits before a segment move it, and so do those after it, seen from the line's end
-            for move in range(-number, number + 1):
-                if abs(shorter - move) > EDITS - number:
-                    continue
-                at = start + F.lit(move)
-                fits = (at >= 0) & (at + size <= F.col("size")) & (length >= SHORT)
-                entries.append(F.when(fits, _entry(number, length, at, size)))
-    return lines.select(
-        F.explode(F.array_compact(F.array(*entries))).alias("key"),
-        F.col("node").alias("probe"),
-        F.col("letters").alias("probe_letters"),
-    )
 
 
-def _letters() -> Column:
-    """How often each of `LETTERS` is in a line, eight bits each in one number."""
-    packed = F.lit(0).cast("bigint")
-    for place, letter in enumerate(LETTERS):
-        count = F.length("line") - F.length(F.replace("line", F.lit(letter), F.lit("")))
-        packed = packed.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(127)).cast("bigint"), 8 * place))
-    return packed
+INDEX_PLACES = [(number, 0, 0) for number in range(EDITS + 1)]
+PROBE_PLACES = _probe_places()
+_MARKS = np.zeros(256, dtype=np.uint64)
+_MARKS[[ord(letter) for letter in LETTERS]] = [1 << 4 * place for place in range(len(LETTERS))]
+
+
+def _entries(lines: DataFrame, places: list[tuple[int, int, int]]) -> DataFrame:
+    """(key, node, letters): a hash of each substring of a line that `places` names.
+
+    Prefix sums give the hash of any substring at once. `letters` holds how often each of `LETTERS` is
+    in the line, four bits each, with what overflows carried on.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = batch.column("node").to_numpy()
+            for first, last, data, offsets, _ in slices(batch.column("line")):
+                # bytes that begin a character, then characters where each line begins
+                opens = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+                base = np.searchsorted(opens, offsets)
+                size = np.diff(base)
+                counted = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_MARKS[data], dtype=np.uint64)])
+                letters = (counted[offsets[1:]] - counted[offsets[:-1]]) & np.uint64(0xFFFFFFFF)
+                start, end, salt, owner = [], [], [], []
+                for number, shorter, move in places:
+                    length = size - shorter
+                    at, width = _segment(length, number)
+                    at = at + move
+                    fits = np.flatnonzero((at >= 0) & (at + width <= size) & (length >= SHORT))
+                    begin = base[fits] + at[fits]
+                    start.append(opens[begin])
+                    end.append(opens[begin + width[fits]])
+                    salt.append(length[fits] * (EDITS + 1) + number)
+                    owner.append(fits)
+                owner = np.concatenate(owner)
+                salted = mixed(np.concatenate(salt).astype(np.uint64))
+                keys = range_hashes(data, np.concatenate(start), np.concatenate(end), fold_case=False)
+                found = [mixed(keys ^ salted).view(np.int64), nodes[first:last][owner]]
+                found.append(letters.view(np.int64)[owner])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["key", "node", "letters"])
+
+    return lines.select("node", "line").mapInArrow(cut, "key bigint, node bigint, letters bigint")
 
 
 def _close(one: str, two: str) -> Column:
-    """An edit moves the counts of letters by two at most, so more than four apart is too far."""
+    """An edit moves the counts of letters by two at most, so more than four apart is too far.
+
+    The difference of two packed numbers has the differences of the counts as its digits, whatever was
+    carried, since those of lines within the limit are less than eight.
+    """
+    middle = sum(8 << 4 * place for place in range(len(LETTERS))) + (1 << 4 * len(LETTERS))
+    apart = F.col(one) - F.col(two) + F.lit(middle)
     total = F.lit(0).cast("bigint")
     for place in range(len(LETTERS)):
-        a, b = (F.shiftright(name, 8 * place).bitwiseAND(F.lit(127)) for name in (one, two))
-        apart = F.abs(a - b)
-        # counts are kept modulo 128
-        total = total + F.least(apart, F.lit(128) - apart)
+        total = total + F.abs(F.shiftright(apart, 4 * place).bitwiseAND(F.lit(15)) - F.lit(8))
     return total <= F.lit(2 * EDITS)
 
 
@@ -154,6 +176,9 @@ def _pairs(met: DataFrame, store: StageStore, name: str) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, store: StageStore, name: str) -> DataFrame:
+    wanted = store.save(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), f"{name}_nodes")
+    if wanted.count() <= BROADCAST_NODES:
+        lines = lines.join(F.broadcast(wanted), "node", "left_semi")
     left = lines.select(F.col("node").alias("u"), F.col("line").alias("line_u"))
     right = lines.select(F.col("node").alias("v"), F.col("line").alias("line_v"))
     both = pairs.join(left, "u").join(right, "v").select("u", "v", "line_u", "line_v")
@@ -176,16 +201,17 @@ def line_classes(docs: DataFrame, store: StageStore, doc_id: str = "doc_id", tex
     """
     lines = numbered_lines(docs, doc_id, text)
     placed = store.save(lines.select("doc_id", "line_no", "digest"), "placed")
-    distinct = lines.select("digest", "line", F.length("line").alias("size"))
-    distinct = distinct.where(F.col("size") >= SHORT).dropDuplicates(["digest"])
+    # lines are nothing but keys of this aggregate, so it hashes them and sorts none
+    distinct = lines.where(F.length("line") >= SHORT).select("line").distinct()
+    distinct = distinct.withColumn("digest", F.unhex(F.md5("line")))
     # the stage fixes the numbers
     distinct = store.save(distinct.withColumn("node", F.monotonically_increasing_id()), "lines")
-    distinct = distinct.withColumn("letters", _letters())
-    index, probes = _index_entries(distinct), _probe_entries(distinct)
+    index = _entries(distinct, INDEX_PLACES)
+    probes = _entries(distinct, PROBE_PLACES).toDF("key", "probe", "probe_letters")
     sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader"))
     hot = store.save(sizes.where(F.col("n") > CROWD).select("key", "leader"), "hot_keys")
-    kept = (F.col("n") <= CROWD) | (F.col("node") == F.col("leader"))
-    asked_first = index.join(sizes, "key").where(kept).select("key", "node", "letters")
+    kept = F.col("leader").isNull() | (F.col("node") == F.col("leader"))
+    asked_first = index.join(hot, "key", "left").where(kept).select("key", "node", "letters")
     near = F.col("probe") != F.col("node")
     met = probes.join(asked_first, "key").where(near & _close("letters", "probe_letters"))
     links = _verified(_pairs(met, store, "pairs"), distinct, store, "links")
@@ -199,8 +225,8 @@ def line_classes(docs: DataFrame, store: StageStore, doc_id: str = "doc_id", tex
             "labels",
         )
         theirs = index.join(hot.select("key"), "key").join(known, "node")
-        mixed = theirs.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
-        asked = probes.join(mixed.select("key"), "key").join(known.toDF("probe", "probe_label"), "probe")
+        divided = theirs.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
+        asked = probes.join(divided.select("key"), "key").join(known.toDF("probe", "probe_label"), "probe")
         different = (F.col("label") != F.col("probe_label")) & _close("letters", "probe_letters")
         apart = asked.join(theirs, "key").where(different)
         more = _verified(_pairs(apart.select("probe", "node"), store, "more_pairs"), distinct, store, "more_links")

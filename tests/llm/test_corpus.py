@@ -268,7 +268,7 @@ def test_line_classes_equal_brute_force(spark, store):
         line = list(lines[int(random.integers(0, 2))])
         for _ in range(int(random.integers(0, 4))):
             at = int(random.integers(0, len(line)))
-            line[at : at + int(random.integers(0, 2))] = "z"[: int(random.integers(0, 2))]
+            line[at : at + int(random.integers(0, 2))] = "zé語"[int(random.integers(0, 3))][: int(random.integers(0, 2))]
         lines.append("".join(line))
     docs = documents(spark, ["\n".join(lines[at : at + 4]) for at in range(0, len(lines), 4)])
     rows = docs.select("doc_id", "text").collect()
