@@ -12,6 +12,7 @@ backslashes are doubled, so that the text of a turn can be read back exactly and
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,6 +43,11 @@ def read_back(formatted: str) -> list[tuple[str, str, int]]:
     return [(unescape(m[1]), unescape(m[2]), m.start(2)) for m in _TURN.finditer(formatted)]
 
 
+def _finished(reach: list[DataFrame]) -> DataFrame:
+    """The messages that have reached their root in any round; each is in one of them."""
+    return reduce(DataFrame.unionByName, [found.where("up is null") for found in reach])
+
+
 def best_branches(messages: DataFrame, store: StageStore, branches: int = 1) -> DataFrame:
     """(tree, branch, depth, id) of the messages on the best root-to-leaf paths of each tree.
 
@@ -61,17 +67,18 @@ def best_branches(messages: DataFrame, store: StageStore, branches: int = 1) ->
     reach = [store.save(known.withColumn("hops", F.lit(1).cast("bigint")), "reach_0")]
     total = nodes.count()
     while (1 << len(reach)) <= 2 * max(total, 1):
-        last = reach[-1]
-        if last.where("up is not null").isEmpty():
+        # what has reached its root stays as it is and leaves the rounds, so one deep tree costs its own rows
+        active = reach[-1].where("up is not null")
+        if active.isEmpty():
             break
-        above = last.select(
+        above = active.unionByName(_finished(reach)).select(
             F.col("tree").alias("t"),
             F.col("id").alias("i"),
             F.col("up").alias("further"),
             F.col("score").alias("s"),
             F.col("hops").alias("h"),
         )
-        step = last.join(
+        step = active.join(
             above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("i")), "left"
         ).select(
             "tree",
@@ -81,7 +88,7 @@ def best_branches(messages: DataFrame, store: StageStore, branches: int = 1) ->
             (F.col("hops") + F.coalesce("h", F.lit(0))).alias("hops"),
         )
         reach.append(store.save(step, f"reach_{len(reach)}"))
-    rooted = reach[-1].where("up is null")
+    rooted = _finished(reach)
     parents = reach[0].where("up is not null").select(F.col("tree").alias("t"), F.col("up").alias("p")).distinct()
     leaves = rooted.join(
         parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("id") == F.col("p")), "left_anti"
