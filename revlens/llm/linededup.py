@@ -224,9 +224,13 @@ def line_classes(docs: DataFrame, store: StageStore, doc_id: str = "doc_id", tex
             .select("node", F.coalesce("label", "node").alias("label")),
             "labels",
         )
-        theirs = index.join(hot.select("key"), "key").join(known, "node")
-        divided = theirs.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
-        asked = probes.join(divided.select("key"), "key").join(known.toDF("probe", "probe_label"), "probe")
+        theirs = store.save(index.join(hot.select("key"), "key").join(known, "node"), "crowded")
+        asked = probes.join(hot.select("key"), "key").join(known.toDF("probe", "probe_label"), "probe")
+        asked = store.save(asked, "crowded_probes")
+        # lines that only probe an entry count as well: no other entry need bring them to its lines
+        meeting = theirs.select("key", "label").union(asked.select("key", "probe_label"))
+        divided = meeting.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
+        asked = asked.join(divided.select("key"), "key")
         different = (F.col("label") != F.col("probe_label")) & _close("letters", "probe_letters")
         apart = asked.join(theirs, "key").where(different)
         more = _verified(_pairs(apart.select("probe", "node"), store, "more_pairs"), distinct, store, "more_links")

@@ -294,6 +294,32 @@ def test_line_classes_equal_brute_force(spark, store):
         assert row["kept"] == (plain[:2] == plain[2:])
 
 
+def classes_of_lines(spark, store, lines):
+    """The classes that `line_classes` makes of lines, and those that comparing all of them makes."""
+    found = linededup.line_classes(spark.createDataFrame([(0, "\n".join(lines))], "doc_id long, text string"), store)
+    named = defaultdict(set)
+    for row in found.collect():
+        named[bytes(row["class"])].add(lines[row["line_no"]])
+
+    def close(one, two):
+        return edits(one, two) <= linededup.EDITS
+
+    label = components(lines, [(a, b) for a in lines for b in lines if a < b and close(a, b)])
+    expected = defaultdict(set)
+    for line in lines:
+        expected[label[line]].add(line)
+    return sorted(map(sorted, named.values())), sorted(map(sorted, expected.values()))
+
+
+def test_a_line_that_only_probes_a_crowded_entry_is_compared(spark, store):
+    start = "Order number for the shipped parcel is "
+    lines = [f"{start}{number}" for number in range(100, 200)]
+    # two characters more than one of the lines, so in no index entry of theirs, and far from most of them
+    lines += [f"{start}{end}" for end in ("1045", "1-4-5", "1+2+7", "1=8=3")]
+    found, expected = classes_of_lines(spark, store, lines)
+    assert found == expected
+
+
 def test_bit_parallel_distance_is_exact():
     random = np.random.default_rng(5)
     for _ in range(3000):
