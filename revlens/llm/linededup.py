@@ -3,8 +3,11 @@
 Distinct lines are compared, whatever their number of copies. A line is cut into three segments. Lines
 within two edits share a segment at nearly the same place, so each line's segments are indexed by
 length, place and hash, and every line probes the index with the few substrings that can match. What
-meets is verified by bit-parallel edit distance in a band of five diagonals. Lines shorter than
-`SHORT` characters only count as copies where they are equal.
+meets is verified by bit-parallel edit distance in a band of five diagonals.
+
+Two edits are much in a short line: where the shorter of two lines has less than `SHORT` characters, one
+edit links them, and below `SHORTEST` characters none. Lines within one edit are equal once at most one
+character of each is left out, so short lines meet by what is left of them.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from revlens.sources.stages import StageStore
 
 EDITS = 2
 SHORT = 24
+SHORTEST = 3
 # entries of the index with more lines than this are first compared with one of their lines only
 CROWD = 64
 LETTERS = "etaonirs"
@@ -81,6 +85,12 @@ def within(one: str, two: str, limit: int = EDITS) -> bool:
     return any(row >> end & 1 for row in rows)
 
 
+def allowed(one: str, two: str) -> int:
+    """Edits within which two different lines are linked."""
+    shorter = min(len(one), len(two))
+    return EDITS if shorter >= SHORT else int(shorter >= SHORTEST)
+
+
 def _segment(length: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
     """Start and size of a segment of lines of these lengths; the last segments take the rest."""
     count = EDITS + 1
@@ -163,12 +173,28 @@ def _close(one: str, two: str) -> Column:
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         one, two = batch.column("line_u").to_pylist(), batch.column("line_v").to_pylist()
-        chosen = pa.array([within(a, b) for a, b in zip(one, two, strict=True)], pa.bool_())
+        linked = [within(a, b, allowed(a, b)) for a, b in zip(one, two, strict=True)]
+        chosen = pa.array(linked, pa.bool_())
         yield pa.RecordBatch.from_arrays(
             [batch.column("u").filter(chosen), batch.column("v").filter(chosen)], names=["u", "v"]
         )
 
 
+def _short_met(lines: DataFrame) -> DataFrame:
+    """(probe, node): lines of up to `SHORT` characters that are equal without one character of each.
+
+    A line of `SHORT` characters may be one edit from a shorter one.
+    """
+    short = lines.where(F.length("line").between(SHORTEST, SHORT))
+    places = F.sequence(F.lit(1), F.length("line"))
+    left = F.transform(
+        places, lambda at: F.concat(F.substring("line", F.lit(1), at - F.lit(1)), F.substring("line", at + F.lit(1), F.lit(SHORT)))
+    )
+    keys = F.array_distinct(F.concat(F.array("line"), left))
+    cut = short.select("node", F.explode(F.transform(keys, lambda key: F.xxhash64(key))).alias("key"))
+    return cut.toDF("probe", "key").join(cut, "key").where("probe < node").select("probe", "node")
+
+
 def _pairs(met: DataFrame, store: StageStore, name: str) -> DataFrame:
     return store.save(
         met.select(F.least("probe", "node").alias("u"), F.greatest("probe", "node").alias("v")).distinct(), name
@@ -196,13 +222,13 @@ def numbered_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def line_classes(docs: DataFrame, store: StageStore, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, line_no, class): each line with a word and the class of its near copies.
 
-    Classes are components of links within two edits. Null and empty texts have no lines; repeated rows
+    Classes are components of links within two edits, or one where a line is short. Null and empty texts have no lines; repeated rows
     repeat their lines; a null doc_id is an id like any other.
     """
     lines = numbered_lines(docs, doc_id, text)
     placed = store.save(lines.select("doc_id", "line_no", "digest"), "placed")
     # lines are nothing but keys of this aggregate, so it hashes them and sorts none
-    distinct = lines.where(F.length("line") >= SHORT).select("line").distinct()
+    distinct = lines.where(F.length("line") >= SHORTEST).select("line").distinct()
     distinct = distinct.withColumn("digest", F.unhex(F.md5("line")))
     # the stage fixes the numbers
     distinct = store.save(distinct.withColumn("node", F.monotonically_increasing_id()), "lines")
@@ -214,6 +240,7 @@ def line_classes(docs: DataFrame, store: StageStore, doc_id: str = "doc_id", tex
     asked_first = index.join(hot, "key", "left").where(kept).select("key", "node", "letters")
     near = F.col("probe") != F.col("node")
     met = probes.join(asked_first, "key").where(near & _close("letters", "probe_letters"))
+    met = met.select("probe", "node").union(_short_met(distinct))
     links = _verified(_pairs(met, store, "pairs"), distinct, store, "links")
     labels = components(links, store, "line_links").toDF("linked", "label")
     if not hot.isEmpty():

@@ -302,7 +302,8 @@ def classes_of_lines(spark, store, lines):
         named[bytes(row["class"])].add(lines[row["line_no"]])
 
     def close(one, two):
-        return edits(one, two) <= linededup.EDITS
+        shorter = min(len(one), len(two))
+        return edits(one, two) <= (2 if shorter >= 24 else 1 if shorter >= 3 else 0)
 
     label = components(lines, [(a, b) for a in lines for b in lines if a < b and close(a, b)])
     expected = defaultdict(set)
@@ -320,6 +321,15 @@ def test_a_line_that_only_probes_a_crowded_entry_is_compared(spark, store):
     assert found == expected
 
 
+def test_short_lines_are_joined_too(spark, store):
+    random = np.random.default_rng(6)
+    lines = {"Click here to subscribe", "Click here to subscribe!", "Share on Facebook", "Share on Facebook.", "a", "b"}
+    lines |= {"0123456789 0123456789 12", "0123456789 0123456789 1", "0123456789 0123456789 1xy", "cat", "cut", "at", "dog"}
+    lines |= {"".join(random.choice(list("aé語"), int(random.integers(3, 9)))) for _ in range(60)}
+    found, expected = classes_of_lines(spark, store, sorted(lines))
+    assert found == expected and ["Share on Facebook", "Share on Facebook."] in found
+
+
 def test_bit_parallel_distance_is_exact():
     random = np.random.default_rng(5)
     for _ in range(3000):
