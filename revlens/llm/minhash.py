@@ -8,15 +8,14 @@ those minhashes of its own. The low bytes of all of them estimate similarities.
    on their full sets. These are the longest common prefixes there are, and they join most of every
    group of copies.
 2. Nodes that have such a neighbour at all are compared with every node of their region, which is a
-   run of an order with a common prefix. Its depth adapts: three minhashes where at most
-   `REGION_NODES` nodes share them, else as many more as it takes. Nodes already joined are passed
-   over, a pair is taken in the first tree that brings it together, and the minhash estimate must be
+   run of an order with a common prefix of three minhashes. A region of more than `REGION_NODES` nodes
+   is dealt into blocks, and each pair of its blocks is compared by itself, so that tasks stay small
+   and no pair is left out. Nodes already joined are passed over, a pair is taken in the first tree that brings it together, and the minhash estimate must be
    within four standard errors of the threshold. What remains is compared on full sets: first each
    node's likeliest partner in a region, then, when those have been joined, all others.
 
 Two sets at the threshold of 0.85 share no region of depth three in 16 trees once in four million
-times. A region too crowded for its depth becomes several deeper ones; neighbours in step 1, other
-trees and links through third documents then join what a deeper cut has parted.
+times, however crowded the regions are.
 """
 
 from __future__ import annotations
@@ -39,6 +38,8 @@ TREES = 16
 TREE_DEPTH = 8
 MIN_DEPTH = 3
 REGION_NODES = 4096
+# side of a row whose region, or block, is compared within itself; else 0 and 1 for two blocks
+WHOLE = 2
 SPREAD = 4.0
 VALUE_BYTES = 4
 KEY_BYTES = TREE_DEPTH * VALUE_BYTES
@@ -185,6 +186,7 @@ def _within_regions(best_only: bool):
 def _region_pairs(rows: pa.RecordBatch, best_only: bool) -> pa.RecordBatch:
     region = rows.column("region").to_numpy()
     tree = rows.column("tree").to_numpy()
+    side = rows.column("side").to_numpy()
     label = _matrix(rows.column("label"), 2, np.uint64)
     sketch = _matrix(rows.column("sketch"), HASHES, np.uint8)
     regions = np.stack(rows.column("regions").to_numpy(zero_copy_only=False))
@@ -199,6 +201,8 @@ def _region_pairs(rows: pa.RecordBatch, best_only: bool) -> pa.RecordBatch:
             break
         for part in np.array_split(at, len(at) // 4096 + 1):
             other = part + step
+            apart = (side[part] != side[other]) | (side[part] == WHOLE)
+            part, other = part[apart], other[apart]
             apart = (label[part] != label[other]).any(axis=1)
             part, other = part[apart], other[apart]
             shared = (regions[part] == regions[other]) & (regions[part] != 0)
@@ -261,31 +265,22 @@ def _neighbour_pairs(orders: DataFrame, store: StageStore) -> DataFrame:
     return store.save(_ordered_pairs(pairs), "neighbour_pairs")
 
 
-def _regions(orders: DataFrame, store: StageStore) -> DataFrame:
-    """(node, tree, region) with the depth of each region adapted to the nodes that share it."""
-    chosen: DataFrame | None = None
-    remaining = orders
-    for depth in range(MIN_DEPTH, TREE_DEPTH + 1):
-        prefix = F.substring("sort_key", 1, depth * VALUE_BYTES)
-        keyed = remaining.withColumn("region", F.xxhash64("tree", prefix))
-        sizes = keyed.groupBy("region").agg(F.count(F.lit(1)).alias("size"))
-        keyed = store.save(keyed.join(sizes.where("size > 1"), "region"), f"depth_{depth}")
-        crowded = F.col("size") > REGION_NODES
-        if depth == TREE_DEPTH:
-            block = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") * 2 / REGION_NODES))
-            region = F.when(crowded, F.xxhash64("region", block)).otherwise(F.col("region"))
-            keyed, crowded = keyed.withColumn("region", region), F.lit(False)
-        part = keyed.where(~crowded).select("node", "tree", "region")
-        chosen = part if chosen is None else chosen.union(part)
-        remaining = keyed.where(crowded).select("node", "tree", "sort_key")
-        if depth == TREE_DEPTH or remaining.isEmpty():
-            break
-    return chosen
+def _regions(orders: DataFrame, store: StageStore) -> tuple[DataFrame, DataFrame]:
+    """(node, tree, region) where another node shares the region, and (crowd, blocks): the blocks of
+    each region that is too crowded for one task."""
+    region = F.xxhash64("tree", F.substring("sort_key", 1, MIN_DEPTH * VALUE_BYTES))
+    keyed = orders.select("node", "tree", region.alias("region"))
+    sizes = keyed.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = store.save(keyed.join(sizes, "region"), "regions")
+    crowded = shared.where(F.col("size") > REGION_NODES).select("region", "size").distinct()
+    blocks = F.ceil(F.col("size") * 2 / REGION_NODES).cast("int")
+    return shared.select("node", "tree", "region"), store.save(
+        crowded.select(F.col("region").alias("crowd"), blocks.alias("blocks")), "crowded"
+    )
 
 
-def _region_rows(orders: DataFrame, sketches: DataFrame, store: StageStore) -> DataFrame:
+def _region_rows(regions: DataFrame, sketches: DataFrame) -> DataFrame:
     """(node, sketch, regions): what a node is compared by, and its region in each tree (0 for none)."""
-    regions = _regions(orders, store)
     listed = F.map_from_entries(F.collect_list(F.struct("tree", "region")))
     in_trees = regions.groupBy("node").agg(listed.alias("by_tree"))
     trees = F.sequence(F.lit(0), F.lit(TREES - 1))
@@ -293,14 +288,31 @@ def _region_rows(orders: DataFrame, sketches: DataFrame, store: StageStore) -> D
     return in_trees.join(sketches, "node").select("node", "sketch", in_order.alias("regions"))
 
 
-def _region_candidates(placed: DataFrame, labels: DataFrame, best_only: bool) -> DataFrame:
+def _region_candidates(placed: DataFrame, crowded: DataFrame, labels: DataFrame, best_only: bool) -> DataFrame:
     spread = (
         placed.join(labels, "node")
         .select("*", F.posexplode("regions").alias("tree", "region"))
         .where(F.col("region") != 0)
-        .repartition("region")
-        .sortWithinPartitions("region")
+        .withColumn("side", F.lit(WHOLE))
     )
+    if not crowded.isEmpty():
+        # a node of a crowded region goes to each pair of blocks that has its own
+        sized = spread.join(crowded, F.col("region") == F.col("crowd"), "left")
+        own = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
+        others = F.when(F.col("blocks").isNull(), F.array(F.lit(-1))).otherwise(
+            F.sequence(F.lit(0), F.col("blocks") - F.lit(1))
+        )
+        dealt = sized.withColumn("own", own).withColumn("other", F.explode(others))
+        pair = F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other"))
+        spread = dealt.withColumns(
+            {
+                "region": F.when(F.col("blocks").isNull(), F.col("region")).otherwise(pair),
+                "side": F.when(F.col("blocks").isNull() | (F.col("own") == F.col("other")), F.lit(WHOLE)).otherwise(
+                    (F.col("own") > F.col("other")).cast("int")
+                ),
+            }
+        ).drop("crowd", "blocks", "own", "other")
+    spread = spread.repartition("region").sortWithinPartitions("region")
     return _ordered_pairs(spread.mapInArrow(_within_regions(best_only), "u binary, v binary"))
 
 
@@ -365,9 +377,10 @@ def near_duplicates(docs: DataFrame, store: StageStore, doc_id: str = "doc_id",
     labels = _relabelled(alone, store.save(_confirmed(pairs, sets), "first"), store, "first")
     sketches = linked.select("node", "sketch").join(near.select("node"), "node", "left_semi")
     near_orders = orders.join(near.select("node"), "node", "left_semi")
-    placed = store.save(_region_rows(near_orders, sketches.dropDuplicates(["node"]), store), "placed")
+    regions, crowded = _regions(near_orders, store)
+    placed = store.save(_region_rows(regions, sketches.dropDuplicates(["node"])), "placed")
     for name, best_only in (("best", True), ("rest", False)):
-        found = store.save(_region_candidates(placed, labels, best_only), f"{name}_pairs")
+        found = store.save(_region_candidates(placed, crowded, labels, best_only), f"{name}_pairs")
         labels = _relabelled(labels, store.save(_confirmed(found, sets), name), store, name)
     groups = store.save(labels.join(nodes, "node"), "groups")
     least = groups.groupBy("label").agg(F.min("least_doc").alias("component_id"))

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +101,44 @@ def test_near_duplicates_equal_brute_force(docs, store):
     assert stays == Counter(set(expected.values()) | {None})
 
 
+def test_pairs_of_a_crowded_region_are_all_compared():
+    random = np.random.default_rng(7)
+    sketch = random.integers(0, 256, minhash.HASHES, dtype=np.uint8).tobytes()
+    regions = [5] + [0] * (minhash.TREES - 1)
+    sides = {"diagonal": [minhash.WHOLE] * 6, "across": [0, 1, 0, 1, 1, 0]}
+    for name, side in sides.items():
+        rows = pa.RecordBatch.from_pydict(
+            {
+                "node": [b"%d" % at for at in range(6)],
+                "sketch": [sketch] * 6,
+                "regions": pa.array([regions] * 6, pa.list_(pa.int64())),
+                "label": [b"%016d" % at for at in range(6)],
+                "tree": pa.array([0] * 6, pa.int32()),
+                "region": pa.array([9] * 6, pa.int64()),
+                "side": pa.array(side, pa.int32()),
+            }
+        )
+        found = minhash._region_pairs(rows, False).to_pydict()
+        wanted = {(a, b) for a in range(6) for b in range(a) if name == "diagonal" or side[a] != side[b]}
+        assert {(max(int(u), int(v)), min(int(u), int(v))) for u, v in zip(found["u"], found["v"], strict=True)} == wanted
+
+
+def test_blocks_of_a_crowded_region_leave_no_pair_out(spark, store, monkeypatch):
+    monkeypatch.setattr(minhash, "REGION_NODES", 8)
+    nodes = [f"{at:016d}".encode() for at in range(60)]
+    # all share the least prefix of a tree; in another, half of them do
+    orders = [(node, 0, b"\0" * minhash.KEY_BYTES) for node in nodes]
+    orders += [(node, 1, b"\1" * minhash.KEY_BYTES) for node in nodes[::2]]
+    orders = spark.createDataFrame(orders, "node binary, tree int, sort_key binary")
+    same = bytes(minhash.HASHES)
+    sketches = spark.createDataFrame([(node, same) for node in nodes], "node binary, sketch binary")
+    labels = spark.createDataFrame([(node, node) for node in nodes], "node binary, label binary")
+    regions, crowded = minhash._regions(orders, store)
+    placed = minhash._region_rows(regions, sketches)
+    found = minhash._region_candidates(placed, crowded, labels, False).collect()
+    assert len(found) == 60 * 59 // 2
+
+
 def test_shards_are_even_whole_and_gapless(docs, store):
     placed = sharding.shard(docs, store, sharding.text_bytes("text"), F.col("text"), shards=3)
     rows = placed.collect()
