@@ -11,6 +11,8 @@ from revlens.llm.shipping import ship_package
 from revlens.sources.stages import StageStore
 
 ORACLE_SQL = None
+# percent of the shingles that near copies share at least; op2_minhash asks for 85
+SIMILARITY = 80
 _last: dict[str, StageStore] = {}
 
 
@@ -33,7 +35,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
     ship_package(spark)
-    return minhash.deduplicated(docs, _own_store(spark, docs))
+    return minhash.deduplicated(docs, _own_store(spark, docs), percent=SIMILARITY)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

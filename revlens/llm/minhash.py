@@ -15,7 +15,7 @@ those minhashes of its own. The low bytes of all of them estimate similarities.
    node's likeliest partner in a region, then, when those have been joined, all others.
 
 Two sets at the threshold of 0.85 share no region of depth three in 16 trees once in four million
-times, however crowded the regions are.
+times, and sets at 0.8 once in a hundred thousand, however crowded the regions are.
 """
 
 from __future__ import annotations
@@ -156,13 +156,13 @@ def _links(rows: pa.RecordBatch, u: pa.Array, v: pa.Array | None, edge: bool) ->
     )
 
 
-def _cut() -> int:
+def _cut(percent: int) -> int:
     """Equal minhashes that two sets at the threshold have, less the allowed standard errors."""
-    share = PERCENT / 100
+    share = percent / 100
     return int(HASHES * share - SPREAD * np.sqrt(HASHES * share * (1 - share)))
 
 
-def _within_regions(best_only: bool):
+def _within_regions(best_only: bool, percent: int):
     """Pairs of nodes of one region that are not joined yet and whose minhashes say they may be."""
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,14 +176,14 @@ def _within_regions(best_only: bool):
             # the last region may go on in the next batch
             held = rows.slice(whole)
             if whole:
-                yield _region_pairs(rows.slice(0, whole), best_only)
+                yield _region_pairs(rows.slice(0, whole), best_only, percent)
         if held is not None:
-            yield _region_pairs(held, best_only)
+            yield _region_pairs(held, best_only, percent)
 
     return within
 
 
-def _region_pairs(rows: pa.RecordBatch, best_only: bool) -> pa.RecordBatch:
+def _region_pairs(rows: pa.RecordBatch, best_only: bool, percent: int = PERCENT) -> pa.RecordBatch:
     region = rows.column("region").to_numpy()
     tree = rows.column("tree").to_numpy()
     side = rows.column("side").to_numpy()
@@ -209,7 +209,7 @@ def _region_pairs(rows: pa.RecordBatch, best_only: bool) -> pa.RecordBatch:
             leading = shared.argmax(axis=1) == tree[part]
             part, other = part[leading], other[leading]
             same = (sketch[part] == sketch[other]).sum(axis=1)
-            alike = same >= _cut()
+            alike = same >= _cut(percent)
             first.append(part[alike])
             second.append(other[alike])
             equal.append(same[alike])
@@ -224,28 +224,33 @@ def _region_pairs(rows: pa.RecordBatch, best_only: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([node.take(pa.array(u)), node.take(pa.array(v))], names=["u", "v"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        linked = []
-        for one, two in zip(batch.column("set_u"), batch.column("set_v"), strict=True):
-            a = np.frombuffer(one.as_buffer(), dtype=np.uint64)
-            b = np.frombuffer(two.as_buffer(), dtype=np.uint64)
-            if PERCENT * max(len(a), len(b)) > 100 * min(len(a), len(b)):
-                linked.append(False)
-                continue
-            shared = len(a) + len(b) - len(np.union1d(a, b))
-            linked.append(100 * shared >= PERCENT * (len(a) + len(b) - shared))
-        chosen = pa.array(linked, pa.bool_())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("u").filter(chosen), batch.column("v").filter(chosen)], names=["u", "v"]
-        )
+def _confirm(percent: int):
+    """Those pairs whose full sets are as similar as it takes."""
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = []
+            for one, two in zip(batch.column("set_u"), batch.column("set_v"), strict=True):
+                a = np.frombuffer(one.as_buffer(), dtype=np.uint64)
+                b = np.frombuffer(two.as_buffer(), dtype=np.uint64)
+                if percent * max(len(a), len(b)) > 100 * min(len(a), len(b)):
+                    linked.append(False)
+                    continue
+                shared = len(a) + len(b) - len(np.union1d(a, b))
+                linked.append(100 * shared >= percent * (len(a) + len(b) - shared))
+            chosen = pa.array(linked, pa.bool_())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("u").filter(chosen), batch.column("v").filter(chosen)], names=["u", "v"]
+            )
+
+    return confirm
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("set_u"))
     right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("set_v"))
     both = pairs.join(left, "u").join(right, "v").select("u", "v", "set_u", "set_v")
-    return both.mapInArrow(_confirm, "u binary, v binary")
+    return both.mapInArrow(_confirm(percent), "u binary, v binary")
 
 
 def _ordered_pairs(pairs: DataFrame) -> DataFrame:
@@ -288,7 +293,9 @@ def _region_rows(regions: DataFrame, sketches: DataFrame) -> DataFrame:
     return in_trees.join(sketches, "node").select("node", "sketch", in_order.alias("regions"))
 
 
-def _region_candidates(placed: DataFrame, crowded: DataFrame, labels: DataFrame, best_only: bool) -> DataFrame:
+def _region_candidates(
+    placed: DataFrame, crowded: DataFrame, labels: DataFrame, best_only: bool, percent: int = PERCENT
+) -> DataFrame:
     spread = (
         placed.join(labels, "node")
         .select("*", F.posexplode("regions").alias("tree", "region"))
@@ -313,7 +320,7 @@ def _region_candidates(placed: DataFrame, crowded: DataFrame, labels: DataFrame,
             }
         ).drop("crowd", "blocks", "own", "other")
     spread = spread.repartition("region").sortWithinPartitions("region")
-    return _ordered_pairs(spread.mapInArrow(_within_regions(best_only), "u binary, v binary"))
+    return _ordered_pairs(spread.mapInArrow(_within_regions(best_only, percent), "u binary, v binary"))
 
 
 def _relabelled(labels: DataFrame, links: DataFrame, store: StageStore, name: str) -> DataFrame:
@@ -326,11 +333,13 @@ def _relabelled(labels: DataFrame, links: DataFrame, store: StageStore, name: st
     return store.save(moved, f"{name}_labels")
 
 
-def near_duplicates(docs: DataFrame, store: StageStore, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, store: StageStore, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT
+) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id, kept.
 
-    component_id is the least doc_id reachable over links of similarity 0.85 or more, the document's
-    own included; kept says whether that is the document itself. A text without words, or none at all,
+    component_id is the least doc_id reachable over links of a similarity of `percent` or more, the
+    document's own included; kept says whether that is the document itself. A text without words, or none at all,
     has no shingle and stays by itself. A row without doc_id takes part in no group: its component_id
     is null and it is kept. Rows that share a doc_id and a text all get the same answer; several texts
     under one doc_id are nodes of their own. An empty table gives an empty result. Other columns of
@@ -374,14 +383,14 @@ def near_duplicates(docs: DataFrame, store: StageStore, doc_id: str = "doc_id",
         "sets",
     )
     alone = store.save(near.select("node", F.col("node").alias("label")), "own_labels")
-    labels = _relabelled(alone, store.save(_confirmed(pairs, sets), "first"), store, "first")
+    labels = _relabelled(alone, store.save(_confirmed(pairs, sets, percent), "first"), store, "first")
     sketches = linked.select("node", "sketch").join(near.select("node"), "node", "left_semi")
     near_orders = orders.join(near.select("node"), "node", "left_semi")
     regions, crowded = _regions(near_orders, store)
     placed = store.save(_region_rows(regions, sketches.dropDuplicates(["node"])), "placed")
     for name, best_only in (("best", True), ("rest", False)):
-        found = store.save(_region_candidates(placed, crowded, labels, best_only), f"{name}_pairs")
-        labels = _relabelled(labels, store.save(_confirmed(found, sets), name), store, name)
+        found = store.save(_region_candidates(placed, crowded, labels, best_only, percent), f"{name}_pairs")
+        labels = _relabelled(labels, store.save(_confirmed(found, sets, percent), name), store, name)
     groups = store.save(labels.join(nodes, "node"), "groups")
     least = groups.groupBy("label").agg(F.min("least_doc").alias("component_id"))
     chosen = nodes.join(groups.join(least, "label").select("node", "component_id"), "node", "left")
@@ -398,12 +407,14 @@ def near_duplicates(docs: DataFrame, store: StageStore, doc_id: str = "doc_id",
     )
 
 
-def deduplicated(docs: DataFrame, store: StageStore, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicated(
+    docs: DataFrame, store: StageStore, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT
+) -> DataFrame:
     """`docs` with one document of each group of near-duplicates: the one of the least doc_id.
 
     Rows that repeat a doc_id count as one document. Rows without doc_id stay as they are.
     """
-    verdicts = near_duplicates(docs, store, doc_id, text)
+    verdicts = near_duplicates(docs, store, doc_id, text, percent)
     gone = store.save(
         verdicts.groupBy("doc_id").agg(F.bool_or("kept").alias("stays")).where(~F.col("stays")), "gone"
     )

@@ -139,6 +139,14 @@ def test_blocks_of_a_crowded_region_leave_no_pair_out(spark, store, monkeypatch)
     assert len(found) == 60 * 59 // 2
 
 
+def test_the_pipeline_joins_copies_from_four_fifths_on(spark, store):
+    words = [f"v{at}" for at in range(200)]
+    copy = [f"{word}x" if at in (30, 70, 110, 150) else word for at, word in enumerate(words)]
+    frame = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(copy))], "doc_id long, text string")
+    assert minhash.deduplicated(frame, store).count() == 2
+    assert [row["doc_id"] for row in corpus_pipeline.without_copies(spark, frame, "").collect()] == [1]
+
+
 def test_shards_are_even_whole_and_gapless(docs, store):
     placed = sharding.shard(docs, store, sharding.text_bytes("text"), F.col("text"), shards=3)
     rows = placed.collect()
