@@ -25,8 +25,8 @@ BUCKETS = 1 << 16
 SCALE = 1_000_000
 # a document is kept where the mean log ratio of its n-grams is at least this, in millionths
 MIN_MEAN = -150_000
-# trusted documents the target is estimated from, about as many at most
-TRUSTED_DOCUMENTS = 20_000
+# ids of trusted documents that a broadcast may have; beyond it the join shuffles ids and n-grams
+BROADCAST_IDS = 1_000_000
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 RESULTS = (*BASE, "n_grams", "log_ratio", "kept")
 
@@ -56,16 +56,17 @@ def _gram_buckets() -> Column:
     )
 
 
-def log_ratios(grams: DataFrame, trusted: Column) -> list[int]:
+def log_ratios(grams: DataFrame, trusted: DataFrame) -> list[int]:
     """The log ratio of each bucket in millionths, smoothed by one n-gram a bucket.
 
-    `grams` has the `_grams` of all documents; what comes back is one row a bucket. Without trusted
-    documents every ratio is 0.
+    `grams` has the `_grams` of all documents, `trusted` those of the trusted ones; what comes back is
+    one row a bucket. Without trusted documents every ratio is 0.
     """
-    exploded = grams.select(trusted.cast("int").alias("_trusted"), F.explode_outer("_grams").alias("_gram"))
+    both = grams.select(F.lit(0).alias("_trusted"), "_grams").union(trusted.select(F.lit(1), "_grams"))
+    exploded = both.select("_trusted", F.explode_outer("_grams").alias("_gram"))
     counted = (
         exploded.groupBy("_gram")
-        .agg(F.count(F.lit(1)).alias("raw"), F.sum("_trusted").alias("target"))
+        .agg(F.sum(F.lit(1) - F.col("_trusted")).alias("raw"), F.sum("_trusted").alias("target"))
         .where("_gram is not null")
         .collect()
     )
@@ -132,15 +133,12 @@ def with_base_counts(docs: DataFrame, text: str) -> DataFrame:
     return counted.withColumn("base_failed", failed)
 
 
-def trusted_sample(docs: DataFrame, labels: DataFrame) -> Column:
-    """Whether a document is one of the trusted ones: labelled good, at most about
-    `TRUSTED_DOCUMENTS` of them, picked by a hash of doc_id. Their ids come to the driver."""
-    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"))
+def trusted_documents(counted: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `counted` whose `_doc` is labelled good."""
+    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("bigint").alias("_doc"))
     good = good.distinct()
-    rate = min(1.0, TRUSTED_DOCUMENTS / max(good.count(), 1))
-    picked = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(rate * 1_000_000))
-    ids = [row["doc_id"] for row in good.where(picked).collect()]
-    return F.coalesce(quoted("doc_id").cast("bigint").isin(ids), F.lit(False)) if ids else F.lit(False)
+    few = good.count() <= BROADCAST_IDS
+    return counted.where("_doc is not null").join(F.broadcast(good) if few else good.hint("merge"), "_doc", "left_semi")
 
 
 def quality_rules(
@@ -153,7 +151,7 @@ def quality_rules(
     """`docs`, or its columns named in `carry`, with the base counts, base_failed, n_grams, log_ratio (mean, in nats) and kept.
 
     Texts are read once: the counts and the buckets of their n-grams are staged, ratios are estimated
-    from all of them, and the scores are sums over the staged buckets. A null or empty text has no
+    from all of them and from all trusted ones, and the scores are sums over the staged buckets. A null or empty text has no
     words: its counts are 0, base_failed holds and it is not kept. Repeated rows get equal answers. An
     input column with the name of a result gives way to it. An empty table gives an empty result.
     """
@@ -161,11 +159,11 @@ def quality_rules(
     inner = docs.select(
         F.struct(*[quoted(name) for name in names]).alias(ROW),
         quoted(text).alias("_text"),
-        trusted_sample(docs, labels).alias("_trusted"),
+        quoted("doc_id").cast("bigint").alias("_doc"),
     )
-    counted = with_base_counts(inner, "_text").select(ROW, "_trusted", *BASE, _gram_buckets().alias("_grams"))
+    counted = with_base_counts(inner, "_text").select(ROW, "_doc", *BASE, _gram_buckets().alias("_grams"))
     counted = store.save(counted, "counted")
-    table = array_literal(log_ratios(counted, F.col("_trusted")), "int")
+    table = array_literal(log_ratios(counted, trusted_documents(counted, labels)), "int")
     total = F.aggregate(
         "_grams",
         F.lit(0).cast("bigint"),

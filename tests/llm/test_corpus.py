@@ -248,6 +248,22 @@ def test_rules_count_as_brute_force_does(spark, docs, store):
     assert rules.quality_rules(docs.where("false"), labels, store).count() == 0
 
 
+@pytest.mark.parametrize("limit", [0, 1_000_000])
+def test_all_trusted_documents_count(spark, store, monkeypatch, limit):
+    monkeypatch.setattr(rules, "BROADCAST_IDS", limit)
+    count = 20_400
+    frame = spark.range(count).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), "id").alias("text"))
+    frame = frame.union(spark.createDataFrame([(None, "w0")], "doc_id long, text string"))
+    labels = frame.select("doc_id", F.lit(1).alias("quality"))
+    labels = labels.union(labels)
+    counted = rules.with_base_counts(frame.select(F.col("doc_id").alias("_doc"), "text"), "text")
+    counted = counted.select("_doc", rules._gram_buckets().alias("_grams"))
+    trusted = rules.trusted_documents(counted, labels)
+    assert trusted.count() == count
+    # all but one row are trusted, so raw and target nearly agree in every bucket
+    assert max(map(abs, rules.log_ratios(counted, trusted))) < rules.SCALE
+
+
 def test_line_field_marginals_equal_enumeration():
     random = np.random.default_rng(1)
     model = quality.Model(random.normal(size=2), random.normal(size=(2, 2)), np.zeros(2), np.ones(2))
