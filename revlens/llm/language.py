@@ -8,6 +8,7 @@ label are its spans, and the label with most letters names the text.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,8 +32,8 @@ OUT_OF_SCRIPT = -40.0
 SAMPLE_DOCUMENTS = 20_000
 RESULT = "lang_pred string, score double, spans array<struct<start: int, end: int, lang: string>>"
 # fixed values: first code point of each range of scripts
-SCRIPT_STARTS = [0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x900, 0xE00, 0x1100, 0x1200, 0x1E00, 0x1F00, 0x2C00, 0x3040, 0x3400, 0xAC00, 0xD7B0]
-SCRIPTS = ["Latin", "Greek", "Cyrillic", "Armenian", "Hebrew", "Arabic", "Indic", "Thai", "Hangul", "other", "Latin", "Greek", "other", "Kana", "Han", "Hangul", "other"]
+SCRIPT_STARTS = [0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x900, 0xE00, 0x1100, 0x1200, 0x1E00, 0x1F00, 0x2000, 0x2C00, 0x2C60, 0x2C80, 0x3040, 0x3400, 0xAC00, 0xD7B0]
+SCRIPTS = ["Latin", "Greek", "Cyrillic", "Armenian", "Hebrew", "Arabic", "Indic", "Thai", "Hangul", "other", "Latin", "Greek", "Latin", "other", "Latin", "other", "Kana", "Han", "Hangul", "other"]
 SCRIPT_NAMES = sorted(set(SCRIPTS))
 _SCRIPT_OF_RANGE = np.array([SCRIPT_NAMES.index(name) for name in SCRIPTS])
 
@@ -42,6 +43,15 @@ _FOLD[65:91] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
 
 
+def _signs(first: int, last: int) -> np.ndarray:
+    """Whether a code point is neither a letter nor a mark on one."""
+    return np.array([unicodedata.category(chr(point))[0] not in "LM" for point in range(first, last)])
+
+
+# U+0080 to U+00BF, whose lead byte is C2, and U+2000 to U+2FFF, whose lead byte is E2
+_SIGNS_C2, _SIGNS_E2 = _signs(0x80, 0xC0), _signs(0x2000, 0x3000)
+
+
 @dataclass
 class Letters:
     """Words of letters in a slice of texts."""
@@ -59,12 +69,14 @@ def letters_of(data: np.ndarray, offsets: np.ndarray) -> Letters:
     capital = np.zeros(len(data), dtype=bool)
     capital[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
     folded = np.where(capital, folded + 32, folded).astype(np.uint8)
-    # signs of Latin-1 and general punctuation are no letters
+    # signs of Latin-1 and of the blocks from general punctuation on; there are letters among them
     sign = np.zeros(len(data), dtype=bool)
-    lead = np.flatnonzero((data == 0xC2) | (data == 0xE2))
-    for step, own in ((0, lead), (1, lead), (2, lead[data[lead] == 0xE2])):
-        own = own + step
-        sign[own[own < len(data)]] = True
+    two = np.flatnonzero(data[:-1] == 0xC2)
+    two = two[_SIGNS_C2[data[two + 1] & 63]]
+    three = np.flatnonzero(data[:-2] == 0xE2)
+    three = three[_SIGNS_E2[(data[three + 1] & 63).astype(np.int64) << 6 | (data[three + 2] & 63)]]
+    for own in (two, two + 1, three, three + 1, three + 2):
+        sign[own] = True
     folded[sign] = 32
     inside = folded != 32
     opens, closes = inside.copy(), inside.copy()

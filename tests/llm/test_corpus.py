@@ -314,6 +314,22 @@ def test_language_spans_and_odd_rows(spark, docs):
     assert {r["lang_pred"] for r in language.identify_languages(frame.withColumn("lang", F.lit(None))).collect()} == {"und"}
 
 
+def test_letters_among_signs_are_letters(spark):
+    words = {"zgh": "ⵜⴰⵎⴰⵣⵉⵖⵜ ⵜⴰⵎⵓⵔⵜ ", "cop": "ⲧⲙⲛⲧⲣⲙⲛⲕⲏⲙⲉ ⲛⲟⲩⲧⲉ ", "en": "the house – “garden” of the town… "}
+    rows = [(at, name, words[name] * 5) for at, name in enumerate([*words] * 20)]
+    rows += [(100, None, "— “…” ⁂ → ∑ ⠿ § ¿"), (101, None, "ª º µ")]
+    frame = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    found = {row["doc_id"]: row for row in language.identify_languages(frame).collect()}
+    assert all(found[at]["lang_pred"] == name and found[at]["score"] == 1.0 for at, name, _ in rows[:60])
+    assert found[100]["lang_pred"] == "und" and found[101]["lang_pred"] != "und"
+    for sign in "–“…⁂→∑⠿§¿\u2028\u3000"[:-1]:
+        data = np.frombuffer(f"a{sign}b".encode(), np.uint8)
+        assert len(language.letters_of(data, np.array([0, len(data)])).start) == 2
+    for letter in "ªºµⁿℂⰀⱠⲀⴀⴰⶀ\u2de0ⸯ":
+        data = np.frombuffer(f"a{letter}b".encode(), np.uint8)
+        assert len(language.letters_of(data, np.array([0, len(data)])).start) == 1
+
+
 def edits(one, two):
     last = list(range(len(two) + 1))
     for at, letter in enumerate(one, 1):
