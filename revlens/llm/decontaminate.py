@@ -4,6 +4,7 @@ Texts become templates: numbers, names and units turn into typed placeholders, a
 lower case, punctuation not at all. Windows of eight template words are hashed and joined with those
 of the benchmark. Where a matched window has placeholders, its slots are checked: within one alignment
 of item and document, each value of the item must stand for one value of the document throughout.
+Windows that hold a value for which this fails do not count; those without it do.
 A document holds an item when windows in consistent alignments cover half of the item's windows.
 """
 
@@ -189,32 +190,47 @@ def contaminated(
             "content",
             "item_id",
             "shift",
-            F.explode(
+            "bpos",
+            F.posexplode(
                 F.arrays_zip(
                     _slot_values(F.col("item_run")).alias("item_value"),
                     _slot_values(F.slice("tokens", F.col("pos") + 1, F.col("width"))).alias("doc_value"),
                 )
-            ).alias("slot"),
+            ).alias("offset", "slot"),
         )
         .where("slot.item_value is not null")
-        .select("doc_id", "content", "item_id", "shift", "slot.item_value", "slot.doc_value")
+        .select(
+            "doc_id",
+            "content",
+            "item_id",
+            "shift",
+            (F.col("bpos") + F.col("offset")).alias("at"),
+            "slot.item_value",
+            "slot.doc_value",
+        )
         .distinct()
     )
     alignment = ["doc_id", "content", "item_id", "shift"]
+    one_value = F.col("least") == F.col("most")
     checked = (
         aligned.groupBy(*alignment, "item_value")
         .agg(
-            F.count(F.lit(1)).alias("values"),
+            F.min("doc_value").alias("least"),
+            F.max("doc_value").alias("most"),
             F.max((F.col("item_value") != F.col("doc_value")).cast("int")).alias("changed"),
+            F.collect_set("at").alias("places"),
         )
         .groupBy(*alignment)
-        .agg(F.max("values").alias("most"), F.sum("changed").alias("changed"))
+        .agg(
+            F.flatten(F.collect_list(F.when(~one_value, F.col("places")))).alias("unfit"),
+            F.sum(F.when(one_value, F.col("changed")).otherwise(0)).alias("changed"),
+        )
         .select(
             F.col("doc_id").alias("d"),
             F.col("content").alias("c"),
             F.col("item_id").alias("i"),
             F.col("shift").alias("s"),
-            "most",
+            "unfit",
             "changed",
         )
     )
@@ -224,7 +240,8 @@ def contaminated(
         & (F.col("item_id") == F.col("i"))
         & (F.col("shift") == F.col("s"))
     )
-    consistent = hits.join(checked, same, "left").where("coalesce(most, 1) = 1")
+    held = F.exists("unfit", lambda at: at.between(F.col("bpos"), F.col("bpos") + F.col("width") - F.lit(1)))
+    consistent = hits.join(checked, same, "left").where(~F.coalesce(held, F.lit(False)))
     return (
         consistent.groupBy("doc_id", "content", "item_id", "n_windows", "bpos")
         .agg(F.min(F.coalesce("changed", F.lit(0))).alias("changed"))

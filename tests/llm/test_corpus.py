@@ -228,6 +228,18 @@ def test_items_are_found_with_other_numbers_names_and_units(spark, store):
     assert decontaminate.contaminated(docs, benchmark.where("false"), store).count() == 0
 
 
+def test_a_value_that_does_not_fit_only_spoils_its_own_windows(spark, store):
+    plain = "the slow river runs past old mills and wide green fields until it meets the sea near a small port"
+    item = f"Mona has 2 apples and 2 pears in the one big basket. {plain}"
+    texts = [item.replace("2", "3", 1).replace("2", "5"), item.replace("2", "3"), item.replace("Mona", "Vera"), plain]
+    docs = documents(spark, texts)
+    benchmark = spark.createDataFrame([(5, item)], "item_id long, text string")
+    rows = {row["doc_id"]: row for row in decontaminate.contaminated(docs, benchmark, store).collect()}
+    # 24 windows; seven of the first text hold one of the twos
+    assert {0, 1, 2} <= rows.keys() and rows[0]["n_matched"] < rows[1]["n_matched"] == rows[1]["n_windows"]
+    assert rows[1]["n_changed_slots"] == 1
+
+
 def test_rules_count_as_brute_force_does(spark, docs, store):
     labels = spark.createDataFrame([(0, 1, 0), (3, 1, 0), (9, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     for row in rules.quality_rules(docs, labels, store).collect():
