@@ -4,7 +4,10 @@ Texts become templates: numbers, names and units turn into typed placeholders, a
 lower case, punctuation not at all. Windows of eight template words are hashed and joined with those
 of the benchmark. Where a matched window has placeholders, its slots are checked: within one alignment
 of item and document, each value of the item must stand for one value of the document throughout.
-Windows that hold a value for which this fails do not count; those without it do.
+Windows that hold a value for which this fails do not count; those without it do. A capitalised word
+that opens a sentence is both a plain word and, in windows of a second kind, a name. An item of which no
+window has words enough besides its placeholders is looked for word for word. In scripts without blanks
+each character is a word.
 A document holds an item when windows in consistent alignments cover half of the item's windows.
 """
 
@@ -25,7 +28,11 @@ COVER_PERCENT = 50
 BROADCAST_WINDOWS = 1_000_000
 BROADCAST_KEYS = 1_000_000
 # a word or number with the end of a sentence or line before it, if there is one
-TOKEN = r"(?:[.!?\n]\s*)?(?:[\p{L}\p{M}]+|[0-9]+(?:[.,:/][0-9]+)*|[%$])"
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+TOKEN = (
+    rf"(?:[.!?\n]\s*)?(?:[\p{{L}}\p{{M}}&&[^{UNSPACED}]]+|[{UNSPACED}&&[\p{{L}}\p{{M}}]]"
+    r"|[0-9]+(?:[.,:/][0-9]+)*|[%$])"
+)
 OPENING = ".!?\n\r\t "
 # fixed values: words and signs that count as units
 UNITS = (
@@ -59,6 +66,18 @@ def template(token: Column) -> Column:
     return F.when(~plain, special).when(token.isin(UNITS), F.lit(UNIT_SLOT)).otherwise(token)
 
 
+# kinds of windows: openings as plain words, openings as names, no placeholders at all
+TEMPLATE, NAMED, VERBATIM = 0, 1, 2
+
+
+def worded(tokens: Column, kind: int) -> Column:
+    """What tokens count as in windows of a kind."""
+    if kind == TEMPLATE:
+        return F.transform(tokens, template)
+    bare = F.transform(tokens, lambda token: F.ltrim(token, F.lit(OPENING)))
+    return F.transform(bare, template if kind == NAMED else F.lower)
+
+
 def is_slot(word: Column) -> Column:
     return word.isin(NUMBER_SLOT, NAME_SLOT, UNIT_SLOT)
 
@@ -86,36 +105,43 @@ def _with_windows(hashed: DataFrame, width: int) -> DataFrame:
     return hashed.withColumn("_windows", runs).drop("_hashes")
 
 
-def _hashed(texts: DataFrame, text: str, *keys: str) -> DataFrame:
+def _hashed(texts: DataFrame, text: str, kind: int, *keys: str) -> DataFrame:
     tokens = texts.select(*keys, raw_tokens(text).alias("_tokens"))
     return tokens.select(
-        *keys, F.transform("_tokens", lambda token: F.xxhash64(template(token))).alias("_hashes")
+        *keys, F.transform(worded(F.col("_tokens"), kind), lambda word: F.xxhash64(word)).alias("_hashes")
     )
 
 
+def _item_windows(items: DataFrame, kind: int, least: int) -> DataFrame:
+    """The windows of items of `least` words or more; a shorter item than eight words is one window."""
+    items = items.withColumn("words", worded(F.col("tokens"), kind)).where(F.size("words") >= least)
+    items = items.withColumn("width", F.least(F.size("words"), F.lit(WIDTH)))
+    items = items.withColumn("_hashes", F.transform("words", lambda word: F.xxhash64(word)))
+    short = items.where(F.col("width") < WIDTH).withColumn("_windows", F.array(F.xxhash64("_hashes")))
+    both = _with_windows(items.where(F.col("width") == WIDTH), WIDTH).unionByName(short.drop("_hashes"))
+    cut = both.select("item_id", "tokens", "words", "width", F.posexplode_outer("_windows").alias("bpos", "window"))
+    cut = cut.where("window is not null").withColumn("kind", F.lit(kind))
+    run = F.slice("words", F.col("bpos") + 1, F.col("width"))
+    slots = F.lit(0) if kind == VERBATIM else F.size(F.filter(run, is_slot))
+    return cut.withColumn("literals", F.col("width") - slots)
+
+
 def benchmark_windows(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
-    """(item_id, width, bpos, window, slots, n_windows, words): the windows that can tell an item.
+    """(item_id, kind, width, bpos, window, has_slots, item_run, n_windows): the windows that can tell an item.
 
-    An item shorter than eight words is one window of its own length; below three words, or without
-    enough words that are no placeholders, it has none.
+    An item shorter than eight words is one window of its own length. Below three words, or without
+    enough words that are no placeholders, it is told by its own words only.
     """
     items = benchmark.select(quoted(item_id).alias("item_id"), raw_tokens(text).alias("tokens"))
     items = items.dropDuplicates(["item_id", "tokens"])
-    items = items.withColumn("words", F.transform("tokens", template))
-    items = items.withColumn("width", F.least(F.size("words"), F.lit(WIDTH)))
-    items = items.withColumn("_hashes", F.transform("words", lambda word: F.xxhash64(word)))
-    cut: DataFrame | None = None
-    for width in range(MIN_WIDTH, WIDTH + 1):
-        part = _with_windows(items.where(F.col("width") == width), width)
-        part = part.select("item_id", "tokens", "words", "width", F.posexplode_outer("_windows").alias("bpos", "window"))
-        cut = part if cut is None else cut.union(part)
-    cut = cut.where("window is not null")
-    run = F.slice("words", F.col("bpos") + 1, F.col("width"))
-    windows = cut.withColumn("literals", F.size(F.filter(run, lambda word: ~is_slot(word))))
+    windows = _item_windows(items, TEMPLATE, MIN_WIDTH).union(_item_windows(items, NAMED, MIN_WIDTH))
     windows = windows.where(F.col("literals") * WIDTH >= F.col("width") * MIN_LITERALS)
+    told = windows.select("item_id", "tokens").distinct()
+    windows = windows.union(_item_windows(items.join(told, ["item_id", "tokens"], "left_anti"), VERBATIM, 1))
     counts = windows.groupBy("item_id").agg(F.count_distinct("bpos").alias("n_windows"))
     return windows.join(counts, "item_id").select(
         "item_id",
+        "kind",
         "width",
         "bpos",
         "window",
@@ -126,8 +152,11 @@ def benchmark_windows(benchmark: DataFrame, item_id: str, text: str) -> DataFram
 
 
 def _slot_values(run: Column) -> Column:
-    """The values of the placeholders of a run, in lower case and null elsewhere."""
-    return F.transform(run, lambda token: F.when(is_slot(template(token)), F.lower(F.ltrim(token, F.lit(OPENING)))))
+    """The values of the placeholders of a run of the column `kind`, in lower case and null elsewhere."""
+    words = F.when(F.col("kind") == NAMED, worded(run, NAMED)).otherwise(worded(run, TEMPLATE))
+    return F.zip_with(
+        words, run, lambda word, token: F.when(is_slot(word), F.lower(F.ltrim(token, F.lit(OPENING))))
+    )
 
 
 def contaminated(
@@ -149,21 +178,21 @@ def contaminated(
     an empty result.
     """
     windows = store.save(benchmark_windows(benchmark.where(quoted(item_id).isNotNull()), item_id, item_text), "items")
-    measured = windows.agg(F.count(F.lit(1)).alias("n"), F.collect_set("width").alias("widths")).first()
+    measured = windows.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.struct("kind", "width")).alias("cuts")).first()
     plain = docs.select(
         quoted(doc_id).alias("doc_id"), quoted(text).alias("text"), F.xxhash64(quoted(text)).alias("content")
     )
-    hashed = _hashed(plain.where("text is not null"), "text", "doc_id", "content")
-    probes = windows.select("item_id", "width", "bpos", "window", "has_slots", "n_windows")
+    probes = windows.select("item_id", "kind", "width", "bpos", "window", "has_slots", "n_windows")
     if measured["n"] <= BROADCAST_WINDOWS:
         probes = F.broadcast(probes)
     found: DataFrame | None = None
-    for width in sorted(measured["widths"]) or [WIDTH]:
+    for kind, width in sorted(map(tuple, measured["cuts"])) or [(TEMPLATE, WIDTH)]:
+        hashed = _hashed(plain.where("text is not null"), "text", kind, "doc_id", "content")
         # an inner explode would have its array computed once more, for a filter of empty arrays
         placed = _with_windows(hashed, width).select(
             "doc_id", "content", F.posexplode_outer("_windows").alias("pos", "window")
         )
-        part = placed.join(probes.where(F.col("width") == width), "window")
+        part = placed.join(probes.where((F.col("kind") == kind) & (F.col("width") == width)), "window")
         found = part if found is None else found.union(part)
     hits = store.save(found.drop("window"), "hits").withColumn("shift", F.col("pos") - F.col("bpos"))
 
@@ -179,16 +208,17 @@ def contaminated(
     )
     texts = texts.dropDuplicates(["d", "c"]).select("d", "c", raw_tokens("text").alias("tokens"))
     same_doc = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("content") == F.col("c"))
-    runs = windows.select("item_id", "bpos", "width", "item_run").where(F.col("item_run").isNotNull())
+    runs = windows.select("item_id", "kind", "bpos", "width", "item_run").where(F.col("item_run").isNotNull())
     if measured["n"] <= BROADCAST_WINDOWS:
         runs = F.broadcast(runs)
     aligned = (
         slotted.join(texts, same_doc)
-        .join(runs, ["item_id", "bpos", "width"])
+        .join(runs, ["item_id", "kind", "bpos", "width"])
         .select(
             "doc_id",
             "content",
             "item_id",
+            "kind",
             "shift",
             "bpos",
             F.posexplode(
@@ -203,6 +233,7 @@ def contaminated(
             "doc_id",
             "content",
             "item_id",
+            "kind",
             "shift",
             (F.col("bpos") + F.col("offset")).alias("at"),
             "slot.item_value",
@@ -210,7 +241,7 @@ def contaminated(
         )
         .distinct()
     )
-    alignment = ["doc_id", "content", "item_id", "shift"]
+    alignment = ["doc_id", "content", "item_id", "kind", "shift"]
     one_value = F.col("least") == F.col("most")
     checked = (
         aligned.groupBy(*alignment, "item_value")
@@ -229,6 +260,7 @@ def contaminated(
             F.col("doc_id").alias("d"),
             F.col("content").alias("c"),
             F.col("item_id").alias("i"),
+            F.col("kind").alias("k"),
             F.col("shift").alias("s"),
             "unfit",
             "changed",
@@ -238,6 +270,7 @@ def contaminated(
         F.col("doc_id").eqNullSafe(F.col("d"))
         & (F.col("content") == F.col("c"))
         & (F.col("item_id") == F.col("i"))
+        & (F.col("kind") == F.col("k"))
         & (F.col("shift") == F.col("s"))
     )
     held = F.exists("unfit", lambda at: at.between(F.col("bpos"), F.col("bpos") + F.col("width") - F.lit(1)))

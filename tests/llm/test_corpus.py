@@ -240,6 +240,25 @@ def test_a_value_that_does_not_fit_only_spoils_its_own_windows(spark, store):
     assert rows[1]["n_changed_slots"] == 1
 
 
+def test_every_item_is_found_verbatim_and_openings_may_be_names(spark, store):
+    tom = "Tom has 5 apples. Tom gives 2 to Mary. How many apples does Tom have?"
+    items = [(1, tom), (2, "12 + 7 = 19, 3 + 5 = 8"), (3, "Alice Bob Carol 12 km"), (4, "小明有几个苹果？"), (5, "Yes, 12")]
+    texts = [
+        f"So. {tom.replace('Tom', 'Ben')} Answer it.",
+        "Sums: 12 + 7 = 19, 3 + 5 = 8. Done",
+        "Sums: 12 + 7 = 18, 4 + 5 = 9. Done",
+        "They are Alice, Bob, Carol: 12 km.",
+        "请看题目小明有几个苹果？谢谢",
+        "小红有几本书",
+        "Is it? yes 12",
+    ]
+    frame = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.contaminated(frame, benchmark, store).collect()
+    assert {(row["doc_id"], row["item_id"]) for row in found} == {(0, 1), (1, 2), (3, 3), (4, 4), (6, 5)}
+    assert {row["n_changed_slots"] for row in found if row["item_id"] != 1} == {0}
+
+
 def test_rules_count_as_brute_force_does(spark, docs, store):
     labels = spark.createDataFrame([(0, 1, 0), (3, 1, 0), (9, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     for row in rules.quality_rules(docs, labels, store).collect():
