@@ -4,7 +4,7 @@ from dataclasses import replace
 from decimal import Decimal
 
 import pytest
-from conftest import raw_frame
+from shop import raw_frame
 from pyspark.sql import functions as F
 
 from revlens.operators.cleaning import clean

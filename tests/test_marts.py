@@ -3,7 +3,7 @@ from __future__ import annotations
 from decimal import Decimal
 
 import pytest
-from conftest import HAND_KEYS, hand_tables, transactions_frame
+from shop import HAND_KEYS, hand_tables, transactions_frame
 from pyspark.sql import functions as F
 
 from revlens.config import SEGMENTS

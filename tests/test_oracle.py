@@ -6,7 +6,7 @@ import os
 
 import duckdb
 import pytest
-from conftest import TESTDATA
+from shop import TESTDATA
 
 import __spark_entry__ as contract
 from revlens.testbed import catalog, oracle

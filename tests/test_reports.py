@@ -3,7 +3,7 @@ from __future__ import annotations
 import json
 
 import pytest
-from conftest import transactions_frame
+from shop import transactions_frame
 from pyspark.sql import functions as F
 
 from revlens.operators.star import build_star

@@ -5,7 +5,7 @@ import json
 from decimal import Decimal
 
 import pytest
-from conftest import raw_frame
+from shop import raw_frame
 from pyspark.sql import functions as F
 
 from revlens.config import Settings

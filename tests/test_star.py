@@ -3,7 +3,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
-from conftest import TRANSACTION_DEFAULT, hand_tables, transactions_frame
+from shop import TRANSACTION_DEFAULT, hand_tables, transactions_frame
 from pyspark.sql import functions as F
 
 from revlens import schemas
