@@ -13,10 +13,12 @@ from revlens.llm import (
     chat,
     decontaminate,
     language,
+    lexical,
     linededup,
     minhash,
     mixing,
     quality,
+    repair,
     rules,
     sharding,
     tokens,
@@ -134,6 +136,43 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return chosen.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The conversations with every kind of fault, dealt by a checksum of conversation and turn."""
+    text, role = F.coalesce("text", F.lit(" ")), F.coalesce("role", F.lit(" "))
+    named = [F.coalesce(F.col(name).cast("string"), F.lit(" ")) for name in ("conv_id", "turn")]
+    hit = F.crc32(F.concat(named[0], F.lit(":"), named[1])) % 20
+    copies = F.when(hit == 0, 0).when(hit == 3, 2).otherwise(1)
+    return conversations.select(
+        "conv_id",
+        "turn",
+        F.when(hit == 4, "user").otherwise(role).alias("role"),
+        F.when(hit == 1, "").when(hit == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.explode(F.array_repeat(F.lit(0), copies)).alias("copy"),
+    ).drop("copy")
+
+
+def op11_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation's faults after damage, the edits that repair it and a digest of the outcome."""
+    ship_package(spark)
+    said = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    found = repair.audits(repair.repaired(damaged(said), StageStore(spark)))
+    every = said.select(F.col("conv_id").alias("whole")).distinct()
+    joined = every.join(found, F.col("whole").eqNullSafe(F.col("conv_id")), "left")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return joined.select(
+        F.col("whole").alias("conv_id"),
+        *[F.coalesce(name, F.lit(0).cast("bigint")).alias(name) for name in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+def op13_lexical(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    items = table(spark, folder, "benchmark").select("item_id", "text")
+    return lexical.ranked_documents(_documents(spark, folder).select("doc_id", "text"), items, StageStore(spark))
+
+
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op2_minhash": op2_minhash,
@@ -145,6 +184,8 @@ QUERIES: dict[str, Query] = {
     "op8_tokens": op8_tokens,
     "op9_rules": op9_rules,
     "op10_mixing": op10_mixing,
+    "op11_repair": op11_repair,
+    "op13_lexical": op13_lexical,
 }
 
 ORACLE_SQL: dict[str, str] = {}
@@ -226,3 +267,135 @@ SELECT conv_id, count(*) AS n_turns,
        sum(12 + length(role) + 1 + length(escaped) + 11)::BIGINT AS formatted_chars
 FROM marked GROUP BY conv_id
 """
+
+ORACLE_SQL["op11_repair"] = r"""
+WITH RECURSIVE src AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '') AS signs
+  FROM conversations
+), hashed AS (
+  SELECT *, xor(4294967295::UBIGINT, list_reduce(
+           list_prepend(4294967295::UBIGINT, list_transform(signs, lambda sign: ascii(sign)::UBIGINT)),
+           lambda crc, byte: list_reduce(
+             [xor(crc, byte), 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT],
+             lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END))) % 20 AS hit
+  FROM src
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+         CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE hit WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM hashed
+), numbered AS (
+  SELECT coalesce(conv_id, -1) AS conv, conv_id, turn, role, text, left(role, 1) AS initial,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS place,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth
+  FROM damaged
+), judged AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+                 WHEN nth > 1 THEN 'duplicate'
+                 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated'
+                 ELSE 'fine' END AS fault,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY place) AS led
+  FROM numbered
+), priced AS (
+  SELECT *, CASE fault WHEN 'truncated' THEN 3 WHEN 'fine' THEN 0 ELSE 1000000000 END AS stay FROM judged
+), summed AS (
+  SELECT conv, conv_id, count(*) AS n,
+         coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (led IS NOT NULL AND led || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM priced GROUP BY ALL
+), costs AS (
+  -- costs from after message `place` to the end: with nothing yet, after s, after u, after a
+  SELECT conv, n AS place, 0::BIGINT AS b0, 6::BIGINT AS b1, 3::BIGINT AS b2, 0::BIGINT AS b3 FROM summed
+  UNION ALL
+  SELECT conv, place - 1,
+         least(e0, 3 + least(e2, 3 + e3)), least(e1, 3 + least(e2, 3 + e3)),
+         least(e2, 3 + e3), least(e3, 3 + least(e2, 3 + e3))
+  FROM (
+    SELECT c.conv, c.place,
+           least(4 + b0, stay + CASE initial WHEN 's' THEN b1 WHEN 'u' THEN b2 ELSE 1000000000 END, stay + 3 + b2) AS e0,
+           least(4 + b1, stay + CASE initial WHEN 'u' THEN b2 ELSE 1000000000 END, stay + 3 + b2) AS e1,
+           least(4 + b2, stay + CASE initial WHEN 'a' THEN b3 ELSE 1000000000 END, stay + 3 + b3) AS e2,
+           least(4 + b3, stay + CASE initial WHEN 'u' THEN b2 ELSE 1000000000 END, stay + 3 + b2) AS e3
+    FROM costs c JOIN priced p ON c.conv = p.conv AND c.place = p.place
+  )
+), listed AS (
+  SELECT conv, place, [b0, b1, b2, b3] AS now FROM costs
+), steps AS (
+  SELECT l.conv, l.place, l.now, f.now AS later, p.role, p.text, p.initial, p.stay
+  FROM listed l LEFT JOIN listed f ON f.conv = l.conv AND f.place = l.place + 1
+  LEFT JOIN priced p ON p.conv = l.conv AND p.place = l.place + 1
+), traced AS (
+  SELECT conv, 0::BIGINT AS place, 1 AS state, '' AS audit, NULL::VARCHAR AS repaired FROM summed
+  UNION ALL
+  SELECT conv, CASE WHEN edit = 'I' THEN place ELSE place + 1 END,
+         CASE edit WHEN 'D' THEN state WHEN 'K' THEN kept ELSE moved END,
+         audit || edit,
+         CASE WHEN edit = 'D' THEN repaired
+              ELSE coalesce(repaired || chr(10), '')
+                   || CASE WHEN edit = 'K' THEN role WHEN moved = 3 THEN 'user' ELSE 'assistant' END
+                   || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END END
+  FROM (
+    SELECT *, CASE WHEN later IS NOT NULL AND 4 + later[state] = now[state] THEN 'D'
+                   WHEN 3 + now[moved] = now[state] THEN 'I'
+                   WHEN later IS NOT NULL AND stay + later[kept] = now[state] THEN 'K'
+                   WHEN later IS NOT NULL AND stay + 3 + later[moved] = now[state] THEN 'R' END AS edit
+    FROM (
+      SELECT t.conv, t.place, t.state, t.audit, t.repaired, s.now, s.later, s.role, s.text, s.stay,
+             CASE WHEN t.state = 3 THEN 4 ELSE 3 END AS moved,
+             CASE WHEN s.initial = 's' AND t.state = 1 THEN 2 WHEN s.initial = 'u' AND t.state <> 3 THEN 3
+                  WHEN s.initial = 'a' AND t.state = 3 THEN 4 END AS kept
+      FROM traced t JOIN steps s ON s.conv = t.conv AND s.place = t.place
+    )
+  ) WHERE edit IS NOT NULL
+), finished AS (
+  SELECT conv, arg_max(audit, length(audit)) AS audit,
+         sha256(coalesce(max_by(coalesce(repaired, ''), length(audit)), '')) AS repaired_sha256
+  FROM traced GROUP BY conv
+)
+SELECT o.conv_id, coalesce(s.gaps, 0)::BIGINT AS gaps, coalesce(s.blank, 0)::BIGINT AS blank,
+       coalesce(s.duplicate, 0)::BIGINT AS duplicate, coalesce(s.truncated, 0)::BIGINT AS truncated,
+       coalesce(s.illegal, 0)::BIGINT AS illegal, coalesce(c.b0, 0)::BIGINT AS cost,
+       coalesce(f.audit, '') AS audit, coalesce(f.repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN summed s ON s.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN costs c ON c.conv = s.conv AND c.place = 0
+LEFT JOIN finished f ON f.conv = s.conv
+"""
+
+ORACLE_SQL["op13_lexical"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS doc, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), sums AS (
+  SELECT count(*)::BIGINT AS docs, sum(len(terms))::BIGINT AS length FROM docs WHERE len(terms) > 0
+), items AS (
+  SELECT row_number() OVER () AS item, item_id,
+         unnest(list_distinct(regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term
+  FROM benchmark
+), held AS (
+  SELECT doc, doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM docs
+), tallied AS (
+  SELECT doc, doc_id, n, term, count(*)::BIGINT AS tf FROM held
+  WHERE term IN (SELECT term FROM items) GROUP BY ALL
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(s.docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM tallied, sums s GROUP BY term
+), scored AS (
+  SELECT i.item, i.item_id, t.doc, t.doc_id,
+         sum(w.w * ((1000000000 * t.tf) // (1000 * t.tf + 8 * (10 + (90 * t.n * s.docs) // s.length))))::BIGINT AS score
+  FROM tallied t JOIN weights w USING (term) JOIN items i USING (term), sums s
+  GROUP BY ALL
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank
+  FROM scored WHERE score > 0
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
