@@ -17,6 +17,7 @@ from revlens.llm import (
     linededup,
     minhash,
     mixing,
+    pages,
     quality,
     repair,
     rules,
@@ -167,6 +168,13 @@ def op11_repair(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    ship_package(spark)
+    found = pages.main_texts(table(spark, folder, "pages").select("page_id", "url", "html"), StageStore(spark))
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op13_lexical(spark: SparkSession, folder: str) -> DataFrame:
     """The ten best documents of every benchmark item."""
     items = table(spark, folder, "benchmark").select("item_id", "text")
@@ -185,6 +193,7 @@ QUERIES: dict[str, Query] = {
     "op9_rules": op9_rules,
     "op10_mixing": op10_mixing,
     "op11_repair": op11_repair,
+    "op12_pages": op12_pages,
     "op13_lexical": op13_lexical,
 }
 
