@@ -27,7 +27,8 @@ SAMPLE_LINES = 100
 ROUNDS = 200
 RATE = 0.05
 PENALTY = 1e-3
-EMPTY_SCORE = 0.5
+EMPTY_SCORE = 0.0
+UNKNOWN_SCORE = 0.5
 OWN = 24
 
 
@@ -165,7 +166,7 @@ def marginals(model: Model, text: np.ndarray, features: np.ndarray) -> np.ndarra
 
 
 def document_scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Mean chance of each text's lines, weighted by their bytes; a text without words scores 0.5."""
+    """Mean chance of each text's lines, weighted by their bytes; a text without words scores 0."""
     lines = lines_of(data, offsets)
     count = len(offsets) - 1
     chances = np.zeros(len(lines.text))
@@ -181,11 +182,16 @@ def document_scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.n
 
 
 def fit(text: np.ndarray, features: np.ndarray, label: np.ndarray) -> Model:
-    """Maximum likelihood with an L2 penalty, by Adam; `label` is 1 for the lines of good documents."""
-    middle, scale = features.mean(axis=0), features.std(axis=0)
+    """Maximum likelihood with an L2 penalty, by Adam; `label` is 1 for the lines of good documents.
+
+    `features` is scaled in place; single precision is enough for sums over lines, and half the memory.
+    """
+    middle, scale = features.mean(axis=0, dtype=float), features.std(axis=0, dtype=float)
     middle[0], scale[scale < 1e-9] = 0.0, 1.0
     model = Model(np.zeros(features.shape[1]), np.zeros((2, 2)), middle, scale)
-    scaled = (features - middle) / scale
+    scaled = features
+    scaled -= middle.astype(scaled.dtype)
+    scaled /= scale.astype(scaled.dtype)
     _, filled, chain, step = _grid(text, label)
     pair = filled[:, 1:]
     truth = np.zeros((2, 2))
@@ -195,9 +201,9 @@ def fit(text: np.ndarray, features: np.ndarray, label: np.ndarray) -> Model:
         truth[value, value] = pair[by_chain == value].sum()
     state = np.zeros((2, features.shape[1] + 4))
     for turn in range(1, ROUNDS + 1):
-        grid, _, _, _ = _grid(text, scaled @ model.weights)
+        grid, _, _, _ = _grid(text, (scaled @ model.weights.astype(scaled.dtype)).astype(float))
         forward, backward = _passes(grid, filled, model.moves)
-        slope = (label - _chance((forward + backward)[chain, step])) @ scaled
+        slope = (label - _chance((forward + backward)[chain, step])).astype(scaled.dtype) @ scaled
         ahead = (backward + grid)[:, 1:]
         joint = np.stack(
             [
@@ -265,17 +271,29 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         .join(F.broadcast(known.where(picked("_id"))), F.col("doc_id") == F.col("_id"))
         .select("doc_id", "text", F.col("_quality").alias("quality"))
         .mapInArrow(_sample_features, "doc_id bigint, quality int, features binary")
-        .collect()
     )
+    # the sample is bounded, so one task fits the model; the driver gets its parameters only
+    fitted = sample.repartition(1).mapInArrow(_fitted, "name string, values array<double>").collect()
+    found = {row["name"]: np.array(row["values"]) for row in fitted}
+    return Model(found["weights"], found["moves"].reshape(2, 2), found["middle"], found["scale"]) if found else None
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The parameters of the model of all rows; none where they are not of both kinds."""
+    sample = [row for batch in batches for row in batch.to_pylist()]
     sample.sort(key=lambda row: (row["doc_id"], row["quality"], bytes(row["features"])))
     labels_found = {row["quality"] for row in sample}
     if not {0, 1} <= labels_found:
-        return None
+        return
     parts = [np.frombuffer(row["features"], dtype=np.float32).reshape(-1, OWN) for row in sample]
     text_of = np.repeat(np.arange(len(parts)), [len(part) for part in parts])
-    own = np.concatenate(parts).astype(float)
+    own = np.concatenate(parts)
     label = np.array([float(row["quality"]) for row in sample])[text_of]
-    return fit(text_of, with_neighbours(own, text_of), label)
+    model = fit(text_of, with_neighbours(own, text_of), label)
+    values = [model.weights, model.moves.ravel(), model.middle, model.scale]
+    yield pa.RecordBatch.from_pydict(
+        {"name": ["weights", "moves", "middle", "scale"], "values": [part.tolist() for part in values]}
+    )
 
 
 def scorer(model: Model | None) -> Column:
@@ -283,7 +301,7 @@ def scorer(model: Model | None) -> Column:
 
     def score(texts: pa.Array) -> pa.Array:
         if model is None:
-            return pa.array(np.full(len(texts), EMPTY_SCORE))
+            return pa.array(np.full(len(texts), UNKNOWN_SCORE))
         parts = [
             document_scores(model, data, offsets)
             for _, _, data, offsets, _ in bytescan.slices(texts)
@@ -298,8 +316,9 @@ def score_documents(
 ) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of `docs`.
 
-    A null or empty text, or one of blanks only, scores 0.5. Repeated rows score alike. An empty table
-    gives an empty result.
+    A null or empty text, or one of blanks only, scores 0: there is no good line in it. Without a model
+    every text scores 0.5. Repeated rows score alike, ties are predicted 1, texts are read whole. An empty
+    table gives an empty result.
     """
     score = scorer(train(docs, labels, doc_id, text))
     scored = docs.select(quoted(doc_id).alias("doc_id"), score(quoted(text)).alias("score"))
@@ -312,6 +331,10 @@ def score_documents(
 
 
 def accepted(docs: DataFrame, known: DataFrame, labels: DataFrame, store: StageStore, text: str = "text") -> DataFrame:
-    """The rows of `docs` that a model learned from `known` and its labels calls good."""
+    """The rows of `docs` that a model learned from `known` and its labels calls good.
+
+    Null and empty texts are not; repeated rows all stay or all go. Without labels of both kinds there is
+    no model and every row stays.
+    """
     score = scorer(train(known, labels, text=text))
     return docs.where(score(quoted(text)) >= 0.5)
