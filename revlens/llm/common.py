@@ -15,9 +15,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def boxed(frame: DataFrame) -> DataFrame:
-    """All columns of a row in one struct, so working columns cannot clash with them."""
-    return frame.select(F.struct(*[quoted(name) for name in frame.columns]).alias(ROW))
+def box(frame: DataFrame) -> Column:
+    """All columns of a row in one struct, so working columns selected with it cannot clash with them."""
+    return F.struct(*[quoted(name) for name in frame.columns]).alias(ROW)
 
 
 def unboxed(columns: Sequence[str], results: Sequence[str]) -> list[Column]:

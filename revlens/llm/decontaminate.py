@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import quoted
+from revlens.llm.common import box, quoted, unboxed
 from revlens.sources.stages import StageStore
 
 WIDTH = 8
@@ -289,6 +289,7 @@ def decontaminated(
 ) -> DataFrame:
     """`docs` without the rows that hold a benchmark item; all other rows stay as they are."""
     found = contaminated(docs, benchmark, store, doc_id, text)
-    found = store.save(found.select("doc_id", "content").distinct().toDF("_d", "_c"), "contaminated")
-    same = quoted(doc_id).eqNullSafe(F.col("_d")) & (F.xxhash64(quoted(text)) == F.col("_c"))
-    return docs.join(found, same, "left_anti")
+    found = store.save(found.select("doc_id", "content").distinct().toDF("_held_id", "_held_content"), "contaminated")
+    keyed = docs.select(box(docs), quoted(doc_id).alias("_own_id"), F.xxhash64(quoted(text)).alias("_own_content"))
+    same = F.col("_own_id").eqNullSafe(F.col("_held_id")) & (F.col("_own_content") == F.col("_held_content"))
+    return keyed.join(found, same, "left_anti").select(*unboxed(docs.columns, ()))

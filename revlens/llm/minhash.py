@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlens.llm import bytescan
+from revlens.llm.common import ROW, box, quoted, unboxed
 from revlens.llm.graph import components
 from revlens.sources.stages import StageStore
 
@@ -97,12 +98,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").slice(first, last - first),
+                    batch.column("content").slice(first, last - first),
                     pa.array([len(found) for found in sets], pa.int64()),
                     pa.array(keys, pa.binary()),
                     pa.array(in_trees, pa.binary()),
                     pa.array(low, pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "node", "signature", "sketch"],
+                names=["doc_id", "content", "n_shingles", "node", "signature", "sketch"],
             )
 
 
@@ -333,22 +335,18 @@ def _relabelled(labels: DataFrame, links: DataFrame, store: StageStore, name: st
     return store.save(moved, f"{name}_labels")
 
 
-def near_duplicates(
-    docs: DataFrame, store: StageStore, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT
+def _verdicts(
+    docs: DataFrame, store: StageStore, doc_id: str, text: str, percent: int
 ) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_shingles, component_id, kept.
+    """One row per row of `docs`: doc_id, content (a hash of the text), n_shingles, node, label, component_id.
 
-    component_id is the least doc_id reachable over links of a similarity of `percent` or more, the
-    document's own included; kept says whether that is the document itself. A text without words, or none at all,
-    has no shingle and stays by itself. A row without doc_id takes part in no group: its component_id
-    is null and it is kept. Rows that share a doc_id and a text all get the same answer; several texts
-    under one doc_id are nodes of their own. An empty table gives an empty result. Other columns of
-    the input are not looked at.
+    `node` stands for the set of shingles, null without one; `label` for the component of the node.
     """
-    plain = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    plain = docs.select(quoted(doc_id).cast("bigint").alias("doc_id"), quoted(text).alias("text"))
     signed = store.save(
-        plain.mapInArrow(
-            _sign, "doc_id bigint, n_shingles bigint, node binary, signature binary, sketch binary"
+        plain.withColumn("content", F.xxhash64("text")).mapInArrow(
+            _sign,
+            "doc_id bigint, content bigint, n_shingles bigint, node binary, signature binary, sketch binary",
         ),
         "signed",
     )
@@ -393,34 +391,82 @@ def near_duplicates(
         labels = _relabelled(labels, store.save(_confirmed(found, sets, percent), name), store, name)
     groups = store.save(labels.join(nodes, "node"), "groups")
     least = groups.groupBy("label").agg(F.min("least_doc").alias("component_id"))
-    chosen = nodes.join(groups.join(least, "label").select("node", "component_id"), "node", "left")
-    chosen = chosen.select("node", F.coalesce("component_id", "least_doc").alias("component_id"))
-    result = signed.select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")
-    ).join(chosen, "node", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return result.select(
+    grouped = groups.join(least, "label").select("node", "label", "component_id")
+    chosen = nodes.join(grouped, "node", "left").select(
+        "node",
+        F.coalesce("label", "node").alias("label"),
+        F.coalesce("component_id", "least_doc").alias("component_id"),
+    )
+    own_node = F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")
+    result = signed.select("doc_id", "content", "n_shingles", own_node).join(chosen, "node", "left")
+    return result.withColumn("component_id", F.coalesce("component_id", "doc_id"))
+
+
+def near_duplicates(
+    docs: DataFrame, store: StageStore, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT
+) -> DataFrame:
+    """One row per row of `docs`: doc_id, n_shingles, component_id, kept.
+
+    component_id is the least doc_id reachable over links of a similarity of `percent` or more, the
+    document's own included; kept says whether that is the document itself. A text without words, or none at all,
+    has no shingle and stays by itself. A row without doc_id takes part in no group: its component_id
+    is null and it is kept. Rows that share a doc_id and a text all get the same answer; several texts
+    under one doc_id are nodes of their own. An empty table gives an empty result. Other columns of
+    the input are not looked at.
+    """
+    verdicts = _verdicts(docs, store, doc_id, text, percent)
+    return verdicts.select(
         "doc_id",
         "n_shingles",
-        component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+        "component_id",
+        F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"),
     )
 
 
 def deduplicated(
     docs: DataFrame, store: StageStore, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT
 ) -> DataFrame:
-    """`docs` with one document of each group of near-duplicates: the one of the least doc_id.
+    """`docs` with one row of each group of near-duplicates: one of those with the least doc_id.
 
-    Rows that repeat a doc_id count as one document. Rows without doc_id stay as they are.
+    Rows are judged by doc_id and text: unlike texts under one doc_id are documents of their own, and
+    each stays that is the one of its group. Of rows that repeat a doc_id and a text one stays, that of
+    the least hash over its columns. Rows without doc_id stay as they are.
     """
-    verdicts = near_duplicates(docs, store, doc_id, text, percent)
-    gone = store.save(
-        verdicts.groupBy("doc_id").agg(F.bool_or("kept").alias("stays")).where(~F.col("stays")), "gone"
+    verdicts = _verdicts(docs, store, doc_id, text, percent).where("doc_id is not null")
+    texts = store.save(
+        verdicts.groupBy("doc_id", "content").agg(
+            F.count(F.lit(1)).alias("rows"),
+            # a text without words has no node and is alone with the rows of its own
+            F.first("label").alias("label"),
+            F.first("component_id").alias("component_id"),
+        ),
+        "texts",
+    )
+    # several texts of the least doc_id may be in one group, where one of them stays
+    firsts = texts.where("label is not null and doc_id = component_id")
+    crowded = firsts.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("first")).where("n > 1")
+    judged = texts.join(crowded.select(F.col("label").alias("shared"), "first"), F.col("label") == F.col("shared"), "left")
+    stays = (F.col("doc_id") == F.col("component_id")) & (F.col("first").isNull() | (F.col("content") == F.col("first")))
+    # only the texts that go, or that are there more than once, meet the documents again
+    marked = store.save(
+        judged.select(
+            F.col("doc_id").alias("_marked_id"),
+            F.col("content").alias("_marked_content"),
+            stays.alias("_stays"),
+            (F.col("rows") > 1).alias("_repeated"),
+        ).where("not _stays or _repeated"),
+        "marked",
+    )
+    keyed = docs.select(
+        box(docs), quoted(doc_id).cast("bigint").alias("_own_id"), F.xxhash64(quoted(text)).alias("_own_content")
+    )
+    same = (F.col("_own_id") == F.col("_marked_id")) & (F.col("_own_content") == F.col("_marked_content"))
+    clean = keyed.join(marked, same, "left_anti").select(ROW)
+    again = marked.where("_stays and _repeated")
+    if again.isEmpty():
+        return clean.select(*unboxed(docs.columns, ()))
+    # repeated rows fold in each task before the shuffle
+    once = keyed.join(again, same, "left_semi").groupBy("_own_id", "_own_content").agg(
+        F.min_by(ROW, F.xxhash64(ROW)).alias(ROW)
     )
-    gone = gone.select(F.col("doc_id").alias("_gone"))
-    key = F.col(doc_id).cast("bigint")
-    left = docs.join(gone, key == F.col("_gone"), "left_anti")
-    own = "_" * (1 + max(len(name) for name in docs.columns))
-    identity = F.when(key.isNull(), F.monotonically_increasing_id())
-    return left.withColumn(own, identity).dropDuplicates([doc_id, own]).drop(own)
+    return clean.unionByName(once.select(ROW)).select(*unboxed(docs.columns, ()))

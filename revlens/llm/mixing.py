@@ -17,7 +17,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revlens.llm.common import ROW, WORD, boxed, quoted, unboxed
+from revlens.llm.common import WORD, box, quoted, unboxed
 from revlens.sources.stages import StageStore
 
 WEIGHTS = (1, 2, 3)
@@ -88,25 +88,16 @@ def mix(
     of a result gives way to it. An empty table gives an empty result. More than `MAX_SOURCES` sources
     are refused, since each has its target on the driver.
     """
-    measured = docs.withColumns(
-        {
-            "_size_": word_count(text),
-            "_source_": quoted(source).cast("string"),
-            "_random_": F.conv(
-                F.substring(F.md5(F.coalesce(quoted(doc_id).cast("string"), F.lit("null"))), 1, 13), 16, 10
-            ).cast("bigint"),
-        }
-    )
+    drawn = F.substring(F.md5(F.coalesce(quoted(doc_id).cast("string"), F.lit("null"))), 1, 13)
+    # one select, so that no working column can clash with one of the input
     staged = store.save(
-        boxed(measured)
-        .select(
-            ROW,
-            F.col(f"{ROW}._size_").alias("_size"),
-            F.col(f"{ROW}._source_").alias("_source"),
-            F.col(f"{ROW}._random_").alias("_random"),
+        docs.select(
+            box(docs),
+            word_count(text).alias("_size"),
+            quoted(source).cast("string").alias("_source"),
+            F.conv(drawn, 16, 10).cast("bigint").alias("_random"),
             F.monotonically_increasing_id().alias("_at"),
-        )
-        .withColumn(ROW, F.col(ROW).dropFields("_size_", "_source_", "_random_")),
+        ),
         "measured",
     )
     # whole numbers, so that the sums do not depend on the order of the rows

@@ -16,13 +16,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revlens.llm.common import ROW, array_literal, boxed, unboxed, unit_hash
+from revlens.llm.common import array_literal, box, unboxed, unit_hash
 from revlens.sources.stages import StageStore
 
 SHARDS = 24
 CELLS_PER_SHARD = 64
 DRAWS_PER_CELL = 16
 KEY_BITS = 52
+# rows of a range, about, where shards alone would make them larger
+RANGE_ROWS = 1 << 20
 RESULTS = ("shard", "slot")
 
 
@@ -102,24 +104,25 @@ def shard(
 
     `size` is what the shards share out evenly; a null or negative size counts as nothing. Records go by
     a hash of `key`, so equal keys stay together unless their range is overfull; a null key is a key
-    like any other. Repeated rows each get a slot of their own. An input column named shard or slot
-    gives way to the result. An empty table gives an empty result.
+    like any other. Repeated rows each get a slot of their own. A record larger than a shard's share fills
+    its shard by itself, however long its text. An input column named shard or slot gives way to the result. An empty table gives an empty result.
     """
     weight = F.greatest(F.coalesce(size.cast("bigint"), F.lit(0)), F.lit(0))
+    # one select, so that no working column can clash with one of the input
     keyed = store.save(
-        boxed(docs.withColumns({"_size_": weight, "_key_": F.shiftrightunsigned(F.xxhash64(key), 12)}))
-        .select(
-            ROW,
-            F.col(f"{ROW}._size_").alias("_bytes"),
-            F.greatest(F.col(f"{ROW}._size_"), F.lit(1)).alias("_weight"),
-            F.col(f"{ROW}._key_").alias("_key"),
+        docs.select(
+            box(docs),
+            weight.alias("_bytes"),
+            F.greatest(weight, F.lit(1)).alias("_weight"),
+            F.shiftrightunsigned(F.xxhash64(key), 12).alias("_key"),
             F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 12).alias("_tie"),
-        )
-        .withColumn(ROW, F.col(ROW).dropFields("_size_", "_key_")),
+        ),
         "keyed",
     )
-    cells = _cells(shards)
-    total = keyed.agg(F.sum("_weight").alias("weight")).first()["weight"] or 1
+    sums = keyed.agg(F.sum("_weight").alias("weight"), F.count(F.lit(1)).alias("rows")).first()
+    total = sums["weight"] or 1
+    # ranges grow with the rows, so that each stays small enough to be put in order by one task
+    cells = max(_cells(shards), 1 << (sums["rows"] // RANGE_ROWS).bit_length())
     bounds = array_literal(splitters(keyed, total, cells), "bigint")
     placed = keyed.withColumn("_cell", _range_of(bounds, cells, F.col("_key")))
 
