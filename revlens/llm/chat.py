@@ -157,12 +157,25 @@ def format_turns(turns: DataFrame, *keys: str) -> DataFrame:
     return gathered.select(*keys, written.alias("formatted"), spans.alias("loss_spans"))
 
 
+def _once(messages: DataFrame) -> DataFrame:
+    """Each (tree, id) once; texts are only shuffled for it where one is there again."""
+    named = messages.where("id is not null").select("tree", "id", "role", "text", "parent", "score")
+    if named.groupBy("tree", "id").count().where("count > 1").isEmpty():
+        return named
+    least = named.groupBy("tree", "id").agg(F.min(F.struct("role", "text", "parent", "score")).alias("said"))
+    return least.select("tree", "id", "said.*")
+
+
 def format_trees(messages: DataFrame, store: StageStore, branches: int = 1) -> DataFrame:
     """(tree, branch, formatted, loss_spans): the best branches of every tree as conversations.
 
-    `messages` has tree, id, parent, role, text and score; other columns are not looked at. An empty
-    table gives an empty result.
+    `messages` has tree, id, parent, role, text and score; other columns are not looked at. Rows that
+    repeat a (tree, id) are one message, the least of them by role, text, parent and score, nulls first.
+    A null tree is a tree like any other, a message without id takes no part. Branches that tie rank by
+    the least leaf. Texts are formatted whole, null and empty ones as empty turns. An empty table gives
+    an empty result.
     """
+    messages = _once(messages)
     path = best_branches(messages, store, branches)
     named = messages.select(F.col("tree").alias("t"), F.col("id").alias("i"), "role", "text")
     turns = path.join(named, F.col("tree").eqNullSafe(F.col("t")) & (F.col("id") == F.col("i")))
