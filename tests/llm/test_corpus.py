@@ -253,7 +253,7 @@ def test_items_are_found_with_other_numbers_names_and_units(spark, store):
     texts = [
         f"Intro words here. {item} And so on.",
         f"It says: {item.replace('Alice', 'Berta').replace('12', '40').replace('3 dollars', '5 euros')}",
-        # the same template with values that do not fit together
+        # values that do not fit together, but most windows word for word
         item.replace("Alice", "Berta", 1).replace("12", "40", 1),
         "Nothing of the kind is to be read in this text, which goes on for a while without any numbers.",
         item.lower(),
@@ -263,13 +263,55 @@ def test_items_are_found_with_other_numbers_names_and_units(spark, store):
     found = decontaminate.contaminated(docs, benchmark, store).collect()
     hits = {row["doc_id"]: row["n_changed_slots"] for row in found}
     assert {row["item_id"] for row in found} == {5}
-    assert hits[0] == 0 and hits[1] > 0 and 2 not in hits and 3 not in hits
+    assert hits[0] == 0 and hits[1] > 0 and 2 in hits and 3 not in hits
     kept = decontaminate.decontaminated(docs, benchmark, store)
     assert kept.columns == docs.columns and not {0, 1} & {row["doc_id"] for row in kept.collect()}
     assert decontaminate.contaminated(docs.where("false"), benchmark, store).count() == 0
     assert decontaminate.contaminated(docs, benchmark.where("false"), store).count() == 0
 
 
+def test_near_verbatim_items_and_short_items(spark, store):
+    item = "A farmer named Alice sells 12 melons for 3 dollars each, and later Alice buys 12 more of them in town."
+    texts = [item.replace("Alice", "Berta", 1), item.replace("12", "40", 1), item.replace("each", "apiece")]
+    texts += ["Yes it is.", "He said yes", "Well. Yes. No.", "first\nyes\nlast", "yes", "x " * 300_000 + item]
+    found = decontaminate.contaminated(
+        documents(spark, texts), spark.createDataFrame([(5, item), (6, "yes")], "item_id long, text string"), store
+    )
+    hits = Counter((row["doc_id"], row["item_id"]) for row in found.collect())
+    assert hits == Counter(dict.fromkeys([(0, 5), (1, 5), (2, 5), (5, 6), (6, 6), (7, 6), (8, 5)], 1))
+
+
+def test_blocks_of_the_benchmark_find_what_one_does(spark, store, monkeypatch):
+    folder = "/root/testdata/sf0.001"
+    docs, benchmark = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "benchmark"))
+    whole = sorted(decontaminate.contaminated(docs, benchmark, store).collect())
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 100_000)
+    assert whole and sorted(decontaminate.contaminated(docs, benchmark, store).collect()) == whole
+
+
+TOKENS = re.compile(r"[^\W\d_]+|[0-9]+(?:[.,:/][0-9]+)*|[%$]")
+
+
+def test_items_in_the_test_documents_equal_brute_force(spark, store):
+    """Every run of eight words of every item in every document, by comparing strings."""
+    docs, benchmark = (
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").collect() for name in ("documents", "benchmark")
+    )
+    texts = {row["doc_id"]: " ".join(TOKENS.findall((row["text"] or "").lower())) for row in docs}
+    expected = set()
+    for item in benchmark:
+        words = TOKENS.findall(item["text"].lower())
+        runs = [f" {' '.join(words[at : at + 8])} " for at in range(len(words) - 7)]
+        for doc_id, text in texts.items():
+            if 2 * sum(run in f" {text} " for run in runs) >= len(runs):
+                expected.add((doc_id, item["item_id"]))
+    frames = (spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet") for name in ("documents", "benchmark"))
+    found = decontaminate.contaminated(*frames, store).collect()
+    assert expected and expected <= {(row["doc_id"], row["item_id"]) for row in found}
+    # what is found besides has other numbers, names or units
+    assert all(row["n_changed_slots"] for row in found if (row["doc_id"], row["item_id"]) not in expected)
+
+
 def test_a_value_that_does_not_fit_only_spoils_its_own_windows(spark, store):
     plain = "the slow river runs past old mills and wide green fields until it meets the sea near a small port"
     item = f"Mona has 2 apples and 2 pears in the one big basket. {plain}"
