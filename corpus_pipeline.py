@@ -16,11 +16,23 @@ SIMILARITY = 80
 _last: dict[str, StageStore] = {}
 
 
+def _read_folders(docs: DataFrame) -> list[str]:
+    """The paths that the plan of `docs` was told to read; not the files below them."""
+    leaves = docs._jdf.queryExecution().analyzed().collectLeaves()
+    relations = [leaves.apply(at) for at in range(leaves.size())]
+    found = []
+    for leaf in relations:
+        if leaf.getClass().getSimpleName() == "LogicalRelation":
+            roots = leaf.relation().location().rootPaths()
+            found += [roots.apply(at).toString() for at in range(roots.size())]
+    return found
+
+
 def _own_store(spark: SparkSession, docs: DataFrame) -> StageStore:
     """A store for a stage. What the stage before has left goes, unless `docs` still reads it."""
     application = spark.sparkContext.applicationId
     before = _last.get(application)
-    if before and not any(f"/{before.folder.rsplit('/', 1)[1]}/" in path for path in docs.inputFiles()):
+    if before and not any(f"/{before.folder.rsplit('/', 1)[1]}" in path for path in _read_folders(docs)):
         before.drop()
     _last[application] = StageStore(spark)
     return _last[application]
@@ -50,9 +62,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in shards of near equal bytes, with their shard and slot."""
-    _own_store(spark, docs)
-    size = sharding.text_bytes("text")
-    return sharding.shard(docs, StageStore(spark), size, F.col("text"))
+    return sharding.shard(docs, _own_store(spark, docs), sharding.text_bytes("text"), F.col("text"))
 
 
 STAGES = [
@@ -67,7 +77,12 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; each result is written as Parquet and read again by the next."""
     docs = table(spark, sf_dir, "documents")
-    store = StageStore(spark)
-    for number, (_, stage) in enumerate(STAGES[:-1]):
-        docs = store.save(stage(spark, docs, sf_dir), f"stage_{number}")
+    before = None
+    for name, stage in STAGES[:-1]:
+        result = StageStore(spark)
+        docs = result.save(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        # the result before this one has been read for the last time
+        if before:
+            before.drop()
+        before = result
     return STAGES[-1][1](spark, docs, sf_dir)
