@@ -42,6 +42,9 @@ REGION_NODES = 4096
 # side of a row whose region, or block, is compared within itself; else 0 and 1 for two blocks
 WHOLE = 2
 SPREAD = 4.0
+# texts that go, at two numbers and two flags each, are broadcast up to this; beyond it documents shuffle
+BROADCAST_BYTES = 64 << 20
+MARK_BYTES = 24
 VALUE_BYTES = 4
 KEY_BYTES = TREE_DEPTH * VALUE_BYTES
 TREE_HASHES = TREES * TREE_DEPTH
@@ -461,12 +464,13 @@ def deduplicated(
         box(docs), quoted(doc_id).cast("bigint").alias("_own_id"), F.xxhash64(quoted(text)).alias("_own_content")
     )
     same = (F.col("_own_id") == F.col("_marked_id")) & (F.col("_own_content") == F.col("_marked_content"))
-    clean = keyed.join(marked, same, "left_anti").select(ROW)
+    few = marked.count() * MARK_BYTES <= BROADCAST_BYTES
+    clean = keyed.join(F.broadcast(marked) if few else marked.hint("merge"), same, "left_anti").select(ROW)
     again = marked.where("_stays and _repeated")
     if again.isEmpty():
         return clean.select(*unboxed(docs.columns, ()))
     # repeated rows fold in each task before the shuffle
-    once = keyed.join(again, same, "left_semi").groupBy("_own_id", "_own_content").agg(
+    once = keyed.join(F.broadcast(again) if few else again.hint("merge"), same, "left_semi").groupBy("_own_id", "_own_content").agg(
         F.min_by(ROW, F.xxhash64(ROW)).alias(ROW)
     )
     return clean.unionByName(once.select(ROW)).select(*unboxed(docs.columns, ()))
