@@ -101,13 +101,15 @@ def test_near_duplicates_equal_brute_force(docs, store):
     assert stays == Counter(set(expected.values()) | {None})
 
 
-def test_documents_are_judged_by_id_and_text(spark, store):
+@pytest.mark.parametrize("bound", [minhash.BROADCAST_BYTES, 0])
+def test_documents_are_judged_by_id_and_text(spark, store, monkeypatch, bound):
+    monkeypatch.setattr(minhash, "BROADCAST_BYTES", bound)
     far = " ".join(f"far{at}" for at in range(120))
     lone = " ".join(f"lone{at}" for at in range(120))
     near = BASE.replace("word60 ", "other ")
     rows = [(1, BASE), (1, far), (1, near), (2, near), (2, lone), (3, far), (1, BASE), (1, ""), (1, None), (1, ""), (4, "")]
     frame = spark.createDataFrame([(*row, {"a": 1}) for row in rows], "doc_id long, text string, extra map<string,int>")
-    for layout in (frame, frame.orderBy(F.desc("text")).repartition(5)):
+    for layout in (frame.orderBy(F.desc("text")).repartition(5),):
         left = Counter((row["doc_id"], row["text"]) for row in minhash.deduplicated(layout.drop("extra"), store).collect())
         # BASE and near are one group, of whose texts under the least id one stays
         kept = [text for text in (BASE, near) if left.pop((1, text), 0)]
