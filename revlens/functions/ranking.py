@@ -7,7 +7,7 @@ row counts then turns positions into global row numbers with plain arithmetic.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -37,6 +37,8 @@ class SortedStage:
     rows: int
     row_offsets: tuple[int, ...]
     sum_offsets: tuple[object, ...]
+    # aggregates over all rows, taken while they were written
+    figures: Mapping[str, object] | None = None
 
     def row_number(self) -> Column:
         local = F.col(POSITION).bitwiseAND(F.lit(ROW_MASK)) + F.lit(1)
@@ -63,11 +65,12 @@ def sorted_stage(
     order: Sequence[Column],
     name: str,
     total: str | None = None,
+    figures: Mapping[str, Column] | None = None,
 ) -> SortedStage:
     """Sort by a total order and stage it; `total` names a decimal column to prefix-sum as well."""
-    table = store.save(
-        frame.orderBy(*order).withColumn(POSITION, F.monotonically_increasing_id()), name
-    )
+    ordered = frame.orderBy(*order).withColumn(POSITION, F.monotonically_increasing_id())
+    # observed above the sort, whose input is read once more for its bounds
+    table, seen = store.save_observed(ordered, name, figures) if figures else (store.save(ordered, name), None)
     sums = F.sum(total) if total else F.lit(0)
     # one row per range partition comes back, whatever the table holds
     parts = (
@@ -81,7 +84,7 @@ def sorted_stage(
         row = by_part.get(part)
         row_offsets.append(row_offsets[-1] + (row["rows"] if row else 0))
         sum_offsets.append(sum_offsets[-1] + ((row["total"] or 0) if row else 0))
-    return SortedStage(table, row_offsets[-1], tuple(row_offsets), tuple(sum_offsets))
+    return SortedStage(table, row_offsets[-1], tuple(row_offsets), tuple(sum_offsets), seen)
 
 
 def tile_starts(rows: int, tiles: int) -> list[int]:

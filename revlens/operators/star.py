@@ -39,6 +39,15 @@ LINE_COLUMNS = (
 )
 
 
+# the keys of the fact and the dimensions they lead to
+FACT_KEYS = {
+    "date_key": "dim_date",
+    "customer_key": "dim_customer",
+    "product_key": "dim_product",
+    "country_key": "dim_country",
+}
+
+
 def date_key(ts: Column) -> Column:
     return F.date_format(ts, "yyyyMMdd").cast("int")
 
@@ -204,6 +213,25 @@ def build_lines(
     )
 
 
+def fact_figures() -> dict[str, Column]:
+    """What the gates ask of the fact, as the write of it can count it."""
+    anything_null = F.lit(False)
+    for key in FACT_KEYS:
+        anything_null = anything_null | F.col(key).isNull()
+    return {"rows": F.count(F.lit(1)), "revenue": F.sum("line_revenue"), "null_keys": F.count_if(anything_null)}
+
+
+def sales_figures(settings: Settings) -> dict[str, Column]:
+    """Gross, returns and net of the sales lines."""
+    sales = F.col("line_type").isin(list(settings.net_line_types))
+    kept = F.col("is_cancellation") == 0
+    return {
+        "gross_revenue": C.sum_when(sales & kept, F.col("line_revenue")),
+        "returns": C.sum_when(sales & ~kept, F.col("line_revenue")),
+        "net_revenue": C.sum_when(sales, F.col("line_revenue")),
+    }
+
+
 @dataclass(frozen=True)
 class Star:
     """Four dimensions, the fact, and the fact at full width for the marts."""
@@ -214,6 +242,8 @@ class Star:
     dim_country: DataFrame
     fact_sales: DataFrame
     lines: DataFrame
+    # the figures of the fact as it was written; none where it was not written by this run
+    written: Mapping[str, object] | None = None
 
     def tables(self) -> dict[str, DataFrame]:
         return {
@@ -248,11 +278,10 @@ def build_star(transactions: DataFrame, settings: Settings, store: StageStore) -
     dim_country = store.save(
         build_dim_country(numbered, settings.country_regions, store), "dim_country"
     )
-    lines = store.save(
-        build_lines(numbered, customers.keys, products.keys, dim_country, settings), "fact_lines"
-    )
+    wide = build_lines(numbered, customers.keys, products.keys, dim_country, settings)
+    lines, written = store.save_observed(wide, "fact_lines", fact_figures() | sales_figures(settings))
     fact = lines.select(*schemas.FACT_SALES.names)
-    return Star(dim_date, customers.table, products.table, dim_country, fact, lines)
+    return Star(dim_date, customers.table, products.table, dim_country, fact, lines, written)
 
 
 def star_from_tables(tables: Mapping[str, DataFrame], settings: Settings) -> Star:

@@ -2,25 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.config import SEGMENTS, Settings
 from revlens.functions import columns as C
 from revlens.operators.cleaning import CleanResult
-from revlens.operators.star import Star
+from revlens.operators.star import FACT_KEYS, Star, fact_figures, sales_figures
 from revlens.plans import quality
-from revlens.plans.marts import TILES, Marts, is_cancelled, is_kept, sales_lines
+from revlens.plans.marts import TILES, Marts, is_kept, sales_lines
 
 FLAT = 1e-9
-KEYS = {
-    "date_key": "dim_date",
-    "customer_key": "dim_customer",
-    "product_key": "dim_product",
-    "country_key": "dim_country",
-}
+KEYS = FACT_KEYS
 # a small extract may leave a segment empty without anything being wrong
 ADVISORY = ("segments_missing",)
 
@@ -40,27 +37,50 @@ def _rows(frame: DataFrame, gates: list[str]) -> DataFrame:
     )
 
 
-def clean_gates(result: CleanResult) -> DataFrame:
-    checked = quality.row_accounting(result).select(
-        F.abs(F.col("accounted_rows") - F.col("raw_rows")).alias("rows_unaccounted")
+def _as_row(spark: SparkSession, figures: Mapping[str, object]) -> DataFrame:
+    """Figures that a write has taken as a row; sums over no rows are null."""
+    kinds = {int: "bigint", Decimal: "decimal(38,4)"}
+    return spark.range(1).select(
+        *[
+            F.lit(value).cast(kinds.get(type(value), "decimal(38,4)")).alias(name)
+            for name, value in figures.items()
+        ]
     )
+
+
+def clean_gates(result: CleanResult, written: bool = False) -> DataFrame:
+    """Raw rows against kept, dropped and quarantined ones; `written` takes those as they were counted
+    when the lines were written."""
+    if written and result.written:
+        raw_rows = result.raw.agg(F.count(F.lit(1))).scalar()
+        seen = _as_row(result.raw.sparkSession, result.written)
+        counted = seen.select(raw_rows.alias("raw_rows"), F.coalesce("accounted_rows", _zero()).alias("accounted_rows"))
+    else:
+        counted = quality.row_accounting(result)
+    checked = counted.select(F.abs(F.col("accounted_rows") - F.col("raw_rows")).alias("rows_unaccounted"))
     return _rows(checked, ["rows_unaccounted"])
 
 
-def star_gates(result: CleanResult, star: Star, settings: Settings) -> DataFrame:
-    source = result.kept.agg(F.count(F.lit(1)).alias("rows"), F.sum("line_revenue").alias("revenue"))
+def star_gates(result: CleanResult, star: Star, settings: Settings, written: bool = False) -> DataFrame:
+    """The fact against the cleaned lines and the dimensions.
+
+    `written` takes rows, revenue and null keys as they were counted when both were written; without it
+    the tables are read as they are.
+    """
+    zero = F.lit(0).cast(C.MONEY)
+    if written and result.written and star.written:
+        spark = star.fact_sales.sparkSession
+        source = _as_row(spark, {name: result.written[f"kept_{name}"] for name in ("rows", "revenue")})
+        fact = _as_row(spark, {name: star.written[name] for name in fact_figures()})
+    else:
+        source = result.kept.agg(F.count(F.lit(1)).alias("rows"), F.sum("line_revenue").alias("revenue"))
+        fact = star.fact_sales.agg(*[column.alias(name) for name, column in fact_figures().items()])
     source_rows = source.select("rows").scalar()
-    source_revenue = source.select(F.coalesce("revenue", F.lit(0).cast(C.MONEY))).scalar()
-    fact = star.fact_sales
-    anything_null = reduce(lambda a, b: a | b, [F.col(key).isNull() for key in KEYS])
-    totals = fact.agg(
-        F.count_if(anything_null).alias("null_keys"),
-        F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum("line_revenue"), F.lit(0).cast(C.MONEY)).alias("revenue"),
-    ).select(
+    source_revenue = source.select(F.coalesce("revenue", zero)).scalar()
+    totals = fact.select(
         "null_keys",
         F.abs(F.col("rows") - source_rows).alias("fact_rows_differ"),
-        _flag(F.abs(F.col("revenue") - source_revenue) <= F.lit(settings.revenue_tolerance)).alias(
+        _flag(F.abs(F.coalesce("revenue", zero) - source_revenue) <= F.lit(settings.revenue_tolerance)).alias(
             "fact_revenue_differs"
         ),
     )
@@ -69,15 +89,68 @@ def star_gates(result: CleanResult, star: Star, settings: Settings) -> DataFrame
         .agg(F.min("line_type").alias("a"), F.max("line_type").alias("b"))
         .agg(F.count_if(F.col("a") != F.col("b")).alias("codes_with_two_line_types"))
     )
-    markets = star.dim_country.agg(
-        F.count_if(F.col("region").isNull()).alias("markets_without_region")
-    )
     frames = [
         _rows(types, ["codes_with_two_line_types"]),
-        _rows(markets, ["markets_without_region"]),
+        _regions(star),
         _rows(totals, ["null_keys", "fact_rows_differ", "fact_revenue_differs"]),
+        orphan_gates(star, settings),
     ]
-    return reduce(DataFrame.unionAll, frames + [_orphans(star, key) for key in KEYS])
+    return reduce(DataFrame.unionAll, frames)
+
+
+def _regions(star: Star) -> DataFrame:
+    markets = star.dim_country.agg(
+        F.count_if(F.col("region").isNull()).alias("markets_without_region")
+    )
+    return _rows(markets, ["markets_without_region"])
+
+
+def published_gates(star: Star, marts: Marts) -> DataFrame:
+    """The gates that published tables can answer by themselves."""
+    nulls = _rows(star.fact_sales.agg(fact_figures()["null_keys"].alias("null_keys")), ["null_keys"])
+    return reduce(
+        DataFrame.unionAll, [nulls, _regions(star), orphan_gates(star, marts.settings), mart_gates(star, marts)]
+    )
+
+
+def _dense(dim: DataFrame, key: str, unknown: int) -> Row:
+    """How many keys a dimension has, whether they are 1 to that number, and whether it knows the unknown one."""
+    own = F.when(F.col(key) != unknown, F.col(key))
+    found = dim.agg(
+        F.count(own).alias("n"),
+        F.count_distinct(own).alias("different"),
+        F.coalesce(F.min(own), F.lit(1)).alias("low"),
+        F.coalesce(F.max(own), F.lit(0)).alias("high"),
+        F.coalesce(F.bool_or(F.col(key) == unknown), F.lit(False)).alias("has_unknown"),
+    )
+    whole = (F.col("n") == F.col("different")) & (F.col("low") == 1) & (F.col("high") == F.col("n"))
+    return found.select("n", "has_unknown", whole.alias("dense")).first()
+
+
+def orphan_gates(star: Star, settings: Settings) -> DataFrame:
+    """Fact lines whose key is in no dimension, per key.
+
+    Surrogate keys run from 1 without gaps, so one scan of the fact settles all of them by their range,
+    dates by the calendar. A dimension with gaps, which something has damaged, is joined instead.
+    """
+    unknown = settings.unknown_customer_key
+    known_days = star.dim_date.select(F.col("date_key").alias("known_day")).distinct()
+    # the calendar has a row a day
+    fact = star.fact_sales.select(*KEYS).join(F.broadcast(known_days), F.col("date_key") == F.col("known_day"), "left")
+    lost = {"date_key": F.col("date_key").isNotNull() & F.col("known_day").isNull()}
+    joined = []
+    for key, name in KEYS.items():
+        if key in lost:
+            continue
+        keys = _dense(star.tables()[name], key, unknown)
+        if keys["dense"]:
+            known = F.col(key).between(1, keys["n"]) | (F.lit(keys["has_unknown"]) & (F.col(key) == unknown))
+            lost[key] = F.col(key).isNotNull() & ~known
+        else:
+            joined.append(_orphans(star, key))
+    names = [f"orphan_{key}" for key in lost]
+    scanned = fact.agg(*[F.count_if(missing).alias(f"orphan_{key}") for key, missing in lost.items()])
+    return reduce(DataFrame.unionAll, [_rows(scanned, names), *joined])
 
 
 def _orphans(star: Star, key: str) -> DataFrame:
@@ -92,8 +165,10 @@ def rfm_gates(marts: Marts) -> DataFrame:
     rfm, settings = marts.mart_rfm, marts.settings
     scores = [F.col(name).between(1, TILES) for name in ("r_score", "f_score", "m_score")]
     known = F.col("segment").isin(list(SEGMENTS))
+    # counted on the fact itself, past the summary that the scores come from
     eligible = (
-        marts.order_heads.where(is_kept() & (F.col("customer_key") != settings.unknown_customer_key))
+        sales_lines(marts.star, settings)
+        .where(is_kept() & (F.col("customer_key") != settings.unknown_customer_key))
         .agg(F.count_distinct("customer_key"))
         .scalar()
     )
@@ -155,17 +230,21 @@ def pareto_gates(marts: Marts) -> DataFrame:
     )
 
 
-def total_gates(star: Star, marts: Marts) -> DataFrame:
-    """Mart totals against the warehouse, and the warehouse against audited totals if given."""
+def total_gates(star: Star, marts: Marts, written: bool = False) -> DataFrame:
+    """Mart totals against the warehouse, and the warehouse against audited totals if given.
+
+    `written` takes the totals of the warehouse as they were summed when the fact was written.
+    """
     settings = marts.settings
     tolerance = F.lit(settings.revenue_tolerance)
     measures = ("gross_revenue", "returns", "net_revenue")
     trend = marts.mart_revenue_trend.agg(*[F.sum(name).alias(name) for name in measures])
-    totals = sales_lines(star, settings).agg(
-        C.sum_when(is_kept(), F.col("line_revenue")).alias("gross_revenue"),
-        C.sum_when(is_cancelled(), F.col("line_revenue")).alias("returns"),
-        F.coalesce(F.sum("line_revenue"), F.lit(0).cast(C.MONEY)).alias("net_revenue"),
-    )
+    if written and star.written:
+        figures = {name: star.written[name] for name in measures}
+        totals = _as_row(star.fact_sales.sparkSession, figures)
+    else:
+        totals = star.lines.agg(*[column.alias(name) for name, column in sales_figures(settings).items()])
+    totals = totals.select(*[F.coalesce(name, F.lit(0).cast(C.MONEY)).alias(name) for name in measures])
     zero = F.lit(0).cast(C.MONEY)
     checks = {
         f"trend_{name}_differs": _flag(
@@ -186,17 +265,22 @@ def total_gates(star: Star, marts: Marts) -> DataFrame:
     return _rows(totals.select(*[check.alias(name) for name, check in checks.items()]), list(checks))
 
 
-def mart_gates(star: Star, marts: Marts) -> DataFrame:
+def mart_gates(star: Star, marts: Marts, written: bool = False) -> DataFrame:
     return reduce(
         DataFrame.unionAll,
-        [rfm_gates(marts), cohort_gates(marts), pareto_gates(marts), total_gates(star, marts)],
+        [rfm_gates(marts), cohort_gates(marts), pareto_gates(marts), total_gates(star, marts, written)],
     )
 
 
-def gate_report(result: CleanResult, star: Star, marts: Marts) -> DataFrame:
+def gate_report(result: CleanResult, star: Star, marts: Marts, written: bool = False) -> DataFrame:
+    """One row per gate. A run passes `written` and spares the scans whose figures its writes have taken."""
     return reduce(
         DataFrame.unionAll,
-        [clean_gates(result), star_gates(result, star, marts.settings), mart_gates(star, marts)],
+        [
+            clean_gates(result, written),
+            star_gates(result, star, marts.settings, written),
+            mart_gates(star, marts, written),
+        ],
     )
 
 

@@ -316,6 +316,16 @@ class Marts:
         self.settings = settings
         self.store = store
 
+    @classmethod
+    def from_tables(
+        cls, star: Star, settings: Settings, store: StageStore, tables: Mapping[str, DataFrame]
+    ) -> Marts:
+        """Marts that are there already; only the summaries below them would be computed, if asked for."""
+        marts = cls(star, settings, store)
+        for name in MART_NAMES:
+            marts.__dict__[name] = tables[name]
+        return marts
+
     @cached_property
     def order_heads(self) -> DataFrame:
         return self.store.save(order_heads(self.star, self.settings), "order_heads")

@@ -341,16 +341,17 @@ def stock_code_evidence(audit: DataFrame, settings: Settings) -> DataFrame:
 def readiness_figures(audit: DataFrame, delivered: Sequence[str] = ()) -> DataFrame:
     """Raw rows, raw gross revenue and rows per part; a part named in `delivered` counts 0 if it has
     none."""
-    named = audit.sparkSession.createDataFrame([(name,) for name in delivered], f"{PART} string")
     parts = audit.groupBy(PART).agg(_count().alias("n"), F.sum(_line_value()).alias("value"))
     whole = parts.agg(F.sum("n").alias("n"), F.sum("value").alias("value"))
+    counted = parts.select(PART, "n")
+    if delivered:
+        named = audit.sparkSession.createDataFrame([(name,) for name in delivered], f"{PART} string")
+        counted = named.join(counted, PART, "full")
     return (
         whole.select(F.lit("raw_rows").alias("figure"), F.col("n").cast("double").alias("value"))
         .unionAll(whole.select(F.lit("raw_gross_revenue"), C.money(F.col("value"))))
         .unionAll(
-            named.join(parts, PART, "full").select(
-                F.concat(F.lit("rows_in_"), F.col(PART)), F.coalesce("n", F.lit(0)).cast("double")
-            )
+            counted.select(F.concat(F.lit("rows_in_"), F.col(PART)), F.coalesce("n", F.lit(0)).cast("double"))
         )
     )
 

@@ -23,14 +23,15 @@ def write_tables(tables: Mapping[str, DataFrame], folder: str) -> dict[str, int]
     return {name: write_table(frame, f"{folder}/{name}") for name, frame in tables.items()}
 
 
+def sorted_export(frame: DataFrame) -> DataFrame:
+    """A mart as it is exported: money as doubles, sorted on all of its columns."""
+    plain = with_double_money(frame)
+    return plain.orderBy(*[F.col(f"`{column}`").asc_nulls_last() for column in plain.columns])
+
+
 def export_marts(marts: Mapping[str, DataFrame], folder: str) -> dict[str, int]:
-    """Write every mart sorted on all of its columns; returns the rows written per mart."""
-    counts = {}
-    for name in sorted(marts):
-        frame = with_double_money(marts[name])
-        ordered = frame.orderBy(*[F.col(column).asc_nulls_last() for column in frame.columns])
-        counts[name] = write_table(ordered, f"{folder}/{name}")
-    return counts
+    """Write every mart as it is exported; returns the rows written per mart."""
+    return {name: write_table(sorted_export(marts[name]), f"{folder}/{name}") for name in sorted(marts)}
 
 
 def register_marts(spark: SparkSession, marts: Mapping[str, DataFrame], prefix: str = "mart_") -> list[str]:

@@ -9,9 +9,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 FOLDER_SETTING = "spark.checkpoint.dir"
 
@@ -52,6 +52,14 @@ class StageStore:
         writer.parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
+    def save_observed(
+        self, frame: DataFrame, name: str, figures: Mapping[str, Column]
+    ) -> tuple[DataFrame, dict[str, object]]:
+        """A stage, and aggregates over its rows that the write itself has taken."""
+        seen = Observation()
+        columns = [column.alias(figure) for figure, column in figures.items()]
+        return self.save(frame.observe(seen, *columns), name), seen.get
+
     def drop(self) -> None:
         """Delete the folder with all of its stages; frames that still read them fail from then on."""
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)

@@ -13,7 +13,10 @@ from revlens.functions.columns import MONEY
 from revlens.operators.cleaning import CleanResult, clean, normalise_columns
 from revlens.operators.star import Star, build_star
 from revlens.plans.marts import Marts
+from revlens.plans.reports import same_day_reversals
+from revlens.plans.run import Loaded, load, publish
 from revlens.sources.raw import ORDINAL, read_raw_parts, spread_scan
+from revlens.sources.releases import Release
 from revlens.sources.stages import StageStore
 
 COUNTRY_OVERRIDES = {"NATION_0": "Home"}
@@ -151,6 +154,18 @@ class Workspace:
     def marts(self) -> Marts:
         return Marts(self.star, self.settings, self.store)
 
+    @cached_property
+    def reversals(self) -> DataFrame:
+        """The one row of same-day reversals, which two reports look at."""
+        return self.store.save(same_day_reversals(self.star, self.settings), "reversals")
+
+    @cached_property
+    def loaded(self) -> Loaded:
+        """What a reader gets of this run: published as a version, then loaded from it."""
+        root = self.store.path("published")
+        publish(Release.begin(self.spark, root), self.cleaned, self.star, self.marts, audited=False)
+        return load(self.spark, self.settings, root, self.store.within("loaded"))
+
 
 _WORKSPACES: dict[tuple[str, str], Workspace] = {}
 

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.functions.columns import with_double_money
 from revlens.operators import cleaning
-from revlens.plans import gates, quality, reports
-from revlens.testbed.binding import Workspace, workspace
+from revlens.plans import gates, quality, reports, sqlviews
+from revlens.testbed.binding import PARTS, Workspace, workspace
 
 Query = Callable[[Workspace], DataFrame]
 SEASON = (9, 11)
@@ -40,15 +41,49 @@ def _line_types(w: Workspace) -> DataFrame:
 
 
 def _gate_report(w: Workspace) -> DataFrame:
-    return gates.gate_report(w.cleaned, w.star, w.marts)
+    return gates.gate_report(w.cleaned, w.star, w.marts, written=True)
 
 
 def _adjusted(w: Workspace) -> DataFrame:
-    return reports.adjusted_return_rate(
-        w.marts.mart_revenue_trend, reports.same_day_reversals(w.star, w.settings)
+    return reports.adjusted_return_rate(w.marts.mart_revenue_trend, w.reversals)
+
+
+def _sql(text: str) -> Query:
+    def query(w: Workspace) -> DataFrame:
+        sqlviews.register(w.spark, w.marts)
+        return w.spark.sql(text)
+
+    return query
+
+
+def _published_star(w: Workspace) -> DataFrame:
+    return w.loaded.star.lines.groupBy("year_month", "region", "line_type").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum("quantity").alias("units"), F.sum("line_revenue").alias("revenue")
     )
 
 
+# the measure that each mart is summed up by
+MART_TOTALS = {
+    "mart_revenue_trend": "net_revenue",
+    "mart_rfm": "monetary",
+    "mart_cohort_retention": "active_customers",
+    "mart_product_pareto": "net_revenue",
+    "mart_return_leakage": "net_revenue",
+    "mart_country_performance": "net_revenue",
+}
+
+
+def _published_marts(w: Workspace) -> DataFrame:
+    marts = w.loaded.marts.tables()
+    sums = [
+        marts[name].agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col(total).cast("decimal(38,4)")).alias("total")).select(
+            F.lit(name).alias("mart"), "rows", "total"
+        )
+        for name, total in MART_TOTALS.items()
+    ]
+    return reduce(DataFrame.unionAll, sums)
+
+
 QUERIES: dict[str, Query] = {
     # sources and cleaning
     "src_raw_union": lambda w: quality.raw_union(w.raw),
@@ -78,7 +113,7 @@ QUERIES: dict[str, Query] = {
     "dq_date_range": lambda w: quality.date_range(w.cleaned.kept),
     "dq_quarantine_reasons": lambda w: quality.quarantine_reasons(w.cleaned.quarantined),
     # audit of the raw union
-    "audit_readiness": lambda w: quality.readiness_figures(_audit(w)),
+    "audit_readiness": lambda w: quality.readiness_figures(_audit(w), PARTS),
     "audit_column_profile": lambda w: quality.column_profile(_audit(w)),
     "audit_quality_flags": lambda w: quality.quality_flags(_audit(w), w.settings),
     "audit_revenue_month": lambda w: quality.revenue_by_month(_audit(w)),
@@ -91,6 +126,8 @@ QUERIES: dict[str, Query] = {
     "dim_country": lambda w: w.star.dim_country,
     "fact_sales": lambda w: w.star.fact_sales,
     "star_counts": lambda w: w.star.counts,
+    "published_star": _published_star,
+    "published_marts": _published_marts,
     # marts
     "mart_revenue_trend": lambda w: w.marts.mart_revenue_trend,
     "mart_rfm": lambda w: w.marts.mart_rfm,
@@ -124,7 +161,7 @@ QUERIES: dict[str, Query] = {
         w.marts.mart_product_pareto, w.settings.pareto_curve_points
     ),
     "pareto_band": lambda w: reports.pareto_band(w.marts.mart_product_pareto),
-    "same_day_reversals": lambda w: reports.same_day_reversals(w.star, w.settings),
+    "same_day_reversals": lambda w: w.reversals,
     "return_driver_rollup": lambda w: reports.return_driver_rollup(
         w.marts.mart_return_leakage, w.settings.top_leakage
     ),
@@ -141,6 +178,10 @@ QUERIES: dict[str, Query] = {
     "market_filter": lambda w: reports.visible_markets(
         w.marts.mart_country_performance, REGION, TOP_MARKETS
     ),
+    "segments_by_customers": _sql("SELECT * FROM segments_by(measure => 'customers')"),
+    "sql_market_filter": _sql(f"SELECT * FROM market_filter(region => '{REGION}', top => {TOP_MARKETS})"),
+    "sql_cohort_depth": _sql(f"SELECT * FROM cohort_depth(depth => {COHORT_DEPTH})"),
+    "sql_products_by_units": _sql("SELECT * FROM products_by(measure => 'units')"),
     "cohort_depth": lambda w: reports.cohort_to_depth(w.marts.mart_cohort_retention, COHORT_DEPTH),
     # documented figures
     "adjusted_return_rate": _adjusted,

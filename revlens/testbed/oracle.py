@@ -602,6 +602,21 @@ LEFT JOIN (SELECT code AS stock_code, "Description" AS modal
             )
         ]
     ),
+    "published_star": "SELECT year_month, region, line_type, COUNT(*) AS lines, SUM(quantity)::BIGINT AS units, "
+    "SUM(line_revenue)::DOUBLE AS revenue FROM lines GROUP BY 1, 2, 3",
+    "published_marts": _union(
+        [
+            f"SELECT '{mart}' AS mart, COUNT(*) AS rows, SUM({total})::DOUBLE AS total FROM {step}"
+            for mart, step, total in (
+                ("mart_revenue_trend", "trend", "net_revenue"),
+                ("mart_rfm", "rfm", "monetary"),
+                ("mart_cohort_retention", "cohorts", "active_customers"),
+                ("mart_product_pareto", "pareto", "net_revenue"),
+                ("mart_return_leakage", "leakage", "net_revenue"),
+                ("mart_country_performance", "markets", "net_revenue"),
+            )
+        ]
+    ),
     "mart_revenue_trend": _doubles("trend", *MONEY, "net_revenue_mom_delta"),
     "mart_rfm": _doubles("rfm", "monetary"),
     "mart_cohort_retention": "SELECT * FROM cohorts",
@@ -726,6 +741,15 @@ FROM (SELECT SUM(net_revenue) FILTER (CAST(substr(year_month, 6, 2) AS INTEGER)
 }
 
 
+# reports that are also table functions say the same in SQL
+SELECTS["segments_by_customers"] = (
+    f"SELECT *, ROW_NUMBER() OVER (ORDER BY customers DESC, segment) AS place FROM ({SELECTS['rfm_segments']})"
+)
+SELECTS["sql_market_filter"] = SELECTS["market_filter"]
+SELECTS["sql_cohort_depth"] = SELECTS["cohort_depth"]
+SELECTS["sql_products_by_units"] = SELECTS["top_products_by_units"]
+
+
 def _needed(sql: str) -> set[str]:
     words = set(re.findall(r"[a-z_]+", re.sub(r"'[^']*'|\"[^\"]*\"", "", sql)))
     found: set[str] = set()
