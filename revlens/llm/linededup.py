@@ -1,18 +1,19 @@
 """Line deduplication by a segment-partition edit join.
 
-Distinct lines are compared, whatever their number of copies. A line is cut into three segments. Lines
-within two edits share a segment at nearly the same place, so each line's segments are indexed by
-length, place and hash, and every line probes the index with the few substrings that can match. What
-meets is verified by bit-parallel edit distance in a band of five diagonals.
+Distinct lines are compared, whatever their number of copies. A line is cut into one segment more than
+edits are allowed. Lines within that many edits share a segment at nearly the same place, so each line's
+segments are indexed by length, place and hash, and every line probes the index with the few substrings
+that can match. What meets is verified by bit-parallel edit distance in a band around the diagonal.
 
 Two edits are much in a short line: where the shorter of two lines has less than `SHORT` characters, one
-edit links them, and below `SHORTEST` characters none. Lines within one edit are equal once at most one
-character of each is left out, so short lines meet by what is left of them.
+edit links them, and below `SHORTEST` characters none. Lines below `SHORT` that differ in nothing but their
+digits are lines of a list, not copies, and are linked only if `digits` asks for it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from revlens.sources.stages import StageStore
 
 EDITS = 2
 SHORT = 24
-SHORTEST = 3
+SHORTEST = 12
 # entries of the index with more lines than this are first compared with one of their lines only
 CROWD = 64
 LETTERS = "etaonirs"
@@ -91,35 +92,44 @@ def allowed(one: str, two: str) -> int:
     return EDITS if shorter >= SHORT else int(shorter >= SHORTEST)
 
 
-def _segment(length: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
+def _only_digits_differ(one: str, two: str) -> bool:
+    return _DIGITS.sub("0", one) == _DIGITS.sub("0", two)
+
+
+def _segment(length: np.ndarray, number: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
     """Start and size of a segment of lines of these lengths; the last segments take the rest."""
-    count = EDITS + 1
+    count = edits + 1
     base, longer = np.divmod(length, count)
-    return base * number + np.maximum(longer - (count - number), 0), base + (longer > EDITS - number)
+    return base * number + np.maximum(longer - (count - number), 0), base + (longer > edits - number)
 
 
-def _probe_places() -> list[tuple[int, int, int]]:
+def _probe_places(edits: int) -> list[tuple[int, int, int]]:
     """(number, shorter, move): where a segment of a line up to two characters shorter may lie.
 
     Edits before a segment move it, and so do those after it, seen from the line's end.
     """
     return [
         (number, shorter, move)
-        for shorter in range(EDITS + 1)
-        for number in range(EDITS + 1)
+        for shorter in range(edits + 1)
+        for number in range(edits + 1)
         for move in range(-number, number + 1)
-        if abs(shorter - move) <= EDITS - number
+        if abs(shorter - move) <= edits - number
     ]
 
 
-INDEX_PLACES = [(number, 0, 0) for number in range(EDITS + 1)]
-PROBE_PLACES = _probe_places()
+def _index_places(edits: int) -> list[tuple[int, int, int]]:
+    return [(number, 0, 0) for number in range(edits + 1)]
+
+
+# (edits, least and greatest length of indexed lines): a line of `SHORT` may be an edit from a shorter one
+RANGES = ((1, SHORTEST, SHORT), (EDITS, SHORT, 1 << 31))
+_DIGITS = re.compile(r"\d+")
 _MARKS = np.zeros(256, dtype=np.uint64)
 _MARKS[[ord(letter) for letter in LETTERS]] = [1 << 4 * place for place in range(len(LETTERS))]
 
 
-def _entries(lines: DataFrame, places: list[tuple[int, int, int]]) -> DataFrame:
-    """(key, node, letters): a hash of each substring of a line that `places` names.
+def _entries(lines: DataFrame, places: Callable[[int], list[tuple[int, int, int]]]) -> DataFrame:
+    """(key, node, letters): a hash of each substring of a line that `places` names for its range.
 
     Prefix sums give the hash of any substring at once. `letters` holds how often each of `LETTERS` is
     in the line, four bits each, with what overflows carried on.
@@ -136,16 +146,18 @@ def _entries(lines: DataFrame, places: list[tuple[int, int, int]]) -> DataFrame:
                 counted = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_MARKS[data], dtype=np.uint64)])
                 letters = (counted[offsets[1:]] - counted[offsets[:-1]]) & np.uint64(0xFFFFFFFF)
                 start, end, salt, owner = [], [], [], []
-                for number, shorter, move in places:
-                    length = size - shorter
-                    at, width = _segment(length, number)
-                    at = at + move
-                    fits = np.flatnonzero((at >= 0) & (at + width <= size) & (length >= SHORT))
-                    begin = base[fits] + at[fits]
-                    start.append(opens[begin])
-                    end.append(opens[begin + width[fits]])
-                    salt.append(length[fits] * (EDITS + 1) + number)
-                    owner.append(fits)
+                for edits, least, most in RANGES:
+                    for number, shorter, move in places(edits):
+                        length = size - shorter
+                        at, width = _segment(length, number, edits)
+                        at = at + move
+                        inside = (length >= least) & (length <= most)
+                        fits = np.flatnonzero((at >= 0) & (at + width <= size) & inside)
+                        begin = base[fits] + at[fits]
+                        start.append(opens[begin])
+                        end.append(opens[begin + width[fits]])
+                        salt.append((length[fits] * (EDITS + 1) + number) * (EDITS + 1) + edits)
+                        owner.append(fits)
                 owner = np.concatenate(owner)
                 salted = mixed(np.concatenate(salt).astype(np.uint64))
                 keys = range_hashes(data, np.concatenate(start), np.concatenate(end), fold_case=False)
@@ -170,29 +182,23 @@ def _close(one: str, two: str) -> Column:
     return total <= F.lit(2 * EDITS)
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        one, two = batch.column("line_u").to_pylist(), batch.column("line_v").to_pylist()
-        linked = [within(a, b, allowed(a, b)) for a, b in zip(one, two, strict=True)]
-        chosen = pa.array(linked, pa.bool_())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("u").filter(chosen), batch.column("v").filter(chosen)], names=["u", "v"]
-        )
+def linked(one: str, two: str, digits: bool = False) -> bool:
+    """Whether two different lines are near copies of each other."""
+    if not within(one, two, allowed(one, two)):
+        return False
+    return digits or min(len(one), len(two)) >= SHORT or not _only_digits_differ(one, two)
 
 
-def _short_met(lines: DataFrame) -> DataFrame:
-    """(probe, node): lines of up to `SHORT` characters that are equal without one character of each.
+def _verify(digits: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = batch.column("line_u").to_pylist(), batch.column("line_v").to_pylist()
+            chosen = pa.array([linked(a, b, digits) for a, b in zip(one, two, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("u").filter(chosen), batch.column("v").filter(chosen)], names=["u", "v"]
+            )
 
-    A line of `SHORT` characters may be one edit from a shorter one.
-    """
-    short = lines.where(F.length("line").between(SHORTEST, SHORT))
-    places = F.sequence(F.lit(1), F.length("line"))
-    left = F.transform(
-        places, lambda at: F.concat(F.substring("line", F.lit(1), at - F.lit(1)), F.substring("line", at + F.lit(1), F.lit(SHORT)))
-    )
-    keys = F.array_distinct(F.concat(F.array("line"), left))
-    cut = short.select("node", F.explode(F.transform(keys, lambda key: F.xxhash64(key))).alias("key"))
-    return cut.toDF("probe", "key").join(cut, "key").where("probe < node").select("probe", "node")
+    return verify
 
 
 def _pairs(met: DataFrame, store: StageStore, name: str) -> DataFrame:
@@ -201,14 +207,14 @@ def _pairs(met: DataFrame, store: StageStore, name: str) -> DataFrame:
     )
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, store: StageStore, name: str) -> DataFrame:
+def _verified(pairs: DataFrame, lines: DataFrame, store: StageStore, name: str, digits: bool) -> DataFrame:
     wanted = store.save(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), f"{name}_nodes")
     if wanted.count() <= BROADCAST_NODES:
         lines = lines.join(F.broadcast(wanted), "node", "left_semi")
     left = lines.select(F.col("node").alias("u"), F.col("line").alias("line_u"))
     right = lines.select(F.col("node").alias("v"), F.col("line").alias("line_v"))
     both = pairs.join(left, "u").join(right, "v").select("u", "v", "line_u", "line_v")
-    return store.save(both.mapInArrow(_verify, "u bigint, v bigint"), name)
+    return store.save(both.mapInArrow(_verify(digits), "u bigint, v bigint"), name)
 
 
 def numbered_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -219,11 +225,14 @@ def numbered_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return trimmed.withColumn("digest", F.unhex(F.md5("line")))
 
 
-def line_classes(docs: DataFrame, store: StageStore, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def line_classes(
+    docs: DataFrame, store: StageStore, doc_id: str = "doc_id", text: str = "text", digits: bool = False
+) -> DataFrame:
     """(doc_id, line_no, class): each line with a word and the class of its near copies.
 
-    Classes are components of links within two edits, or one where a line is short. Null and empty texts have no lines; repeated rows
-    repeat their lines; a null doc_id is an id like any other.
+    Classes are components of links within two edits, or one where a line is short. `digits` also links
+    short lines that differ in their digits only. Null and empty texts have no lines; repeated rows repeat
+    their lines; a null doc_id is an id like any other. Lines are compared whole, however long.
     """
     lines = numbered_lines(docs, doc_id, text)
     placed = store.save(lines.select("doc_id", "line_no", "digest"), "placed")
@@ -232,16 +241,15 @@ def line_classes(docs: DataFrame, store: StageStore, doc_id: str = "doc_id", tex
     distinct = distinct.withColumn("digest", F.unhex(F.md5("line")))
     # the stage fixes the numbers
     distinct = store.save(distinct.withColumn("node", F.monotonically_increasing_id()), "lines")
-    index = _entries(distinct, INDEX_PLACES)
-    probes = _entries(distinct, PROBE_PLACES).toDF("key", "probe", "probe_letters")
+    index = _entries(distinct, _index_places)
+    probes = _entries(distinct, _probe_places).toDF("key", "probe", "probe_letters")
     sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader"))
     hot = store.save(sizes.where(F.col("n") > CROWD).select("key", "leader"), "hot_keys")
     kept = F.col("leader").isNull() | (F.col("node") == F.col("leader"))
     asked_first = index.join(hot, "key", "left").where(kept).select("key", "node", "letters")
     near = F.col("probe") != F.col("node")
     met = probes.join(asked_first, "key").where(near & _close("letters", "probe_letters"))
-    met = met.select("probe", "node").union(_short_met(distinct))
-    links = _verified(_pairs(met, store, "pairs"), distinct, store, "links")
+    links = _verified(_pairs(met.select("probe", "node"), store, "pairs"), distinct, store, "links", digits)
     labels = components(links, store, "line_links").toDF("linked", "label")
     if not hot.isEmpty():
         # what the leaders of crowded entries have not joined is compared in full
@@ -260,7 +268,7 @@ def line_classes(docs: DataFrame, store: StageStore, doc_id: str = "doc_id", tex
         asked = asked.join(divided.select("key"), "key")
         different = (F.col("label") != F.col("probe_label")) & _close("letters", "probe_letters")
         apart = asked.join(theirs, "key").where(different)
-        more = _verified(_pairs(apart.select("probe", "node"), store, "more_pairs"), distinct, store, "more_links")
+        more = _verified(_pairs(apart.select("probe", "node"), store, "more_pairs"), distinct, store, "more_links", digits)
         labels = components(links.union(more), store, "all_links").toDF("linked", "label")
     # a class that has several lines goes by the digest of one of them
     digests = distinct.select(F.col("node").alias("label"), F.col("digest").alias("class_digest"))
