@@ -490,16 +490,19 @@ def test_line_classes_equal_brute_force(spark, store):
         assert row["kept"] == (plain[:2] == plain[2:])
 
 
-def classes_of_lines(spark, store, lines):
+def classes_of_lines(spark, store, lines, digits=False):
     """The classes that `line_classes` makes of lines, and those that comparing all of them makes."""
-    found = linededup.line_classes(spark.createDataFrame([(0, "\n".join(lines))], "doc_id long, text string"), store)
+    frame = spark.createDataFrame([(0, "\n".join(lines))], "doc_id long, text string")
+    found = linededup.line_classes(frame, store, digits=digits)
     named = defaultdict(set)
     for row in found.collect():
         named[bytes(row["class"])].add(lines[row["line_no"]])
 
     def close(one, two):
         shorter = min(len(one), len(two))
-        return edits(one, two) <= (2 if shorter >= 24 else 1 if shorter >= 3 else 0)
+        if shorter < 24 and not digits and re.sub(r"\d+", "0", one) == re.sub(r"\d+", "0", two):
+            return False
+        return edits(one, two) <= (2 if shorter >= 24 else 1 if shorter >= 12 else 0)
 
     label = components(lines, [(a, b) for a in lines for b in lines if a < b and close(a, b)])
     expected = defaultdict(set)
@@ -517,13 +520,25 @@ def test_a_line_that_only_probes_a_crowded_entry_is_compared(spark, store):
     assert found == expected
 
 
-def test_short_lines_are_joined_too(spark, store):
+@pytest.mark.parametrize(("digits", "crowd"), [(False, 64), (True, 2)])
+def test_short_lines_are_joined_by_two_segments(spark, store, monkeypatch, digits, crowd):
+    monkeypatch.setattr(linededup, "CROWD", crowd)
     random = np.random.default_rng(6)
     lines = {"Click here to subscribe", "Click here to subscribe!", "Share on Facebook", "Share on Facebook.", "a", "b"}
-    lines |= {"0123456789 0123456789 12", "0123456789 0123456789 1", "0123456789 0123456789 1xy", "cat", "cut", "at", "dog"}
-    lines |= {"".join(random.choice(list("aé語"), int(random.integers(3, 9)))) for _ in range(60)}
-    found, expected = classes_of_lines(spark, store, sorted(lines))
+    lines |= {"one two one two one two 12", "one two one two one two x", "one two one two one two 1xy"}
+    words = ["cat", "bat", "bag", "big", "dig", "dog"]
+    numbers = ["Total: 5", "Total: 7", "Order no. 12345", "Order no. 12346", "Order no. 1234", "Order no. 123x5"]
+    lines |= {*words, *numbers}
+    for size in (11, 12, 13, 23, 24, 25):
+        line = list(random.choice(list("aé語"), size))
+        for _ in range(8):
+            line[int(random.integers(0, len(line)))] = "bé9"[int(random.integers(0, 3))]
+            lines.add("".join(line))
+            lines.add("".join(line[1:]))
+    found, expected = classes_of_lines(spark, store, sorted(lines), digits)
     assert found == expected and ["Share on Facebook", "Share on Facebook."] in found
+    assert all([word] in found for word in [*words, *numbers[:2]])
+    assert (["Order no. 12346"] in found) != digits
 
 
 def test_bit_parallel_distance_is_exact():
