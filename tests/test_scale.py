@@ -180,3 +180,18 @@ def test_hot_customer_and_hot_code_give_whole_results(built, settings):
     assert marts.mart_rfm.count() == len({r["customer_id"] for r in kept if r["customer_id"]})
     totals = {r["stock_code"]: r for r in marts.product_totals.collect()}
     assert totals["HOT"]["units"] == 1
+
+
+def test_distinct_customers_and_orders_expand_no_rows(built, settings):
+    _, star, marts = built
+    heads = marts.order_heads
+    for frame in (M.revenue_trend(heads, settings), M.country_performance(heads, settings)):
+        assert "Expand" not in plan_of(frame)
+
+
+def test_customers_are_counted_across_bitmaps_and_null_groups(spark):
+    rows = [("a", key) for key in (1, 1, 32768, 32769, 70000)] + [(None, 5), (None, 5), (None, 6)]
+    heads = spark.createDataFrame(rows, "place string, customer_key bigint")
+    measures = spark.createDataFrame([("a", 1), (None, 2), ("nobody", 3)], "place string, size int")
+    found = M.with_customers(measures, heads, "place", "customers").collect()
+    assert {tuple(row) for row in found} == {("a", 1, 4), (None, 2, 2), ("nobody", 3, 0)}
