@@ -8,11 +8,19 @@ those minhashes of its own. The low bytes of all of them estimate similarities.
    on their full sets. These are the longest common prefixes there are, and they join most of every
    group of copies.
 2. Nodes that have such a neighbour at all are compared with every node of their region, which is a
-   run of an order with a common prefix of three minhashes. A region of more than `REGION_NODES` nodes
-   is dealt into blocks, and each pair of its blocks is compared by itself, so that tasks stay small
-   and no pair is left out. Nodes already joined are passed over, a pair is taken in the first tree that brings it together, and the minhash estimate must be
-   within four standard errors of the threshold. What remains is compared on full sets: first each
-   node's likeliest partner in a region, then, when those have been joined, all others.
+   run of an order with a common prefix of three minhashes. Where such a run holds more than
+   `REGION_NODES` nodes, the depth adapts: each of its nodes takes the shallowest prefix that no more
+   nodes share. Nodes already joined are passed over, a pair is taken in the first tree that brings it
+   together, and the minhash estimate must be within four standard errors of the threshold. What remains
+   is compared on full sets: first each node's likeliest partner in a region, then, when those have been
+   joined, all others.
+3. A deeper prefix parts pairs that share the shallow one. Nodes that went deeper anywhere meet once more
+   by their rarest shingles: two sets at the threshold share one of the few that either cannot do without.
+   Shingles all of whose nodes are joined by now are passed over.
+
+A prefix of full depth, or a rare shingle, that is still shared by more than `REGION_NODES` nodes is dealt
+into blocks as the last resort, and each pair of its blocks is compared by itself, so that tasks stay small
+and no pair is left out.
 
 Two sets at the threshold of 0.85 share no region of depth three in 16 trees once in four million
 times, and sets at 0.8 once in a hundred thousand, however crowded the regions are.
@@ -27,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from revlens.functions.joins import attach
 from revlens.llm import bytescan
 from revlens.llm.common import ROW, box, quoted, unboxed
 from revlens.llm.graph import components
@@ -41,6 +50,7 @@ MIN_DEPTH = 3
 REGION_NODES = 4096
 # side of a row whose region, or block, is compared within itself; else 0 and 1 for two blocks
 WHOLE = 2
+SLICE_ROWS = 1 << 16
 SPREAD = 4.0
 # texts that go, at two numbers and two flags each, are broadcast up to this; beyond it documents shuffle
 BROADCAST_BYTES = 64 << 20
@@ -275,18 +285,105 @@ def _neighbour_pairs(orders: DataFrame, store: StageStore) -> DataFrame:
     return store.save(_ordered_pairs(pairs), "neighbour_pairs")
 
 
+def _prefix(depth: int):
+    """What nodes share that agree in a tree on their first minhashes."""
+    return F.xxhash64("tree", F.substring("sort_key", 1, depth * VALUE_BYTES))
+
+
 def _regions(orders: DataFrame, store: StageStore) -> tuple[DataFrame, DataFrame]:
-    """(node, tree, region) where another node shares the region, and (crowd, blocks): the blocks of
-    each region that is too crowded for one task."""
-    region = F.xxhash64("tree", F.substring("sort_key", 1, MIN_DEPTH * VALUE_BYTES))
-    keyed = orders.select("node", "tree", region.alias("region"))
+    """(node, tree, depth, region) where another node shares the shallowest region, region 0 where none is
+    left at the depth the node has taken; and (crowd, blocks): the blocks of each region that is too
+    crowded for one task at full depth too."""
+    keyed = orders.select("node", "tree", _prefix(MIN_DEPTH).alias("region"))
     sizes = keyed.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = store.save(keyed.join(sizes, "region"), "regions")
-    crowded = shared.where(F.col("size") > REGION_NODES).select("region", "size").distinct()
+    shared = keyed.join(sizes, "region").select("node", "tree", F.lit(MIN_DEPTH).alias("depth"), "region", "size")
+    shared = store.save(shared, "regions")
+    crowded = store.save(shared.where(F.col("size") > REGION_NODES).select("region").distinct(), "shallow")
+    if not crowded.isEmpty():
+        roomy = shared.where(F.col("size") <= REGION_NODES)
+        shared = store.save(roomy.unionByName(_deeper(orders, crowded)), "regions")
+    still = shared.where(F.col("size") > REGION_NODES).select("region", "size").distinct()
+    return shared.drop("size"), _blocks(still, store)
+
+
+def _deeper(orders: DataFrame, crowded: DataFrame) -> DataFrame:
+    """Nodes of crowded regions, each at the shallowest depth that parts its region enough, or the last."""
+    inside = orders.withColumn("shallow", _prefix(MIN_DEPTH)).join(
+        crowded.withColumnRenamed("region", "shallow"), "shallow", "left_semi"
+    )
+    depths = range(MIN_DEPTH + 1, TREE_DEPTH + 1)
+    ladder = F.array(*[F.struct(F.lit(depth).alias("depth"), _prefix(depth).alias("region")) for depth in depths])
+    steps = inside.select("node", "tree", F.inline(ladder))
+    sizes = steps.groupBy("depth", "region").agg(F.count(F.lit(1)).alias("size"))
+    fits = (F.col("size") <= REGION_NODES) | (F.col("depth") == TREE_DEPTH)
+    taken = steps.join(sizes, ["depth", "region"]).where(fits).groupBy("node", "tree")
+    step = taken.agg(F.min(F.struct("depth", "region", "size")).alias("step")).select("node", "tree", "step.*")
+    return step.withColumn("region", F.when(F.col("size") > 1, F.col("region")).otherwise(F.lit(0)))
+
+
+def _blocks(sizes: DataFrame, store: StageStore) -> DataFrame:
+    """(crowd, blocks) of (region, size)."""
     blocks = F.ceil(F.col("size") * 2 / REGION_NODES).cast("int")
-    return shared.select("node", "tree", "region"), store.save(
-        crowded.select(F.col("region").alias("crowd"), blocks.alias("blocks")), "crowded"
+    return store.save(sizes.select(F.col("region").alias("crowd"), blocks.alias("blocks")), "crowded")
+
+
+def _list_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(one.as_buffer(), dtype=np.int64) for one in batch.column("shingles")]
+        of = np.repeat(np.arange(len(sets)), [len(found) for found in sets])
+        for first in range(0, len(of), SLICE_ROWS):
+            last = min(first + SLICE_ROWS, len(of))
+            shingles = np.concatenate(sets[of[first] : of[last - 1] + 1])
+            skipped = int(np.searchsorted(of, of[first]))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("node").take(pa.array(of[first:last])),
+                    pa.array(shingles[first - skipped : last - skipped]),
+                ],
+                names=["node", "shingle"],
+            )
+
+
+def _rare_shingles(nodes: DataFrame, sets: DataFrame, store: StageStore, percent: int) -> DataFrame:
+    """(node, shingle): of each set the rarest shingles, one of which a set alike enough must share.
+
+    A set of n that shares `percent` of its union with another shares as much of itself at least. So of its
+    shingles, in one order for all sets, it shares one of the first n + 1 less that share.
+    """
+    held = nodes.join(sets, "node").mapInArrow(_list_shingles, "node binary, shingle bigint")
+    held = store.save(held, "shingles")
+    counts = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1")
+    counts = store.save(counts.withColumn("rows", F.col("nodes")), "shingle_counts")
+    counted = attach(held, counts, F.col("shingle"), "shingle", BROADCAST_BYTES, ["node", "shingle"], weight="rows")
+    ranked = counted.groupBy("node").agg(
+        F.array_sort(F.collect_list(F.struct(F.coalesce("nodes", F.lit(1)).alias("nodes"), "shingle"))).alias("ranked")
+    )
+    n = F.size("ranked")
+    needed = n + 1 - F.ceil(n * F.lit(percent) / F.lit(100)).cast("int")
+    rare = ranked.select("node", F.inline(F.slice("ranked", F.lit(1), needed))).where("nodes > 1")
+    return store.save(rare.select("node", "shingle"), "rare_shingles")
+
+
+def _rare_candidates(
+    rare: DataFrame, sketches: DataFrame, labels: DataFrame, store: StageStore, best_only: bool, percent: int
+) -> DataFrame:
+    """Pairs that share a rare shingle and are not joined yet."""
+    labelled = rare.join(labels, "node")
+    sizes = labelled.groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("size"), F.min("label").alias("least"), F.max("label").alias("most")
+    )
+    open_still = store.save(sizes.where("least != most").select(F.col("shingle").alias("region"), "size"), "open_shingles")
+    rows = labelled.withColumnRenamed("shingle", "region").join(open_still.select("region"), "region")
+    spread = rows.join(sketches, "node").select(
+        "node",
+        "label",
+        "sketch",
+        F.array_repeat(F.lit(0).cast("bigint"), TREES).alias("regions"),
+        F.lit(0).alias("tree"),
+        "region",
     )
+    crowded = _blocks(open_still.where(F.col("size") > REGION_NODES), store)
+    return _pairs_of(spread, crowded, best_only, percent)
 
 
 def _region_rows(regions: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -305,8 +402,13 @@ def _region_candidates(
         placed.join(labels, "node")
         .select("*", F.posexplode("regions").alias("tree", "region"))
         .where(F.col("region") != 0)
-        .withColumn("side", F.lit(WHOLE))
     )
+    return _pairs_of(spread, crowded, best_only, percent)
+
+
+def _pairs_of(spread: DataFrame, crowded: DataFrame, best_only: bool, percent: int) -> DataFrame:
+    """All pairs of each region that pass the estimate; regions in `crowded` by pairs of blocks."""
+    spread = spread.withColumn("side", F.lit(WHOLE))
     if not crowded.isEmpty():
         # a node of a crowded region goes to each pair of blocks that has its own
         sized = spread.join(crowded, F.col("region") == F.col("crowd"), "left")
@@ -392,6 +494,13 @@ def _verdicts(
     for name, best_only in (("best", True), ("rest", False)):
         found = store.save(_region_candidates(placed, crowded, labels, best_only, percent), f"{name}_pairs")
         labels = _relabelled(labels, store.save(_confirmed(found, sets, percent), name), store, name)
+    parted = regions.where(F.col("depth") > MIN_DEPTH).select("node").distinct()
+    if not parted.isEmpty():
+        rare = _rare_shingles(parted, sets, store, percent)
+        for name, best_only in (("rare_best", True), ("rare_rest", False)):
+            found = _rare_candidates(rare, placed.select("node", "sketch"), labels, store, best_only, percent)
+            links = store.save(_confirmed(store.save(found, f"{name}_pairs"), sets, percent), name)
+            labels = _relabelled(labels, links, store, name)
     groups = store.save(labels.join(nodes, "node"), "groups")
     least = groups.groupBy("label").agg(F.min("least_doc").alias("component_id"))
     grouped = groups.join(least, "label").select("node", "label", "component_id")

@@ -172,6 +172,53 @@ def test_blocks_of_a_crowded_region_leave_no_pair_out(spark, store, monkeypatch)
     assert len(found) == 60 * 59 // 2
 
 
+def alike_texts(count, seed):
+    """Texts with a long part in common that makes regions crowded, and near copies of some of them."""
+    random = np.random.default_rng(seed)
+    common = [f"c{at}" for at in range(150)]
+    found = []
+    for at in range(count):
+        own = [f"o{at}x{word}" for word in range(int(random.integers(0, 60)))]
+        found.append(common + own)
+        for _ in range(int(random.integers(0, 3))):
+            changed = list(found[-1])
+            for place in random.integers(0, len(changed), int(random.integers(1, 6))):
+                changed[place] = f"n{random.integers(1 << 30)}"
+            found.append(changed)
+    return [" ".join(words) for words in found]
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_crowded_regions_lose_no_link(spark, store, monkeypatch, percent):
+    monkeypatch.setattr(minhash, "REGION_NODES", 4)
+    texts = alike_texts(60, percent)
+    sets = {at: shingles(text) for at, text in enumerate(texts)}
+    links = [
+        (a, b)
+        for a in sets
+        for b in range(a)
+        if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])
+    ]
+    expected = components(sets, links)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = minhash.near_duplicates(docs, store, percent=percent).collect()
+    assert {row["doc_id"]: row["component_id"] for row in found} == expected
+
+
+def test_depth_adapts_to_the_crowd_of_a_region(spark, store, monkeypatch):
+    monkeypatch.setattr(minhash, "REGION_NODES", 3)
+    value = lambda *numbers: b"".join(number.to_bytes(4, "little") for number in numbers)
+    keys = {f"a{at}": value(1, 1, 1, at // 3, 0, 0, 0, 0) for at in range(8)}
+    keys |= {f"b{at}": value(2, 2, 2, at, 0, 0, 0, 0) for at in range(3)}
+    keys |= {"c": value(1, 1, 1, 9, 0, 0, 0, 0), "d": value(3, 3, 3, 0, 0, 0, 0, 0)}
+    orders = [(node.encode(), 0, key) for node, key in keys.items()]
+    regions, crowded = minhash._regions(spark.createDataFrame(orders, "node binary, tree int, sort_key binary"), store)
+    rows = {bytes(row["node"]).decode(): (row["depth"], row["region"]) for row in regions.collect()}
+    assert crowded.isEmpty() and set(rows) == set(keys) - {"d"}
+    assert {rows[f"b{at}"][0] for at in range(3)} == {3} and {rows[f"a{at}"][0] for at in range(8)} == {4}
+    assert len({rows[f"a{at}"][1] for at in range(8)}) == 3 and rows["c"] == (4, 0)
+
+
 def test_the_pipeline_joins_copies_from_four_fifths_on(spark, store):
     words = [f"v{at}" for at in range(200)]
     copy = [f"{word}x" if at in (30, 70, 110, 150) else word for at, word in enumerate(words)]
