@@ -52,7 +52,7 @@ REGION_NODES = 4096
 WHOLE = 2
 SLICE_ROWS = 1 << 16
 SPREAD = 4.0
-# texts that go, at two numbers and two flags each, are broadcast up to this; beyond it documents shuffle
+# texts that go, and names of sets, are broadcast up to this; beyond it documents or all sets shuffle
 BROADCAST_BYTES = 64 << 20
 MARK_BYTES = 24
 VALUE_BYTES = 4
@@ -262,12 +262,28 @@ def _confirm(percent: int):
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    sets = _needed(sets, pairs)
     left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("set_u"))
     right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("set_v"))
     both = pairs.join(left, "u").join(right, "v").select("u", "v", "set_u", "set_v")
     return both.mapInArrow(_confirm(percent), "u binary, v binary")
 
 
+def _sized(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose set sizes allow the similarity; few bytes move for those that do not."""
+    both = pairs.join(sizes.toDF("u", "size_u"), "u").join(sizes.toDF("v", "size_v"), "v")
+    fits = F.least("size_u", "size_v") * 100 >= F.greatest("size_u", "size_v") * percent
+    return both.where(fits).select("u", "v")
+
+
+def _needed(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets that `pairs`, a stage, names: those alone are shuffled, while the names can be broadcast."""
+    named = pairs.select(F.explode(F.array(F.xxhash64("u"), F.xxhash64("v"))).alias("named")).distinct()
+    if named.count() * MARK_BYTES > BROADCAST_BYTES:
+        return sets
+    return sets.join(F.broadcast(named), F.xxhash64("node") == F.col("named"), "left_semi")
+
+
 def _ordered_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
@@ -456,7 +472,7 @@ def _verdicts(
         "signed",
     )
     linked = signed.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
-    nodes = store.save(linked.groupBy("node").agg(F.min("doc_id").alias("least_doc")), "nodes")
+    nodes = store.save(linked.groupBy("node").agg(F.min("doc_id").alias("least_doc"), F.max("n_shingles").alias("size")), "nodes")
     signatures = linked.select("node", "signature").dropDuplicates(["node"])
     orders = store.save(
         signatures.select(
@@ -486,7 +502,8 @@ def _verdicts(
         "sets",
     )
     alone = store.save(near.select("node", F.col("node").alias("label")), "own_labels")
-    labels = _relabelled(alone, store.save(_confirmed(pairs, sets, percent), "first"), store, "first")
+    sized = store.save(_sized(pairs, near.select("node", "size"), percent), "sized_pairs")
+    labels = _relabelled(alone, store.save(_confirmed(sized, sets, percent), "first"), store, "first")
     sketches = linked.select("node", "sketch").join(near.select("node"), "node", "left_semi")
     near_orders = orders.join(near.select("node"), "node", "left_semi")
     regions, crowded = _regions(near_orders, store)
