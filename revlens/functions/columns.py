@@ -21,7 +21,10 @@ FRACTIONAL = (T.FloatType, T.DoubleType)
 
 
 def stripped(column: Column) -> Column:
-    return F.btrim(column.cast("string"), F.lit(WHITESPACE))
+    """A text between two visible ASCII characters stays as it is, without a search for white space."""
+    text = column.cast("string")
+    clean = F.ascii(text).between(33, 126) & F.ascii(F.substring(text, -1, 1)).between(33, 126)
+    return F.when(clean, text).otherwise(F.btrim(text, F.lit(WHITESPACE)))
 
 
 def replaced(column: Column, mapping: Mapping[str, str]) -> Column:
@@ -73,7 +76,8 @@ def price(column: Column, data_type: T.DataType) -> Column:
     """Four decimals; a price with more is an error, never rounded in silence."""
     given = without_nan(column, data_type)
     money = given.cast(MONEY)
-    if isinstance(data_type, INTEGRAL):
+    short = isinstance(data_type, T.DecimalType) and data_type.scale <= 4
+    if short or isinstance(data_type, INTEGRAL):
         return money
     return F.when(
         given.cast("decimal(38,10)") != money,

@@ -26,6 +26,11 @@ def measured_bytes(frame: DataFrame) -> int:
     return frame.agg(F.sum(total).alias("bytes")).first()["bytes"] or 0
 
 
+def broadcast_within(lookup: DataFrame, broadcast_bytes: int) -> DataFrame:
+    """`lookup` marked for broadcast where its measured size is within the bound, as it is elsewhere."""
+    return F.broadcast(lookup) if measured_bytes(lookup) <= broadcast_bytes else lookup
+
+
 def attach(
     frame: DataFrame,
     lookup: DataFrame,

@@ -7,7 +7,7 @@ row counts then turns positions into global row numbers with plain arithmetic.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -66,9 +66,14 @@ def sorted_stage(
     name: str,
     total: str | None = None,
     figures: Mapping[str, Column] | None = None,
+    derive: Callable[[DataFrame], DataFrame] | None = None,
 ) -> SortedStage:
-    """Sort by a total order and stage it; `total` names a decimal column to prefix-sum as well."""
+    """Sort by a total order and stage it; `total` names a decimal column to prefix-sum as well.
+
+    `derive` adds columns row by row behind the sort and keeps the position."""
     ordered = frame.orderBy(*order).withColumn(POSITION, F.monotonically_increasing_id())
+    if derive:
+        ordered = derive(ordered)
     # observed above the sort, whose input is read once more for its bounds
     table, seen = store.save_observed(ordered, name, figures) if figures else (store.save(ordered, name), None)
     sums = F.sum(total) if total else F.lit(0)

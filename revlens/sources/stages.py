@@ -9,11 +9,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections import Counter
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 FOLDER_SETTING = "spark.checkpoint.dir"
+COMPRESSION = {"compression": "zstd", "parquet.compression.codec.zstd.level": "1"}
+# a task that has a file open per folder need not sort its rows by folder first
+WRITERS_SETTING = "spark.sql.maxConcurrentOutputFileWriters"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,6 +31,23 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + tempfile.mkdtemp(prefix="revlens-stages-")
 
 
+@contextmanager
+def _open_files(spark: SparkSession, files: int) -> Iterator[None]:
+    """Let each writing task hold so many files open, while the block lasts."""
+    if not files:
+        yield
+        return
+    before = spark.conf.get(WRITERS_SETTING, None)
+    spark.conf.set(WRITERS_SETTING, str(files))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(WRITERS_SETTING)
+        else:
+            spark.conf.set(WRITERS_SETTING, before)
+
+
 class StageStore:
     """One folder of stages. A name saved again gets a path of its own, so no stage that an earlier
     frame still reads is ever overwritten."""
@@ -43,13 +64,17 @@ class StageStore:
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
-    def save(self, frame: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
+    def save(
+        self, frame: DataFrame, name: str, partition_by: Sequence[str] = (), folders: int = 0
+    ) -> DataFrame:
+        """`folders` is the number of values of `partition_by`, if it is known and small."""
         self._saves[name] += 1
         path = self.path(name if self._saves[name] == 1 else f"{name}-{self._saves[name]}")
-        writer = frame.write.mode("error")
+        writer = frame.write.mode("error").options(**COMPRESSION)
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        writer.parquet(path)
+        with _open_files(self.spark, folders):
+            writer.parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
     def save_observed(

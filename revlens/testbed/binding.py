@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from revlens.config import Settings
 from revlens.functions.columns import MONEY
+from revlens.functions.joins import broadcast_within
 from revlens.operators.cleaning import CleanResult, clean, normalise_columns
 from revlens.operators.star import Star, build_star
 from revlens.plans.marts import Marts
@@ -22,6 +23,7 @@ from revlens.sources.stages import StageStore
 COUNTRY_OVERRIDES = {"NATION_0": "Home"}
 PARTS = ("part-1", "part-2")
 SECOND_PART_STARTS = "1998-05-01"
+BROADCAST_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -49,20 +51,43 @@ def bound_lines(spark: SparkSession, folder: str) -> DataFrame:
     """One raw line per order line, plus repeated lines (branch 1) and same-day reversals (2)."""
     orders, part = table(spark, folder, "orders"), table(spark, folder, "part")
     customer, nation = table(spark, folder, "customer"), table(spark, folder, "nation")
-    joined = (
-        spread_scan(table(spark, folder, "lineitem"), "l_orderkey")
-        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    # orders, a quarter of the lines, meet customers and markets first: the lines move for two joins at most
+    markets = customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    buyers = broadcast_within(markets.select("c_custkey", "n_name"), BROADCAST_BYTES)
+    placed = orders.join(buyers, F.col("o_custkey") == F.col("c_custkey")).select(
+        "o_orderkey",
+        (
+            F.col("o_orderdate")
+            + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("o_orderkey") % 86400)
+        ).alias("InvoiceDate"),
+        F.when(F.col("o_custkey") % 5 != 0, F.col("o_custkey")).alias("Customer ID"),
+        F.col("n_name").alias("Country"),
     )
+    names = broadcast_within(part.select("p_partkey", "p_name"), BROADCAST_BYTES)
     cancelled = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")
     key = F.col("l_partkey")
     units = F.when(
         (F.col("l_discount") == 0.1) & (F.col("l_tax") == 0.08), F.lit(0).cast("bigint")
     ).otherwise(F.col("l_quantity").cast("bigint"))
+    # what a line needs, worked out before it moves
+    sold = table(spark, folder, "lineitem").select(
+        "l_orderkey",
+        "l_partkey",
+        "l_linenumber",
+        cancelled.alias("cancelled"),
+        F.when(cancelled, -units).otherwise(units).alias("Quantity"),
+        F.when((F.col("l_discount") == 0) & (F.col("l_tax") == 0), F.lit(0.0))
+        .otherwise(F.col("l_extendedprice"))
+        .cast(MONEY)
+        .alias("Price"),
+    )
+    joined = (
+        spread_scan(sold, "l_orderkey")
+        .join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(names, F.col("l_partkey") == F.col("p_partkey"))
+    )
     base = joined.select(
-        F.concat(F.when(cancelled, "C").otherwise(""), F.col("l_orderkey").cast("string")).alias(
+        F.concat(F.when(F.col("cancelled"), "C").otherwise(""), F.col("l_orderkey").cast("string")).alias(
             "Invoice"
         ),
         F.when(key % 97 == 0, "post")
@@ -71,27 +96,24 @@ def bound_lines(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(F.concat(F.lit(" p"), key.cast("string"), F.lit(" ")))
         .alias("StockCode"),
         F.when(F.col("l_linenumber") != 7, F.col("p_name")).alias("Description"),
-        F.when(cancelled, -units).otherwise(units).alias("Quantity"),
-        (
-            F.col("o_orderdate")
-            + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("o_orderkey") % 86400)
-        ).alias("InvoiceDate"),
-        F.when((F.col("l_discount") == 0) & (F.col("l_tax") == 0), F.lit(0.0))
-        .otherwise(F.col("l_extendedprice"))
-        .cast(MONEY)
-        .alias("Price"),
-        F.when(F.col("o_custkey") % 5 != 0, F.col("o_custkey")).alias("Customer ID"),
-        F.col("n_name").alias("Country"),
+        "Quantity",
+        "InvoiceDate",
+        "Price",
+        "Customer ID",
+        "Country",
         "l_orderkey",
         "l_linenumber",
         "l_partkey",
     )
-    branches = F.array(
-        F.lit(0),
-        F.when(F.col("l_orderkey") % 31 == 0, 1),
-        F.when((F.col("l_orderkey") % 50 == 0) & (F.col("Quantity") > 0), 2),
+    repeated = F.col("l_orderkey") % 31 == 0
+    reversed_ = (F.col("l_orderkey") % 50 == 0) & (F.col("Quantity") > 0)
+    branches = (
+        F.when(repeated & reversed_, F.array(F.lit(0), F.lit(1), F.lit(2)))
+        .when(repeated, F.array(F.lit(0), F.lit(1)))
+        .when(reversed_, F.array(F.lit(0), F.lit(2)))
+        .otherwise(F.array(F.lit(0)))
     )
-    spread = base.withColumn("branch", F.explode(F.array_compact(branches)))
+    spread = base.withColumn("branch", F.explode(branches))
     reversal = F.col("branch") == 2
     return spread.select(
         F.when(reversal, F.concat(F.lit("C"), F.col("Invoice")))
@@ -134,7 +156,7 @@ class Workspace:
             PARTS[1]
         )
         lines = bound_lines(self.spark, self.folder).withColumn("landed", part)
-        self.store.save(lines, "raw", partition_by=["landed"])
+        self.store.save(lines, "raw", partition_by=["landed"], folders=len(PARTS))
         paths = {name: self.store.path(f"raw/landed={name}") for name in PARTS}
         return read_raw_parts(self.spark, paths, ordinal_column=ORDINAL)
 
