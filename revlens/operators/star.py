@@ -267,21 +267,45 @@ class Star:
         return result
 
 
+class Dimensions:
+    """The dimensions of numbered lines, each built on first use, and the star that takes all of them."""
+
+    def __init__(self, numbered: DataFrame, settings: Settings, store: StageStore) -> None:
+        self.numbered = numbered
+        self.settings = settings
+        self.store = store
+
+    @cached_property
+    def dim_date(self) -> DataFrame:
+        return self.store.save(build_dim_date(self.numbered), "dim_date")
+
+    @cached_property
+    def customers(self) -> KeyedDimension:
+        return build_dim_customer(self.numbered, self.settings, self.store)
+
+    @cached_property
+    def products(self) -> KeyedDimension:
+        return build_dim_product(self.numbered, self.store)
+
+    @cached_property
+    def dim_country(self) -> DataFrame:
+        markets = build_dim_country(self.numbered, self.settings.country_regions, self.store)
+        return self.store.save(markets, "dim_country")
+
+    def star(self) -> Star:
+        customers, products, settings = self.customers, self.products, self.settings
+        wide = build_lines(self.numbered, customers.keys, products.keys, self.dim_country, settings)
+        lines, written = self.store.save_observed(wide, "fact_lines", fact_figures() | sales_figures(settings))
+        fact = lines.select(*schemas.FACT_SALES.names)
+        return Star(self.dim_date, customers.table, products.table, self.dim_country, fact, lines, written)
+
+
 def build_star(transactions: DataFrame, settings: Settings, store: StageStore) -> Star:
     """All five tables; transactions that carry no sale key yet are numbered first."""
     numbered = transactions
     if SALE_KEY not in transactions.columns:
         numbered = number_sales(transactions, store).numbered(SALE_KEY)
-    dim_date = store.save(build_dim_date(numbered), "dim_date")
-    customers = build_dim_customer(numbered, settings, store)
-    products = build_dim_product(numbered, store)
-    dim_country = store.save(
-        build_dim_country(numbered, settings.country_regions, store), "dim_country"
-    )
-    wide = build_lines(numbered, customers.keys, products.keys, dim_country, settings)
-    lines, written = store.save_observed(wide, "fact_lines", fact_figures() | sales_figures(settings))
-    fact = lines.select(*schemas.FACT_SALES.names)
-    return Star(dim_date, customers.table, products.table, dim_country, fact, lines, written)
+    return Dimensions(numbered, settings, store).star()
 
 
 def star_from_tables(tables: Mapping[str, DataFrame], settings: Settings) -> Star:

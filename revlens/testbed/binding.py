@@ -12,7 +12,7 @@ from revlens.config import Settings
 from revlens.functions.columns import MONEY
 from revlens.functions.joins import broadcast_within
 from revlens.operators.cleaning import CleanResult, clean, normalise_columns
-from revlens.operators.star import Star, build_star
+from revlens.operators.star import Dimensions, Star
 from revlens.plans.marts import Marts
 from revlens.plans.reports import same_day_reversals
 from revlens.plans.run import Loaded, load, publish
@@ -168,9 +168,13 @@ class Workspace:
     def cleaned(self) -> CleanResult:
         return clean(self.raw, self.settings, self.store)
 
+    @cached_property
+    def dimensions(self) -> Dimensions:
+        return Dimensions(self.cleaned.numbered, self.settings, self.store)
+
     @cached_property
     def star(self) -> Star:
-        return build_star(self.cleaned.numbered, self.settings, self.store)
+        return self.dimensions.star()
 
     @cached_property
     def marts(self) -> Marts:

@@ -120,10 +120,10 @@ QUERIES: dict[str, Query] = {
     "audit_revenue_country": lambda w: quality.revenue_by_country(_audit(w)),
     "audit_stock_codes": lambda w: quality.stock_code_evidence(_audit(w), w.settings),
     # star
-    "dim_date": lambda w: w.star.dim_date,
-    "dim_customer": lambda w: w.star.dim_customer,
-    "dim_product": lambda w: w.star.dim_product,
-    "dim_country": lambda w: w.star.dim_country,
+    "dim_date": lambda w: w.dimensions.dim_date,
+    "dim_customer": lambda w: w.dimensions.customers.table,
+    "dim_product": lambda w: w.dimensions.products.table,
+    "dim_country": lambda w: w.dimensions.dim_country,
     "fact_sales": lambda w: w.star.fact_sales,
     "star_counts": lambda w: w.star.counts,
     "published_star": _published_star,

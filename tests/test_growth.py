@@ -10,6 +10,7 @@ from test_scale import hot_raw, plan_of
 from revlens.config import DUPLICATE_KEY
 from revlens.functions import columns as C
 from revlens.operators import cleaning
+from revlens.operators.star import Dimensions
 from revlens.sources.stages import WRITERS_SETTING
 
 
@@ -36,6 +37,14 @@ def test_lines_without_copies_stay_where_they_are(spark, settings, store):
     assert {row["invoice_no"]: row["copies"] for row in folded.collect()}["3"] == 2
 
 
+def test_a_dimension_is_there_without_the_fact(spark, settings, store):
+    numbered = cleaning.clean(hot_raw(spark), settings, store).numbered
+    dimensions = Dimensions(numbered, settings, store)
+    assert dimensions.dim_date.count() == 1
+    assert not {"customers", "products", "fact_lines"} & set(store._saves)
+    assert dimensions.star().fact_sales.count() == numbered.count()
+
+
 def test_a_landing_of_known_folders_leaves_the_session_as_it_was(spark, store):
     before = spark.conf.get(WRITERS_SETTING, None)
     saved = store.save(spark.range(9).withColumn("part", F.col("id") % 3), "dealt", ["part"], folders=3)
