@@ -92,17 +92,28 @@ def order_heads(star: Star, settings: Settings) -> DataFrame:
 
 
 def product_totals(star: Star, settings: Settings) -> DataFrame:
-    """Sales lines folded to one row per stock code."""
-    return (
-        sales_lines(star, settings)
-        .groupBy("product_key", "stock_code", "line_type")
-        .agg(
-            C.sum_when(is_kept(), F.col("line_revenue")).alias("gross_revenue"),
-            C.sum_when(is_cancelled(), F.col("line_revenue")).alias("returns"),
-            F.sum("quantity").alias("units"),
-            F.sum("is_cancellation").cast("bigint").alias("return_lines"),
-            kept_orders().alias("orders"),
-        )
+    """Sales lines folded to one row per stock code.
+
+    Orders are counted apart, over code and invoice alone: counted beside the sums, every invoice of a code
+    would carry all of them through the tasks.
+    """
+    grain = ["product_key", "stock_code", "line_type"]
+    lines = sales_lines(star, settings)
+    sums = lines.groupBy(*grain).agg(
+        C.sum_when(is_kept(), F.col("line_revenue")).alias("gross_revenue"),
+        C.sum_when(is_cancelled(), F.col("line_revenue")).alias("returns"),
+        F.sum("quantity").alias("units"),
+        F.sum("is_cancellation").cast("bigint").alias("return_lines"),
+    )
+    bought = lines.where(is_kept() & F.col("invoice_no").isNotNull()).select("product_key", "invoice_no").distinct()
+    orders = bought.groupBy(F.col("product_key").alias("bought_key")).agg(F.count(F.lit(1)).alias("orders"))
+    return sums.join(orders, F.col("product_key").eqNullSafe(F.col("bought_key")), "left").select(
+        *grain,
+        "gross_revenue",
+        "returns",
+        "units",
+        "return_lines",
+        F.coalesce("orders", F.lit(0).cast("bigint")).alias("orders"),
     )
 
 

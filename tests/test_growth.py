@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import pytest
 from pyspark.sql import functions as F
-from shop import raw_frame
+from shop import raw_frame, transactions_frame
 from test_scale import hot_raw, plan_of
 
 from revlens.config import DUPLICATE_KEY
 from revlens.functions import columns as C
 from revlens.operators import cleaning
-from revlens.operators.star import Dimensions
+from revlens.operators.star import Dimensions, build_star
+from revlens.plans import marts as M
 from revlens.sources.stages import WRITERS_SETTING
 
 
@@ -45,6 +46,20 @@ def test_a_dimension_is_there_without_the_fact(spark, settings, store):
     assert dimensions.star().fact_sales.count() == numbered.count()
 
 
+def test_orders_of_a_code_are_counted_apart_from_its_sums(spark, settings, store):
+    rows = [
+        {"invoice_no": "A1"},
+        {"invoice_no": "A1", "quantity": 2},
+        {"invoice_no": "A2"},
+        {"invoice_no": "CA3", "stock_code": "BACK", "quantity": -1, "is_cancellation": True},
+    ]
+    star = build_star(transactions_frame(spark, *rows), settings, store)
+    totals = M.product_totals(star, settings)
+    grouped = [line for line in plan_of(totals).splitlines() if "HashAggregate(keys" in line and "invoice_no" in line]
+    assert grouped and not any("sum" in line for line in grouped)
+    assert {row["stock_code"]: row["orders"] for row in totals.collect()} == {"SKU1": 2, "BACK": 0}
+
+
 def test_a_landing_of_known_folders_leaves_the_session_as_it_was(spark, store):
     before = spark.conf.get(WRITERS_SETTING, None)
     saved = store.save(spark.range(9).withColumn("part", F.col("id") % 3), "dealt", ["part"], folders=3)
