@@ -99,7 +99,9 @@ def floor_minute(column: Column) -> Column:
 
 
 def year_month(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM")
+    # a format pattern costs a line more than all of its joins
+    month = F.lpad(F.month(ts).cast("string"), 2, "0")
+    return F.concat(F.lpad(F.year(ts).cast("string"), 4, "0"), F.lit("-"), month)
 
 
 def month_index(text: Column) -> Column:

@@ -49,7 +49,7 @@ FACT_KEYS = {
 
 
 def date_key(ts: Column) -> Column:
-    return F.date_format(ts, "yyyyMMdd").cast("int")
+    return (F.year(ts) * 10000 + F.month(ts) * 100 + F.dayofmonth(ts)).cast("int")
 
 
 def calendar(bounds: DataFrame, first: str, last: str) -> DataFrame:

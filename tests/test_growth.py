@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 from shop import raw_frame, transactions_frame
@@ -10,7 +12,7 @@ from test_scale import hot_raw, plan_of
 from revlens.config import DUPLICATE_KEY
 from revlens.functions import columns as C
 from revlens.operators import cleaning
-from revlens.operators.star import Dimensions, build_star
+from revlens.operators.star import Dimensions, build_star, date_key
 from revlens.plans import marts as M
 from revlens.sources.stages import WRITERS_SETTING
 
@@ -72,3 +74,13 @@ def test_texts_between_visible_characters_are_stripped_alike(spark):
     frame = spark.createDataFrame([(text,) for text in texts], "text string")
     odd = frame.where(~C.stripped(F.col("text")).eqNullSafe(F.btrim("text", F.lit(C.WHITESPACE))))
     assert odd.collect() == []
+
+
+def test_months_and_days_are_those_of_the_format(spark):
+    days = [(dt.datetime(2011, 1, 9, 23, 59),), (dt.datetime(999, 12, 31),), (None,)]
+    frame = spark.createDataFrame(days, "ts timestamp_ntz")
+    row = frame.select(
+        F.count_if(~C.year_month(F.col("ts")).eqNullSafe(F.date_format("ts", "yyyy-MM"))).alias("months"),
+        F.count_if(~date_key(F.col("ts")).eqNullSafe(F.date_format("ts", "yyyyMMdd").cast("int"))).alias("days"),
+    ).first()
+    assert tuple(row) == (0, 0)
