@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.functions.columns import with_double_money
+from revlens.sources.stages import COMPRESSION
 
 
 def write_table(frame: DataFrame, path: str) -> int:
     """Overwrite `path` and return the rows written, counted by the write itself."""
     written = Observation()
-    frame.observe(written, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+    frame.observe(written, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").options(
+        **COMPRESSION
+    ).parquet(path)
     return written.get["rows"]
 
 

@@ -40,6 +40,16 @@ def test_lines_without_copies_stay_where_they_are(spark, settings, store):
     assert {row["invoice_no"]: row["copies"] for row in folded.collect()}["3"] == 2
 
 
+def test_columns_that_follow_from_others_are_added_behind_the_sort(spark, settings, store):
+    result = cleaning.clean(hot_raw(spark), settings, store)
+    plan = plan_of(result.transactions())
+    exchange = next(line for line in plan.splitlines() if "Exchange rangepartitioning" in line)
+    below = plan[plan.index(exchange) :]
+    schema = below[below.index("ReadSchema") :]
+    assert "line_revenue" not in schema and "is_cancellation" not in schema
+    assert result.transactions().exceptAll(result.kept).count() == 0
+
+
 def test_a_dimension_is_there_without_the_fact(spark, settings, store):
     numbered = cleaning.clean(hot_raw(spark), settings, store).numbered
     dimensions = Dimensions(numbered, settings, store)
