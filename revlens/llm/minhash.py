@@ -279,9 +279,23 @@ def _sized(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
 def _needed(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The sets that `pairs`, a stage, names: those alone are shuffled, while the names can be broadcast."""
     named = pairs.select(F.explode(F.array(F.xxhash64("u"), F.xxhash64("v"))).alias("named")).distinct()
+    return _only(sets, named, sets)
+
+
+def _only(rows: DataFrame, named: DataFrame, otherwise: DataFrame) -> DataFrame:
+    """Rows whose node has its hash in `named`, which stay where they are; `otherwise` past the broadcast bound.
+
+    A node that shares its hash with a named one stays too; the joins that follow go by the node itself.
+    """
     if named.count() * MARK_BYTES > BROADCAST_BYTES:
-        return sets
-    return sets.join(F.broadcast(named), F.xxhash64("node") == F.col("named"), "left_semi")
+        return otherwise
+    return rows.join(F.broadcast(named), F.xxhash64("node") == F.col("named"), "left_semi")
+
+
+def _of_nodes(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of `nodes`, a stage with a row a node."""
+    named = nodes.select(F.xxhash64("node").alias("named"))
+    return _only(rows, named, rows.join(nodes.select("node"), "node", "left_semi"))
 
 
 def _ordered_pairs(pairs: DataFrame) -> DataFrame:
@@ -504,8 +518,8 @@ def _verdicts(
     alone = store.save(near.select("node", F.col("node").alias("label")), "own_labels")
     sized = store.save(_sized(pairs, near.select("node", "size"), percent), "sized_pairs")
     labels = _relabelled(alone, store.save(_confirmed(sized, sets, percent), "first"), store, "first")
-    sketches = linked.select("node", "sketch").join(near.select("node"), "node", "left_semi")
-    near_orders = orders.join(near.select("node"), "node", "left_semi")
+    sketches = _of_nodes(linked.select("node", "sketch"), near)
+    near_orders = _of_nodes(orders, near)
     regions, crowded = _regions(near_orders, store)
     placed = store.save(_region_rows(regions, sketches.dropDuplicates(["node"])), "placed")
     for name, best_only in (("best", True), ("rest", False)):
