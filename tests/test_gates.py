@@ -169,3 +169,19 @@ def test_audited_totals(hand_star, hand_marts, settings):
     wrong = right | {"returns": Decimal("-60.02")}
     audited = Spoiled(hand_marts, settings=settings.with_values(expected_totals=wrong))
     assert found(gates.total_gates(hand_star, audited)) == {"audited_returns_differs": 1}
+
+
+def test_line_types_of_a_code_are_compared_without_sorting_lines(spark):
+    rows = [("A", "product"), ("A", "test"), ("A", "test"), ("B", "product"), ("B", None), (None, "product"), (None, "test")]
+    lines = spark.createDataFrame(rows, "stock_code string, line_type string")
+    torn = gates.torn_codes(lines)
+    plan = torn._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "Sort" not in plan
+    assert torn.first()["codes_with_two_line_types"] == 2
+
+
+def test_the_gates_of_the_star_sort_no_lines(small, monkeypatch):
+    result, star, marts = small
+    monkeypatch.setattr(gates, "orphan_gates", lambda *_: gates._regions(star))
+    report = gates.star_gates(result, star, marts.settings, written=True)
+    assert "SortAggregate" not in report._jdf.queryExecution().executedPlan().toString()
