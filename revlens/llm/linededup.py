@@ -31,6 +31,7 @@ SHORTEST = 12
 # entries of the index with more lines than this are first compared with one of their lines only
 CROWD = 64
 LETTERS = "etaonirs"
+BLANKS = " \t\r\x0b\x0c"
 # ids of lines that a broadcast may have; beyond it all lines are shuffled to their pairs
 BROADCAST_NODES = 1_000_000
 
@@ -217,12 +218,20 @@ def _verified(pairs: DataFrame, lines: DataFrame, store: StageStore, name: str,
     return store.save(both.mapInArrow(_verify(digits), "u bigint, v bigint"), name)
 
 
+def trimmed(line: Column) -> Column:
+    """The line without blanks around it; one that has none at its ends is not searched for them."""
+    edge = F.lit(False)
+    for blank in BLANKS:
+        edge = edge | line.startswith(blank) | line.endswith(blank)
+    return F.when(edge, F.btrim(line, F.lit(BLANKS))).otherwise(line)
+
+
 def numbered_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, line_no, line, digest): the lines with a word, trimmed of blanks around them."""
     lines = F.split(F.coalesce(quoted(text), F.lit("")), "\n")
     cut = docs.select(quoted(doc_id).alias("doc_id"), F.posexplode_outer(lines).alias("line_no", "line"))
-    trimmed = cut.withColumn("line", F.btrim("line", F.lit(" \t\r\x0b\x0c"))).where("line <> ''")
-    return trimmed.withColumn("digest", F.unhex(F.md5("line")))
+    worded = cut.withColumn("line", trimmed(F.col("line"))).where("line <> ''")
+    return worded.withColumn("digest", F.unhex(F.md5("line")))
 
 
 def line_classes(
@@ -241,7 +250,8 @@ def line_classes(
     distinct = distinct.withColumn("digest", F.unhex(F.md5("line")))
     # the stage fixes the numbers
     distinct = store.save(distinct.withColumn("node", F.monotonically_increasing_id()), "lines")
-    index = _entries(distinct, _index_places)
+    # read for its sizes and again for the joins
+    index = store.save(_entries(distinct, _index_places), "index")
     probes = _entries(distinct, _probe_places).toDF("key", "probe", "probe_letters")
     sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader"))
     hot = store.save(sizes.where(F.col("n") > CROWD).select("key", "leader"), "hot_keys")

@@ -588,6 +588,21 @@ def test_short_lines_are_joined_by_two_segments(spark, store, monkeypatch, digit
     assert (["Order no. 12346"] in found) != digits
 
 
+def test_lines_are_trimmed_alike_and_their_index_is_cut_once(spark, store, monkeypatch):
+    texts = ["", " ", "a", " a", "a ", "\t a b \r", "\x0ba\x0c", "\xa0a\xa0", "é ", "\x1fa", " \u3000", "a\tb", None]
+    frame = spark.createDataFrame([(text,) for text in texts], "line string")
+    whole = F.btrim("line", F.lit(" \t\r\x0b\x0c"))
+    assert frame.where(~linededup.trimmed(F.col("line")).eqNullSafe(whole)).collect() == []
+    cuts = []
+    entries = linededup._entries
+    monkeypatch.setattr(linededup, "_entries", lambda lines, places: cuts.append(places) or entries(lines, places))
+    inside = store.within("index_once")
+    lines = [(0, "one line of words that is long enough\n one line of words that is long enouhg \nshort")]
+    found = linededup.line_classes(spark.createDataFrame(lines, "doc_id long, text string"), inside)
+    assert len({bytes(row["class"]) for row in found.collect()}) == 2
+    assert len(cuts) == 2 and spark.read.parquet(inside.path("index")).count() == 6
+
+
 def test_bit_parallel_distance_is_exact():
     random = np.random.default_rng(5)
     for _ in range(3000):
