@@ -8,44 +8,41 @@ from pyspark.sql import functions as F
 from revlens.sources.stages import StageStore
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _neighbours(edges: DataFrame) -> DataFrame:
+    """(node, label, open): the least of a node and its neighbours, and whether it keeps its component from being a star.
+
+    In a star whose centre is its least node, a node with a smaller neighbour has no other.
+    """
     both = edges.union(edges.select("v", "u")).toDF("u", "v")
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
-    least = least.select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where(F.col("v") > F.col("u")).select(
-        F.col("v").alias("u"), F.col("m").alias("v")
-    )
+    ends = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    unsettled = (F.col("low") < F.col("node")) & (F.col("low") != F.col("high"))
+    return ends.select("node", F.least("node", "low").alias("label"), unsettled.alias("open"))
+
+
+def _large_star(edges: DataFrame, least: DataFrame) -> DataFrame:
+    return edges.join(least, F.col("v") == F.col("node")).select("u", F.col("label").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    down = down.where(F.col("u") != F.col("v")).distinct()
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where(F.col("v") != F.col("m"))
-    return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
-        least.select("u", "m")
-    )
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+    return edges.join(least, "u").select(F.explode(ends).alias("edge")).select("edge.*").where("u <> v")
 
 
 def components(edges: DataFrame, store: StageStore, name: str) -> DataFrame:
     """(node, label) of every node with a link; the label is the least node of its component.
 
-    Each round is written as a stage, so the lineage stays short and a lost executor costs no more than
-    the round it worked on. Rounds grow with the logarithm of the longest path. Star centres may be
-    joined with a third of all rows: adaptive execution splits such a join. No links give no rows.
+    `edges` should be a stage: the first round reads it more than once. Each round is written as a stage,
+    so the lineage stays short and a lost executor costs no more than the round it worked on. Rounds grow
+    with the logarithm of the longest path, and end as soon as all components are stars; links that are
+    stars from the start take none. Star centres may be joined with a third of all rows: adaptive
+    execution splits such a join. No links give no rows.
     """
-    edges = edges.select(F.col(edges.columns[0]).alias("u"), F.col(edges.columns[1]).alias("v"))
-    edges = edges.where(F.col("u") != F.col("v")).distinct()
-    current = store.save(edges, name)
-    signature = None
+    one, two = edges.columns[:2]
+    current = edges.select(F.greatest(one, two).alias("u"), F.least(one, two).alias("v")).where("u <> v")
     while True:
-        current = store.save(_small_star(_large_star(current)).distinct(), name)
-        found = current.agg(
-            F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")
-        ).first()
-        if signature == (found["n"], found["x"]):
-            break
-        signature = (found["n"], found["x"])
-    return current.select(F.col("u").alias("node"), F.col("v").alias("label")).union(
-        current.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
-    )
+        # the aggregate that a round starts from tells whether there is any need of it
+        least = store.save(_neighbours(current), f"{name}_labels")
+        if least.where("open").isEmpty():
+            return least.select("node", "label")
+        current = store.save(_small_star(_large_star(current, least)).distinct(), name)

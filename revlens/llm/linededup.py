@@ -209,8 +209,12 @@ def _pairs(met: DataFrame, store: StageStore, name: str) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, store: StageStore, name: str, digits: bool) -> DataFrame:
-    wanted = store.save(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), f"{name}_nodes")
-    if wanted.count() <= BROADCAST_NODES:
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    few = 2 * pairs.count() <= BROADCAST_NODES
+    if not few:  # many pairs may still be of few lines
+        wanted = store.save(wanted, f"{name}_nodes")
+        few = wanted.count() <= BROADCAST_NODES
+    if few:
         lines = lines.join(F.broadcast(wanted), "node", "left_semi")
     left = lines.select(F.col("node").alias("u"), F.col("line").alias("line_u"))
     right = lines.select(F.col("node").alias("v"), F.col("line").alias("line_v"))
@@ -218,6 +222,26 @@ def _verified(pairs: DataFrame, lines: DataFrame, store: StageStore, name: str,
     return store.save(both.mapInArrow(_verify(digits), "u bigint, v bigint"), name)
 
 
+def _crowded(entries: DataFrame, hot: DataFrame, labels: DataFrame, node: str, label: str) -> DataFrame:
+    """The entries of crowded keys, each with the label of its line; a line without links is its own."""
+    labels = labels.toDF("linked", "found")
+    found = entries.join(hot.select("key"), "key").join(labels, F.col(node) == F.col("linked"), "left")
+    return found.select(*entries.columns, F.coalesce("found", node).alias(label))
+
+
+def _joined(labels: DataFrame, links: DataFrame, store: StageStore) -> DataFrame:
+    """The labels after further links. Only labels are linked anew, not all lines that have them."""
+    between = links
+    for end in ("u", "v"):
+        of = labels.toDF("linked", "found")
+        between = between.join(of, F.col(end) == F.col("linked"), "left")
+        between = between.withColumn(end, F.coalesce("found", end)).drop("linked", "found")
+    merged = components(store.save(between, "label_links"), store, "merged").toDF("root", "merged")
+    moved = labels.join(merged, F.col("label") == F.col("root"), "left")
+    fresh = merged.join(labels, F.col("root") == F.col("linked"), "left_anti")  # lines without links before
+    return moved.select("linked", F.coalesce("merged", "label").alias("label")).union(fresh)
+
+
 def trimmed(line: Column) -> Column:
     """The line without blanks around it; one that has none at its ends is not searched for them."""
     edge = F.lit(False)
@@ -263,15 +287,8 @@ def line_classes(
     labels = components(links, store, "line_links").toDF("linked", "label")
     if not hot.isEmpty():
         # what the leaders of crowded entries have not joined is compared in full
-        known = store.save(
-            distinct.select("node")
-            .join(labels, F.col("node") == F.col("linked"), "left")
-            .select("node", F.coalesce("label", "node").alias("label")),
-            "labels",
-        )
-        theirs = store.save(index.join(hot.select("key"), "key").join(known, "node"), "crowded")
-        asked = probes.join(hot.select("key"), "key").join(known.toDF("probe", "probe_label"), "probe")
-        asked = store.save(asked, "crowded_probes")
+        theirs = store.save(_crowded(index, hot, labels, "node", "label"), "crowded")
+        asked = store.save(_crowded(probes, hot, labels, "probe", "probe_label"), "crowded_probes")
         # lines that only probe an entry count as well: no other entry need bring them to its lines
         meeting = theirs.select("key", "label").union(asked.select("key", "probe_label"))
         divided = meeting.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
@@ -279,11 +296,12 @@ def line_classes(
         different = (F.col("label") != F.col("probe_label")) & _close("letters", "probe_letters")
         apart = asked.join(theirs, "key").where(different)
         more = _verified(_pairs(apart.select("probe", "node"), store, "more_pairs"), distinct, store, "more_links", digits)
-        labels = components(links.union(more), store, "all_links").toDF("linked", "label")
-    # a class that has several lines goes by the digest of one of them
-    digests = distinct.select(F.col("node").alias("label"), F.col("digest").alias("class_digest"))
-    named = distinct.select("node", "digest").join(labels, F.col("node") == F.col("linked")).join(digests, "label")
-    named = named.select(F.col("digest").alias("linked_digest"), "class_digest")
+        labels = store.save(_joined(labels, more, store), "labels")
+    # a class that has several lines goes by the digest of one of them, which is among them
+    members = distinct.select("node", "digest").join(labels, F.col("node") == F.col("linked"))
+    members = store.save(members.select("node", "label", "digest"), "members")
+    heads = members.where("node = label").select("label", F.col("digest").alias("class_digest"))
+    named = members.join(heads, "label").select(F.col("digest").alias("linked_digest"), "class_digest")
     joined = placed.join(named, F.col("digest") == F.col("linked_digest"), "left")
     return joined.select("doc_id", "line_no", F.coalesce("class_digest", "digest").alias("class"))
 

@@ -465,6 +465,7 @@ def _relabelled(labels: DataFrame, links: DataFrame, store: StageStore, name: st
     between = (
         links.join(labels.toDF("u", "lu"), "u").join(labels.toDF("v", "lv"), "v").select("lu", "lv")
     )
+    between = store.save(between.where("lu <> lv").distinct(), f"{name}_links")
     merged = components(between, store, f"{name}_links").toDF("label", "merged")
     moved = labels.join(merged, "label", "left").select("node", F.coalesce("merged", "label").alias("label"))
     return store.save(moved, f"{name}_labels")
